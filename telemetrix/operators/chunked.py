@@ -27,7 +27,7 @@ _UNB = Window.unboundedPreceding
 _UNF = Window.unboundedFollowing
 
 # Default chunk width in series steps (seconds for 1 Hz sensor data).
-DEFAULT_CHUNK_STEPS = 1 << 16
+DEFAULT_CHUNK_STEPS = 4096
 
 
 def _c(x) -> Column:

@@ -136,7 +136,7 @@ def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_chunk() -> F.Column:
     """Time chunk for event series: one block per 7 days."""
-    return F.floor(F.unix_seconds("ts") / F.lit(7 * 86400)).cast("long")
+    return F.floor(F.unix_date(F.to_date("ts")) / F.lit(7)).cast("long")
 
 
 def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
