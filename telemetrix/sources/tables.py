@@ -68,7 +68,7 @@ def lineitem_prepared_channels() -> dims.ChannelSet:
 
 # Which lineitem channels stand in for the cylinder / exhaust / fuel-tank sensors
 # of the derived-channel operator.
-LINEITEM_DERIVE = dict(cht=("qty", "disc", "tax", "price"), egt=("price", "qty", "disc", "tax"),
+LINEITEM_DERIVE = dict(cht=("qty", "disc", "tax", "price"), egt=("price", "qty", "tax", "tax"),
                        fqty=("disc", "tax"), ias="qty", alt="price",
                        cruise_ias=LINEITEM_PHASES.cruise_ias, cruise_alt=LINEITEM_PHASES.cruise_alt)
 
