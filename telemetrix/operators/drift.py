@@ -2,9 +2,9 @@
 
 One pass over the tagged union of both sides: the joint min/max per
 channel is a global aggregate (one row); the bin of every value is a
-row-wise expression; and the bin counts are conditional sums in a single
-partial-aggregating group-by over ``side`` (2 rows x channels x bins
-columns).  No per-channel unpivot of the rows and no join back.
+row-wise expression; the (side, channel, bin) counts come from one
+partial-aggregating group-by, whose map-side combine leaves at most
+2 x channels x bins rows to shuffle.  Only tiny tables are joined.
 
 Bin edges follow NumPy's ``linspace`` + ``histogram``: edge_i = lo + i*step,
 last bin closed, and when lo == hi every value falls in the last bin.
@@ -27,6 +27,14 @@ def tag_sides(expected: DataFrame, actual: DataFrame, channels: Sequence[str]) -
             .unionByName(actual.select(*cols, F.lit("actual").alias("side"))))
 
 
+def tag_split_sides(df: DataFrame, channels: Sequence[str], split: str = "split", expected: str = "train",
+                    actual: str = "test") -> DataFrame:
+    """G1 for two sides of one table: a single pass tagging rows by their split value."""
+    s = F.col(split)
+    return (df.where(s.isin(expected, actual))
+            .select(*channels, F.when(s == expected, F.lit("expected")).otherwise(F.lit("actual")).alias("side")))
+
+
 def first_n_flights(df: DataFrame, key: str, n: int | None) -> DataFrame:
     """rows of the n smallest flight ids (a top-n of distinct ids, then a semi-join)."""
     if n is None:
@@ -56,19 +64,21 @@ def psi_by_channel(sides: DataFrame, channels: Sequence[str], n_bins: int = dims
     j = sides.withColumn("_j", F.lit(1)).join(F.broadcast(rng.withColumn("_j", F.lit(1))), "_j")
     binned = j.select("side", *[_bin(F.col(c), F.col(f"_lo{i}"), F.col(f"_hi{i}"), n_bins).alias(f"_b{i}")
                                 for i, c in enumerate(chans)])
-    exp = F.col("side") == "expected"
-    counts = binned.agg(
-        F.count(F.when(exp, 1)).alias("_ne"), F.count(F.when(~exp, 1)).alias("_na"),
-        *[F.count(F.when(exp & (F.col(f"_b{i}") == b), 1)).alias(f"_e{i}_{b}")
-          for i in range(len(chans)) for b in range(n_bins)],
-        *[F.count(F.when(~exp & (F.col(f"_b{i}") == b), 1)).alias(f"_a{i}_{b}")
-          for i in range(len(chans)) for b in range(n_bins)])
-    items = [F.struct(F.lit(c).alias("channel"), F.lit(i).alias("idx"),
-                      (F.col(f"_e{i}_{b}") / F.col("_ne") + F.lit(epsilon)).alias("e"),
-                      (F.col(f"_a{i}_{b}") / F.col("_na") + F.lit(epsilon)).alias("a"))
-             for i, c in enumerate(chans) for b in range(n_bins)]
-    long = counts.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
-    return (long.groupBy("channel", "idx")
+    # One (channel, bin) pair per value, counted by a partial-aggregating group-by: at most
+    # 2 x channels x bins groups, so the map-side combine leaves a tiny shuffle.
+    pairs = binned.select("side", F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), F.col(f"_b{i}").alias("bin"))
+                                                      for i in range(len(chans))])).alias("_x"))
+    counts = pairs.groupBy("side", "_x.idx", "_x.bin").agg(F.count(F.lit(1)).alias("cnt"))
+    sizes = counts.groupBy("side").agg((F.sum("cnt") / F.lit(len(chans))).alias("n"))
+    grid = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(i).alias("idx"), F.lit(b).alias("bin"))
+                     for i, c in enumerate(chans) for b in range(n_bins)])
+    full = (sizes.select("side", "n", F.explode(grid).alias("_g")).select("side", "n", "_g.*")
+            .join(counts, ["side", "idx", "bin"], "left")
+            .withColumn("share", F.coalesce(F.col("cnt"), F.lit(0)) / F.col("n") + F.lit(epsilon)))
+    wide = full.groupBy("channel", "idx", "bin").agg(
+        F.max(F.when(F.col("side") == "expected", F.col("share"))).alias("e"),
+        F.max(F.when(F.col("side") == "actual", F.col("share"))).alias("a"))
+    return (wide.groupBy("channel", "idx")
             .agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi")))
 
 

@@ -23,7 +23,7 @@ def _psi(spark, sf):
     # PSI is invariant under the per-channel affine z-score, so the prepared values are
     # compared directly; both engines then bin bit-identical inputs.
     z = spl.prepared_with_split(spark, sf)
-    sides = dr.tag_sides(z.where("split = 'train'"), z.where("split = 'test'"), CH)
+    sides = dr.tag_split_sides(z, CH)
     return dr.psi_by_channel(sides, CH)
 
 
