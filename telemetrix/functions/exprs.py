@@ -86,8 +86,9 @@ def stable_hash_key(seed, id_col) -> Column:
 
 
 def pct1(c) -> Column:
-    """Probability as a percentage string with one decimal (``'%.1f'``)."""
-    return F.format_string("%.1f", col(c) * F.lit(100.0))
+    """Probability as a percentage string with one decimal (``'%.1f'``, the reference's rounding)."""
+    from .fmt import fixed
+    return fixed(col(c) * F.lit(100.0), 1)
 
 
 def any_of(names: Iterable[str], universe) -> Column:

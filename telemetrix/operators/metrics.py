@@ -80,7 +80,8 @@ def evaluate(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD) -> D
 
 
 def _f4(c):
-    return F.format_string("%.4f", c)
+    from ..functions.fmt import fixed
+    return fixed(c, 4)
 
 
 def promotion_decision(new: DataFrame, current_f1: float = CURRENT_F1, current_recall: float = CURRENT_RECALL,

@@ -121,7 +121,7 @@ QUERIES = {
 
 # ---------------------------------------------------------------- SQL twins
 PREP_CTE = """
-s AS (
+gs AS (
   SELECT l_suppkey AS flight_id, l_shipdate, l_orderkey, l_linenumber, l_partkey,
          CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS qty,
          CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) END AS price,
@@ -132,7 +132,7 @@ o AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY flight_id
                  ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS INTEGER) AS t,
          CAST(count(*) OVER (PARTITION BY flight_id) AS INTEGER) AS n_rows
-  FROM s),
+  FROM gs),
 c AS (
   SELECT flight_id, t, n_rows,
          CASE WHEN qty IS NULL THEN NULL ELSE least(greatest(qty, 5.0), 45.0) END AS qty, price, disc, tax
@@ -199,103 +199,12 @@ def _hdr():
     from .header_plans import HEADER_CTE
     return HEADER_CTE
 
-
 ORACLE = {
     "e_dense_order": f"WITH {PREP_CTE} SELECT flight_id, t, n_rows, l_orderkey, l_linenumber, l_partkey FROM o",
     "b_clip_channels": f"WITH {PREP_CTE} SELECT flight_id, t, {_R(_CH)} FROM c",
     "e_ffill_bfill": f"WITH {PREP_CTE} SELECT flight_id, t, {_R(_CH)} FROM f",
     "b_derived_channels": f"WITH {PREP_CTE} SELECT flight_id, t, {_R(_DER)} FROM d",
     "e_cut_pad": f"WITH {CUTPAD_CTE} SELECT flight_id, t, {_R(_CH + _DER)}, is_pad FROM prep",
-    "c_semi_join_sensor": q_semi_join_sensor,
-    "c_missing_flights": q_missing_flights,
-    "c_sensor_header_join": q_sensor_header_join,
-    "e_moving_average": q_moving_average,
-    "e_causal_dilated_filter": q_causal_dilated_filter,
-}
-
-# ---------------------------------------------------------------- SQL twins
-PREP_CTE = """
-s AS (
-  SELECT l_suppkey AS flight_id, l_shipdate, l_orderkey, l_linenumber, l_partkey,
-         CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS qty,
-         CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) END AS price,
-         CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN NULL ELSE CAST(l_discount AS DOUBLE) END AS disc,
-         CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN NULL ELSE CAST(l_tax AS DOUBLE) END AS tax
-  FROM lineitem),
-o AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY flight_id
-                 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS INTEGER) AS t,
-         CAST(count(*) OVER (PARTITION BY flight_id) AS INTEGER) AS n_rows
-  FROM s),
-c AS (
-  SELECT flight_id, t, n_rows,
-         CASE WHEN qty IS NULL THEN NULL ELSE least(greatest(qty, 5.0), 45.0) END AS qty, price, disc, tax
-  FROM o WHERE n_rows >= 10),
-f AS (
-  SELECT flight_id, t, n_rows,
-    coalesce(last_value(qty IGNORE NULLS) OVER wf, first_value(qty IGNORE NULLS) OVER wb, 0.0) AS qty,
-    coalesce(last_value(price IGNORE NULLS) OVER wf, first_value(price IGNORE NULLS) OVER wb, 0.0) AS price,
-    coalesce(last_value(disc IGNORE NULLS) OVER wf, first_value(disc IGNORE NULLS) OVER wb, 0.0) AS disc,
-    coalesce(last_value(tax IGNORE NULLS) OVER wf, first_value(tax IGNORE NULLS) OVER wb, 0.0) AS tax
-  FROM c
-  WINDOW wf AS (PARTITION BY flight_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-         wb AS (PARTITION BY flight_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-d0 AS (
-  SELECT *, (qty + disc + tax + price) / 4.0 AS cht_mean, (price + qty + tax + tax) / 4.0 AS egt_mean FROM f),
-d AS (
-  SELECT flight_id, t, n_rows, qty, price, disc, tax,
-         greatest(qty, disc, tax, price) - least(qty, disc, tax, price) AS cht_spread, cht_mean,
-         price - qty AS cht4_minus_cht1,
-         greatest(price, qty, tax) - least(price, qty, tax) AS egt_spread, egt_mean,
-         egt_mean - cht_mean AS egt_cht_divergence, disc - tax AS fqty_imbalance,
-         CASE WHEN qty > 25.0 AND price > 40000.0 THEN 1.0 ELSE 0.0 END AS is_cruise
-  FROM d0)
-"""
-
-_CH = ["qty", "price", "disc", "tax"]
-_DER = dims.DERIVED_CHANNELS
-_R = lambda cols: ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cols)
-
-EVENTS_CTE = """
-e AS (
-  SELECT user_id AS flight_id, CAST(value AS DOUBLE) AS value,
-         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS t
-  FROM events)
-"""
-
-
-def _filter_sql() -> str:
-    outs = []
-    for d in FILTER_DILATIONS:
-        terms = []
-        for i, w in enumerate(FILTER_WEIGHTS):
-            lag = (len(FILTER_WEIGHTS) - 1 - i) * d
-            x = "value" if lag == 0 else f"lag(value, {lag}, 0.0) OVER (PARTITION BY flight_id ORDER BY t)"
-            terms.append(f"{w} * {x}")
-        outs.append(f"round({' + '.join(terms)}, 6) AS value_d{d}")
-    return f"WITH {EVENTS_CTE} SELECT flight_id, t, {', '.join(outs)} FROM e"
-
-
-
-
-def _hdr():
-    from .header_plans import HEADER_CTE
-    return HEADER_CTE
-
-
-ORACLE = {
-    "e_dense_order": f"WITH {PREP_CTE} SELECT flight_id, t, n_rows, l_orderkey, l_linenumber, l_partkey FROM o",
-    "b_clip_channels": f"WITH {PREP_CTE} SELECT flight_id, t, {_R(_CH)} FROM c",
-    "e_ffill_bfill": f"WITH {PREP_CTE} SELECT flight_id, t, {_R(_CH)} FROM f",
-    "b_derived_channels": f"WITH {PREP_CTE} SELECT flight_id, t, {_R(_DER)} FROM d",
-    "e_cut_pad": f"""WITH {PREP_CTE},
-        kept AS (SELECT flight_id, CAST(t + {tb.LINEITEM_N} - n_rows AS INTEGER) AS t, {_R(_CH + _DER)},
-                        false AS is_pad FROM d WHERE t + {tb.LINEITEM_N} - n_rows >= 0),
-        lens AS (SELECT DISTINCT flight_id, n_rows FROM d WHERE n_rows < {tb.LINEITEM_N}),
-        padg AS (SELECT flight_id, unnest(range(0, {tb.LINEITEM_N} - n_rows)) AS g FROM lens)
-        SELECT * FROM kept UNION ALL
-        SELECT flight_id, CAST(g AS INTEGER) AS t, {', '.join(f'0.0 AS {c}' for c in _CH + _DER)}, true AS is_pad
-        FROM padg""",
     "c_semi_join_sensor": f"""WITH {_hdr()}
         SELECT l_orderkey AS master_index, count(*) AS n_rows FROM lineitem
         WHERE l_orderkey IN (SELECT master_index FROM hclean) GROUP BY l_orderkey""",
