@@ -193,8 +193,8 @@ def detection_summary(stats: DataFrame, flights: DataFrame, chanset: dims.Channe
     """Nested detection result per flight (score, flagged list, phase map, top anomalies)."""
     score = anomaly_score(stats, flights, chanset, key)
     pa = (phase_anomalies(stats, flights, chanset, key).groupBy(key)
-          .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("phase_ord", "phase", "count")))
-                                  .transform(lambda x: F.struct(x["phase"], x["count"])))
+          .agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("phase_ord", "phase", "count"))),
+                                              lambda x: F.struct(x["phase"], x["count"])))
                .alias("phase_anomalies")))
     fl = flagged_sensor_lists(stats, chanset, key)
     top = (top_anomalies(stats, chanset, key).groupBy(key)

@@ -57,6 +57,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
+
+    Used where one prepared dataset feeds several branches of a plan: the
+    branches then scan a table instead of re-running the preparation, and
+    the lineage is cut, so a lost executor only re-reads files.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
