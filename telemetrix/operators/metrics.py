@@ -80,8 +80,9 @@ def evaluate(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD) -> D
 
 
 def _f4(c):
+    """'%.4f' text; a missing value prints as 'nan', as the reference's formatting of NaN does."""
     from ..functions.fmt import fixed
-    return fixed(c, 4)
+    return F.coalesce(fixed(c, 4), F.lit("nan"))
 
 
 def promotion_decision(new: DataFrame, current_f1: float = CURRENT_F1, current_recall: float = CURRENT_RECALL,

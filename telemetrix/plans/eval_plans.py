@@ -137,12 +137,12 @@ ORACLE = {
                       coalesce(auc >= {mt.CURRENT_AUC} - 0.005, false) AS auc_ok FROM mx)
         SELECT f1_better AND recall_ok AND auc_ok AS promote,
                CASE WHEN f1_better AND recall_ok AND auc_ok THEN
-                    'F1: ' || printf('%.4f', {mt.CURRENT_F1}) || '→' || printf('%.4f', f1) || ' | Recall: '
-                    || printf('%.4f', recall) || ' | AUC: ' || printf('%.4f', auc)
+                    'F1: ' || coalesce(printf('%.4f', {mt.CURRENT_F1}), 'nan') || '→' || coalesce(printf('%.4f', f1), 'nan') || ' | Recall: '
+                    || coalesce(printf('%.4f', recall), 'nan') || ' | AUC: ' || coalesce(printf('%.4f', auc), 'nan')
                ELSE concat_ws(' | ',
-                    CASE WHEN NOT f1_better THEN 'F1 not improved (' || printf('%.4f', {mt.CURRENT_F1}) || '→' || printf('%.4f', f1) || ')' END,
-                    CASE WHEN NOT recall_ok THEN 'Recall degraded (' || printf('%.4f', {mt.CURRENT_RECALL}) || '→' || printf('%.4f', recall) || ')' END,
-                    CASE WHEN NOT auc_ok THEN 'AUC degraded (' || printf('%.4f', {mt.CURRENT_AUC}) || '→' || printf('%.4f', auc) || ')' END)
+                    CASE WHEN NOT f1_better THEN 'F1 not improved (' || coalesce(printf('%.4f', {mt.CURRENT_F1}), 'nan') || '→' || coalesce(printf('%.4f', f1), 'nan') || ')' END,
+                    CASE WHEN NOT recall_ok THEN 'Recall degraded (' || coalesce(printf('%.4f', {mt.CURRENT_RECALL}), 'nan') || '→' || coalesce(printf('%.4f', recall), 'nan') || ')' END,
+                    CASE WHEN NOT auc_ok THEN 'AUC degraded (' || coalesce(printf('%.4f', {mt.CURRENT_AUC}), 'nan') || '→' || coalesce(printf('%.4f', auc), 'nan') || ')' END)
                END AS reason,
                f1_better, recall_ok, auc_ok FROM ok""",
     "i_retrain_trigger": f"""{_NORM}, {SCORED_CTE}
