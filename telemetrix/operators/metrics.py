@@ -110,3 +110,34 @@ def retrain_trigger(avg_psi, f1, psi_threshold: float = dims.DRIFT_THRESHOLD, re
     """Retrain when the average PSI exceeds the threshold or F1 fell more than 5 % below the reference."""
     drop = (F.lit(float(reference_f1)) - F.col(f1)) / F.lit(float(reference_f1))
     return is_true(F.col(avg_psi) > F.lit(float(psi_threshold))) | is_true(drop > F.lit(float(max_relative_drop)))
+
+
+def evaluate_with_current(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD,
+                          sample_n: int | None = None, seed: int = 42, key: str = "flight_id") -> DataFrame:
+    """I8: metrics of the scored flights (optionally a seeded sample of n flights, F4) with the
+    current production figures alongside."""
+    if sample_n is not None:
+        from .split_norm import seeded_sample
+        scored = scored.join(seeded_sample(scored, key, sample_n, seed), key, "left_semi")
+    m = evaluate(scored, threshold)
+    return (m.withColumn("full_test_f1", F.lit(CURRENT_F1)).withColumn("full_test_auc", F.lit(CURRENT_AUC))
+            .withColumn("full_test_recall", F.lit(CURRENT_RECALL)))
+
+
+def retraining_run(drift: DataFrame, metrics: DataFrame, n_train: DataFrame, n_test: DataFrame) -> DataFrame:
+    """Drift -> evaluate -> decide, as one row of run parameters and metrics (no training step).
+
+    ``drift``: one-row drift report; ``metrics``: one-row evaluation; ``n_train`` / ``n_test``:
+    one-row flight counts (column ``n``).
+    """
+    dec = promotion_decision(metrics)
+    one = F.lit(1)
+    j = (drift.select(F.round("avg_psi", 4).alias("drift_avg_psi"), F.col("drift_flag").alias("drift_detected"))
+         .withColumn("_j", one)
+         .join(dec.select(F.col("promote").alias("promotion_decision"), F.col("reason").alias("promotion_reason"))
+               .withColumn("_j", one), "_j")
+         .join(metrics.select("accuracy", "precision", "recall", "f1", "auc", "loss").withColumn("_j", one), "_j")
+         .join(n_train.select(F.col("n").alias("train_flights")).withColumn("_j", one), "_j")
+         .join(n_test.select(F.col("n").alias("test_flights")).withColumn("_j", one), "_j").drop("_j"))
+    return j.withColumn("retrain", retrain_trigger("drift_avg_psi", "f1")) \
+            .withColumn("pipeline_type", F.lit("evaluate_only"))

@@ -128,3 +128,33 @@ def alert_records(analysis: DataFrame, key: str = "flight_id") -> DataFrame:
 
 def needs_attention(df: DataFrame) -> Column:
     return is_true(F.col("severity").isin("CRITICAL", "HIGH"))
+
+
+def flight_id_fallback(df: DataFrame, id_col: str, order: list[Column], chunk: Column,
+                       out: str = "flight_id") -> DataFrame:
+    """Use the id when present, else the row position (0-based, in ``order``)."""
+    ranked = global_rank(df, order, chunk, "_pos")
+    return ranked.withColumn(out, F.coalesce(F.col(id_col), F.col("_pos") - 1)).drop("_pos")
+
+
+def single_flight_report(rows: DataFrame, channels: list[str], timeline: DataFrame, top: DataFrame,
+                         phase_counts: DataFrame, key: str = "flight_id", t: str = "t",
+                         z_threshold: float = dims.LOCAL_Z_THRESHOLD) -> dict[str, DataFrame]:
+    """The data tables of the single-flight report, for every flight at once.
+
+    smoothed signal (E6), local flags (D22), flagged-step segments (E7),
+    combined durations (D27), phase shares (D26), flagged-sensor cards (C7).
+    """
+    from . import local as lc
+    from . import timeseries as ts
+
+    flags = lc.local_flags(rows, channels, key, z_threshold)
+    share = lc.local_channel_share(flags, channels, key)
+    return {
+        "smoothed": ts.moving_average(rows, channels, key, t),
+        "flags": flags,
+        "segments": lc.anomaly_segments(lc.combined_any_flag(flags, channels, key, t), key, t),
+        "durations": lc.combined_duration(flags, timeline, channels, key, t),
+        "phase_share": phase_share(phase_counts, key),
+        "sensor_cards": lc.worst_anomaly_detail(share, top, key),
+    }

@@ -94,11 +94,13 @@ rep AS (SELECT avg(round(psi, 4)) AS avg_psi, count(*) FILTER (WHERE psi > 0.2)
         FROM psi)
 """
 
-SCORED_CTE = """
+SC_LABELS = """
 sc AS (SELECT l.doc_id AS flight_id, CAST(l.toxic AS INTEGER) AS label,
               (CAST(d.n_chars AS DOUBLE) - 1000.0) / 1000.0 AS logit,
               1.0 / (1.0 + exp(-((CAST(d.n_chars AS DOUBLE) - 1000.0) / 1000.0))) AS prob
-       FROM labels l JOIN documents d USING (doc_id)),
+       FROM labels l JOIN documents d USING (doc_id)),"""
+
+METRICS_CTE = """
 cm AS (SELECT count(*) AS n,
               count(*) FILTER (WHERE prob >= 0.35 AND label = 1) AS tp,
               count(*) FILTER (WHERE prob >= 0.35 AND label <> 1) AS fp,
@@ -108,17 +110,41 @@ rk AS (SELECT label, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY
 au AS (SELECT CASE WHEN n1 > 0 AND n0 > 0 THEN (sr - n1 * (n1 + 1) / 2.0) / (n1 * n0) ELSE 0.5 END AS auc
        FROM (SELECT sum(CASE WHEN label = 1 THEN r END) AS sr, count(*) FILTER (WHERE label = 1) AS n1,
                     count(*) FILTER (WHERE label = 0) AS n0 FROM rk)),
-cw AS (SELECT CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE label = 1), 0) AS pos_weight
+clw AS (SELECT CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE label = 1), 0) AS pos_weight
        FROM sc),
-ll AS (SELECT avg(coalesce(cw.pos_weight, 1.0) * label * (greatest(-logit, 0) + ln(1 + exp(-abs(logit))))
-                  + (1 - label) * (greatest(logit, 0) + ln(1 + exp(-abs(logit))))) AS loss FROM sc, cw),
+ll AS (SELECT avg(coalesce(clw.pos_weight, 1.0) * label * (greatest(-logit, 0) + ln(1 + exp(-abs(logit))))
+                  + (1 - label) * (greatest(logit, 0) + ln(1 + exp(-abs(logit))))) AS loss FROM sc, clw),
 mx AS (SELECT n, tp, fp, fn, tn,
               coalesce(CAST(tp + tn AS DOUBLE) / nullif(n, 0), 0.0) AS accuracy,
               coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS precision,
               coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS recall,
               coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) AS f1,
               auc, pos_weight, loss
-       FROM cm, au, cw, ll)
+       FROM cm, au, clw, ll)
+"""
+
+SCORED_CTE = SC_LABELS + METRICS_CTE
+
+
+def _f4sql(x) -> str:
+    return f"coalesce(printf('%.4f', {x}), 'nan')"
+
+
+PROMO_CTE = f"""
+ok AS (SELECT *, coalesce(f1 > {mt.CURRENT_F1} + 0.01, false) AS f1_better,
+              coalesce(recall >= {mt.CURRENT_RECALL} - 0.02, false) AS recall_ok,
+              coalesce(auc >= {mt.CURRENT_AUC} - 0.005, false) AS auc_ok FROM mx),
+promo AS (
+  SELECT f1_better AND recall_ok AND auc_ok AS promote,
+         CASE WHEN f1_better AND recall_ok AND auc_ok THEN
+              'F1: ' || {_f4sql(mt.CURRENT_F1)} || '→' || {_f4sql('f1')} || ' | Recall: ' || {_f4sql('recall')}
+              || ' | AUC: ' || {_f4sql('auc')}
+         ELSE concat_ws(' | ',
+              CASE WHEN NOT f1_better THEN 'F1 not improved (' || {_f4sql(mt.CURRENT_F1)} || '→' || {_f4sql('f1')} || ')' END,
+              CASE WHEN NOT recall_ok THEN 'Recall degraded (' || {_f4sql(mt.CURRENT_RECALL)} || '→' || {_f4sql('recall')} || ')' END,
+              CASE WHEN NOT auc_ok THEN 'AUC degraded (' || {_f4sql(mt.CURRENT_AUC)} || '→' || {_f4sql('auc')} || ')' END)
+         END AS reason,
+         f1_better, recall_ok, auc_ok FROM ok)
 """
 
 _NORM = f"WITH {sp.CUTPAD_CTE}, {spl.SUPPLIER_SPLIT_CTE}, {PSI_CTE}"
@@ -131,20 +157,7 @@ ORACLE = {
         SELECT n, tp, fp, fn, tn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
                round(recall, 6) AS recall, round(f1, 6) AS f1, round(auc, 6) AS auc,
                round(pos_weight, 6) AS pos_weight, round(loss, 6) AS loss FROM mx""",
-    "i_promotion_decision": f"""WITH {SCORED_CTE},
-        ok AS (SELECT *, coalesce(f1 > {mt.CURRENT_F1} + 0.01, false) AS f1_better,
-                      coalesce(recall >= {mt.CURRENT_RECALL} - 0.02, false) AS recall_ok,
-                      coalesce(auc >= {mt.CURRENT_AUC} - 0.005, false) AS auc_ok FROM mx)
-        SELECT f1_better AND recall_ok AND auc_ok AS promote,
-               CASE WHEN f1_better AND recall_ok AND auc_ok THEN
-                    'F1: ' || coalesce(printf('%.4f', {mt.CURRENT_F1}), 'nan') || '→' || coalesce(printf('%.4f', f1), 'nan') || ' | Recall: '
-                    || coalesce(printf('%.4f', recall), 'nan') || ' | AUC: ' || coalesce(printf('%.4f', auc), 'nan')
-               ELSE concat_ws(' | ',
-                    CASE WHEN NOT f1_better THEN 'F1 not improved (' || coalesce(printf('%.4f', {mt.CURRENT_F1}), 'nan') || '→' || coalesce(printf('%.4f', f1), 'nan') || ')' END,
-                    CASE WHEN NOT recall_ok THEN 'Recall degraded (' || coalesce(printf('%.4f', {mt.CURRENT_RECALL}), 'nan') || '→' || coalesce(printf('%.4f', recall), 'nan') || ')' END,
-                    CASE WHEN NOT auc_ok THEN 'AUC degraded (' || coalesce(printf('%.4f', {mt.CURRENT_AUC}), 'nan') || '→' || coalesce(printf('%.4f', auc), 'nan') || ')' END)
-               END AS reason,
-               f1_better, recall_ok, auc_ok FROM ok""",
+    "i_promotion_decision": f"WITH {SCORED_CTE}, {PROMO_CTE} SELECT * FROM promo",
     "i_retrain_trigger": f"""{_NORM}, {SCORED_CTE}
         SELECT round(avg_psi, 6) AS avg_psi, round(f1, 6) AS f1,
                coalesce(avg_psi > 0.2, false) OR coalesce(({mt.CURRENT_F1} - f1) / {mt.CURRENT_F1} > 0.05, false) AS retrain

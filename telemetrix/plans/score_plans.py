@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..operators import anomaly as an
+from ..operators import drift as dr
+from ..operators import metrics as mt
 from ..operators import explain as ex
 from ..operators import local as lc
 from ..operators import reports as rp
@@ -164,6 +166,25 @@ def q_logistic_score(spark, sf):
     return rounded(sc.apply_logistic_scorer(model, feats))
 
 
+def _test_scored(spark, sf):
+    _, _, _, scores = _model(spark, sf)
+    test = _flights(spark, sf).where("split = 'test'").select("flight_id", "label")
+    return scores.join(test, "flight_id").select("flight_id", "label", "logit", F.col("probability").alias("prob"))
+
+
+def q_model_evaluation(spark, sf):
+    return rounded(mt.evaluate_with_current(_test_scored(spark, sf)))
+
+
+def q_retraining_run(spark, sf):
+    from . import eval_plans as ep
+    drift = dr.drift_report(ep._psi(spark, sf))
+    fl = _flights(spark, sf)
+    n_train = fl.where("split = 'train'").agg(F.count(F.lit(1)).alias("n"))
+    n_test = fl.where("split = 'test'").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(mt.retraining_run(drift, mt.evaluate(_test_scored(spark, sf)), n_train, n_test))
+
+
 QUERIES = {
     "i_pooled_features": q_pooled_features,
     "i_scorer_coefficients": q_scorer_coefficients,
@@ -183,6 +204,8 @@ QUERIES = {
     "i_fleet_status": q_fleet_status,
     "b_fleet_label_subset": q_fleet_at_risk,
     "i_logistic_score": q_logistic_score,
+    "i_model_evaluation": q_model_evaluation,
+    "i_retraining_run": q_retraining_run,
 }
 
 # ---------------------------------------------------------------- SQL twins
@@ -365,3 +388,32 @@ ORACLE = {
         WHERE severity IN ('CRITICAL', 'HIGH')""",
     "i_fleet_status": f"{_FULL}, {_PA}, {_LOCAL}, {_FLEET} SELECT {_FLEET_COLS} FROM fleet",
 }
+
+_TEST_SC = """
+sc AS (SELECT scm.flight_id, ssplit.label, scm.logit, scm.probability AS prob
+       FROM scm JOIN ssplit USING (flight_id) WHERE ssplit.split = 'test'),"""
+
+
+def _eval_sql():
+    from . import eval_plans as ep
+    return ep
+
+
+_EP = _eval_sql()
+_MCOLS = ("n, tp, fp, fn, tn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, "
+          "round(recall, 6) AS recall, round(f1, 6) AS f1, round(auc, 6) AS auc, "
+          "round(pos_weight, 6) AS pos_weight, round(loss, 6) AS loss")
+ORACLE["i_model_evaluation"] = f"""{_BASE}, {_TEST_SC} {_EP.METRICS_CTE}
+    SELECT {_MCOLS}, CAST({mt.CURRENT_F1} AS DOUBLE) AS full_test_f1, CAST({mt.CURRENT_AUC} AS DOUBLE) AS full_test_auc,
+           CAST({mt.CURRENT_RECALL} AS DOUBLE) AS full_test_recall FROM mx"""
+ORACLE["i_retraining_run"] = f"""{_EP._NORM}, {MODEL_CTE}, {_TEST_SC} {_EP.METRICS_CTE}, {_EP.PROMO_CTE}
+    SELECT round(round(avg_psi, 4), 6) AS drift_avg_psi, avg_psi > 0.2 AS drift_detected,
+           promote AS promotion_decision, reason AS promotion_reason,
+           round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+           round(f1, 6) AS f1, round(auc, 6) AS auc, round(loss, 6) AS loss,
+           (SELECT count(*) FROM ssplit WHERE split = 'train') AS train_flights,
+           (SELECT count(*) FROM ssplit WHERE split = 'test') AS test_flights,
+           coalesce(round(avg_psi, 4) > 0.2, false) OR coalesce(({mt.CURRENT_F1} - f1) / {mt.CURRENT_F1} > 0.05, false)
+             AS retrain,
+           'evaluate_only' AS pipeline_type
+    FROM rep, mx, promo"""
