@@ -417,3 +417,8 @@ ORACLE["i_retraining_run"] = f"""{_EP._NORM}, {MODEL_CTE}, {_TEST_SC} {_EP.METRI
              AS retrain,
            'evaluate_only' AS pipeline_type
     FROM rep, mx, promo"""
+
+_FLEET_SUB = (_FLEET.replace("FROM scm),", "FROM scm_sub),").replace("FROM scm JOIN sel", "FROM scm_sub scm JOIN sel"))
+ORACLE["b_fleet_label_subset"] = f"""{_FULL}, {_PA}, {_LOCAL},
+    scm_sub AS (SELECT * FROM scm WHERE flight_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2500)),
+    {_FLEET_SUB} SELECT {_FLEET_COLS} FROM fleet"""
