@@ -40,12 +40,14 @@ def step_chunk(t, width: int = DEFAULT_CHUNK_STEPS) -> Column:
 
 
 def dense_index(df: DataFrame, key: str, order: Sequence, chunk: Column,
-                out: str = "t", length_col: str | None = None) -> DataFrame:
+                out: str = "t", length_col: str | None = None, keep_chunk: bool = False) -> DataFrame:
     """0-based dense position of each row within its key, by ``order``.
 
     ``order`` must be a total order within the key (add a tie-breaker),
     and ``chunk`` must be non-decreasing along it.  Optionally adds the
-    key's total row count as ``length_col``.
+    key's total row count as ``length_col``.  With ``keep_chunk`` the chunk
+    column stays (as ``_chunk``): a later scan that reuses it finds the rows
+    already partitioned by (key, chunk) and needs no new shuffle.
     """
     order_cols = [_c(o) for o in order]
     base = df.withColumn(CHUNK, chunk)
@@ -60,20 +62,21 @@ def dense_index(df: DataFrame, key: str, order: Sequence, chunk: Column,
     offs = sizes.select(*offs_cols)
     res = (local.join(offs, [key, CHUNK])
            .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("int"))
-           .drop("_rn", "_off", CHUNK))
+           .drop("_rn", "_off", *([] if keep_chunk else [CHUNK])))
     return res
 
 
-def fill_forward_backward(df: DataFrame, key: str, t: str, chunk: Column,
+def fill_forward_backward(df: DataFrame, key: str, t: str, chunk: Column | None,
                           cols: Sequence[str], default: float | None = 0.0) -> DataFrame:
     """Forward fill, then backward fill, then ``default`` (ffill().bfill().fillna()).
 
     The fill order per value: last non-null at or before t (this chunk),
     last non-null of an earlier chunk, first non-null at or after t (this
-    chunk), first non-null of a later chunk, default.
+    chunk), first non-null of a later chunk, default.  ``chunk=None`` reuses
+    an existing ``_chunk`` column (monotone in ``t``).
     """
     cols = list(cols)
-    base = df.withColumn(CHUNK, chunk)
+    base = df if chunk is None else df.withColumn(CHUNK, chunk)
     w = Window.partitionBy(key, CHUNK).orderBy(t)
     fwd, bwd = w.rowsBetween(_UNB, 0), w.rowsBetween(0, _UNF)
     local = base.select("*", *[F.last(c, True).over(fwd).alias(f"_ff_{i}") for i, c in enumerate(cols)],
@@ -154,3 +157,53 @@ def with_halo(df: DataFrame, t: str, width: int, before: int, after: int) -> Dat
     exploded = df.withColumn("_tgt", F.explode(F.filter(targets, lambda x: x.isNotNull())))
     return (exploded.withColumn(CHUNK, F.col("_tgt.c")).withColumn("_home", F.col("_tgt.h"))
             .drop("_tgt"))
+
+
+def ordered_fill(df: DataFrame, key: str, order: Sequence[str], chunk: Column, cols: Sequence[str],
+                 values: dict | None = None, default: float | None = 0.0, out: str = "t",
+                 length_col: str = "n_rows") -> tuple[DataFrame, DataFrame]:
+    """Dense step index and forward/backward fill in one shuffle.
+
+    ``order``: ascending column names (a total order per key); ``values``:
+    optional row-wise expressions applied to the channels before the fill
+    (for instance clipping).  The rows are shuffled once by (key, chunk)
+    for the local window; the chunk summary (row count, last and first
+    non-null value per channel) aggregates the window output on the same
+    partitioning, so it adds no shuffle of the rows.
+
+    Returns (rows with ``out`` and ``length_col``, one row per key with its length).
+    """
+    cols = list(cols)
+    values = values or {}
+    base = df.withColumn(CHUNK, chunk)
+    for c, expr in values.items():
+        base = base.withColumn(c, expr)
+    ocols = [F.col(o) for o in order]
+    w = Window.partitionBy(key, CHUNK).orderBy(*ocols)
+    local = base.select("*", F.row_number().over(w).alias("_rn"),
+                        *[F.last(c, True).over(w.rowsBetween(_UNB, 0)).alias(f"_ff_{i}") for i, c in enumerate(cols)],
+                        *[F.first(c, True).over(w.rowsBetween(0, _UNF)).alias(f"_bf_{i}") for i, c in enumerate(cols)])
+
+    # Chunk summary on top of the window output: it is already partitioned by (key, chunk), so
+    # this is a hash aggregate in the same stage; max_by/min_by on the in-chunk row number keep it
+    # on fixed-width buffers.
+    summ = local.groupBy(key, CHUNK).agg(
+        F.max("_rn").alias("_n"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_rn"))).alias(f"_l_{i}") for i, c in enumerate(cols)],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_rn"))).alias(f"_f_{i}") for i, c in enumerate(cols)])
+    wk = Window.partitionBy(key).orderBy(CHUNK)
+    carry = summ.select(
+        key, CHUNK,
+        F.coalesce(F.sum("_n").over(wk.rowsBetween(_UNB, -1)), F.lit(0)).alias("_off"),
+        F.sum("_n").over(Window.partitionBy(key)).cast("int").alias(length_col),
+        *[F.last(f"_l_{i}", True).over(wk.rowsBetween(_UNB, -1)).alias(f"_ci_{i}") for i in range(len(cols))],
+        *[F.first(f"_f_{i}", True).over(wk.rowsBetween(1, _UNF)).alias(f"_co_{i}") for i in range(len(cols))])
+    j = local.join(carry, [key, CHUNK]).withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("int"))
+    for i, c in enumerate(cols):
+        parts = [F.col(f"_ff_{i}"), F.col(f"_ci_{i}"), F.col(f"_bf_{i}"), F.col(f"_co_{i}")]
+        if default is not None:
+            parts.append(F.lit(float(default)))
+        j = j.withColumn(c, F.coalesce(*parts))
+    drop = [CHUNK, "_rn", "_off"] + [f"_{p}_{i}" for p in ("ff", "bf", "ci", "co") for i in range(len(cols))]
+    lengths = summ.groupBy(key).agg(F.sum("_n").cast("int").alias(length_col))
+    return j.drop(*drop), lengths

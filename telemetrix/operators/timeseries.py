@@ -73,51 +73,62 @@ def derive_channels(df: DataFrame, cht: Sequence[str], egt: Sequence[str], fqty:
     )
 
 
-def order_series(df: DataFrame, key: str, order: Sequence, chunk: Column, length_col: str | None = "n_rows"
-                 ) -> DataFrame:
+def order_series(df: DataFrame, key: str, order: Sequence, chunk: Column, length_col: str | None = "n_rows",
+                 keep_chunk: bool = False) -> DataFrame:
     """Dense 0-based step ``t`` per flight along ``order`` (skew-safe, see chunked.dense_index)."""
-    return chunked.dense_index(df, key, order, chunk, out="t", length_col=length_col)
+    return chunked.dense_index(df, key, order, chunk, out="t", length_col=length_col, keep_chunk=keep_chunk)
 
 
 def fill_gaps(df: DataFrame, channels: Sequence[str], key: str = "flight_id", t: str = "t",
-              chunk_steps: int = chunked.DEFAULT_CHUNK_STEPS) -> DataFrame:
-    """Forward fill, backward fill, then 0 (needs a dense ``t``)."""
-    return chunked.fill_forward_backward(df, key, t, chunked.step_chunk(t, chunk_steps), channels, 0.0)
+              chunk_steps: int | None = chunked.DEFAULT_CHUNK_STEPS) -> DataFrame:
+    """Forward fill, backward fill, then 0.
+
+    ``chunk_steps``: chunk by floor(t / steps) (needs a dense ``t``); None reuses the
+    ``_chunk`` column left by :func:`order_series` (no new shuffle).
+    """
+    chunk = None if chunk_steps is None else chunked.step_chunk(t, chunk_steps)
+    return chunked.fill_forward_backward(df, key, t, chunk, channels, 0.0)
 
 
 def cut_pad(df: DataFrame, channels: Sequence[str], n_steps: int, key: str = "flight_id", t: str = "t",
-            length: str = "n_rows") -> DataFrame:
+            length: str = "n_rows", lengths: DataFrame | None = None) -> DataFrame:
     """Keep the last ``n_steps`` steps; left-pad shorter flights with zero rows.
 
     Needs a dense ``t`` and the flight length.  Output ``t`` is 0..n_steps-1
-    for every flight, ``is_pad`` marks padding rows.
+    for every flight, ``is_pad`` marks padding rows.  ``lengths`` (one row
+    per flight) avoids another pass over the rows to find short flights.
     """
     shift = F.lit(int(n_steps)) - F.col(length)
     kept = (df.withColumn(t, (F.col(t) + shift).cast("int")).where(F.col(t) >= 0)
             .select(key, t, *channels, F.lit(False).alias("is_pad")))
-    short = df.groupBy(key).agg(F.max(length).alias("_len")).where(F.col("_len") < F.lit(int(n_steps)))
+    if lengths is None:
+        lengths = df.groupBy(key).agg(F.max(length).alias(length))
+    short = lengths.select(key, F.col(length).alias("_len")).where(F.col("_len") < F.lit(int(n_steps)))
     pad = (short.select(key, F.explode(F.sequence(F.lit(0), F.lit(int(n_steps)) - F.col("_len") - 1)).alias(t))
            .select(key, F.col(t).cast("int").alias(t), *[F.lit(0.0).alias(c) for c in channels],
                    F.lit(True).alias("is_pad")))
     return kept.unionByName(pad)
 
 
-def prepare_flights(sensor: DataFrame, raw_channels: Sequence[str], order: Sequence, chunk: Column,
+def prepare_flights(sensor: DataFrame, raw_channels: Sequence[str], order: Sequence[str], chunk: Column,
                     clip_bounds: Mapping[str, tuple], derive: Mapping | None, n_steps: int = dims.N_TIMESTEPS,
-                    key: str = "flight_id", min_rows: int = dims.MIN_FLIGHT_ROWS,
-                    fill_chunk_steps: int = chunked.DEFAULT_CHUNK_STEPS) -> DataFrame:
-    """K3 as one plan: project -> order -> drop short flights -> clip -> fill -> derive -> cut/pad."""
-    order_names = [o for o in order if isinstance(o, str)]
-    p = project_channels(sensor, [key, *order_names], raw_channels)
-    p = order_series(p, key, order, chunk, "n_rows")
-    p = p.where(F.col("n_rows") >= F.lit(int(min_rows)))
-    p = clip_channels(p, clip_bounds)
-    p = fill_gaps(p, raw_channels, key, "t", fill_chunk_steps)
+                    key: str = "flight_id", min_rows: int = dims.MIN_FLIGHT_ROWS) -> DataFrame:
+    """K3 as one plan: project -> order -> drop short flights -> clip -> fill -> derive -> cut/pad.
+
+    Ordering, clipping and filling share one shuffle of the rows by
+    (flight, time chunk) (:func:`chunked.ordered_fill`); the flight lengths
+    and the padding come from the small chunk summary.
+    """
+    p = project_channels(sensor, [key, *order], raw_channels)
+    clips = {c: clip(c, lo, hi) for c, (lo, hi) in clip_bounds.items() if c in raw_channels}
+    rows, lengths = chunked.ordered_fill(p, key, order, chunk, raw_channels, clips, 0.0, "t", "n_rows")
+    rows = rows.where(F.col("n_rows") >= F.lit(int(min_rows)))
+    lengths = lengths.where(F.col("n_rows") >= F.lit(int(min_rows)))
     chans = list(raw_channels)
     if derive:
-        p = derive_channels(p, **derive)
+        rows = derive_channels(rows, **derive)
         chans += dims.DERIVED_CHANNELS
-    return cut_pad(p.select(key, "t", "n_rows", *chans), chans, n_steps, key, "t", "n_rows")
+    return cut_pad(rows.select(key, "t", "n_rows", *chans), chans, n_steps, key, "t", "n_rows", lengths)
 
 
 def moving_average(df: DataFrame, cols: Sequence[str], key: str = "flight_id", t: str = "t",

@@ -57,7 +57,7 @@ def q_derived_channels(spark, sf):
 def prepared(spark, sf):
     s = tb.lineitem_sensor(spark, sf, inject_gaps=True)
     return ts.prepare_flights(s, tb.LINEITEM_CHANNELS, tb.LINEITEM_ORDER, tb.lineitem_chunk(), tb.LINEITEM_CLIP,
-                              tb.LINEITEM_DERIVE, n_steps=tb.LINEITEM_N, fill_chunk_steps=FILL_CHUNK)
+                              tb.LINEITEM_DERIVE, n_steps=tb.LINEITEM_N)
 
 
 def q_cut_pad(spark, sf):

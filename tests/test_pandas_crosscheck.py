@@ -3,6 +3,7 @@ applyInPandas as an independent cross-check of the Spark plan, on real lineitem
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from telemetrix.functions import dims
 from telemetrix.operators import timeseries as ts
@@ -42,8 +43,13 @@ def test_prepare_matches_per_flight_pandas(spark, sf_small):
     sensor = tb.lineitem_sensor(spark, sf_small, inject_gaps=True)
     schema = "flight_id long, t int, " + ", ".join(f"{c} double" for c in OUT)
     want = sensor.groupBy("flight_id").applyInPandas(_per_flight, schema).toPandas()
-    got = ts.prepare_flights(sensor, CH, tb.LINEITEM_ORDER, tb.lineitem_chunk(), tb.LINEITEM_CLIP,
-                             tb.LINEITEM_DERIVE, n_steps=N, fill_chunk_steps=64).toPandas()
+    for chunk in (tb.lineitem_chunk(), F.floor(F.unix_date(F.to_date("l_shipdate")) / 8), F.lit(0)):
+        got = ts.prepare_flights(sensor, CH, tb.LINEITEM_ORDER, chunk, tb.LINEITEM_CLIP,
+                                 tb.LINEITEM_DERIVE, n_steps=N).toPandas()
+        _compare(want, got)
+
+
+def _compare(want, got):
     key = ["flight_id", "t"]
     a = want.sort_values(key).reset_index(drop=True)
     b = got.sort_values(key).reset_index(drop=True)[a.columns]
