@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -43,14 +43,17 @@ def first_n_flights(df: DataFrame, key: str, n: int | None) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
-def _bin(x, lo, hi, n: int):
-    step = (hi - lo) / F.lit(float(n))
-    g0 = F.floor((x - lo) / step)
-    g = F.least(F.greatest(g0, F.lit(0)), F.lit(n - 1)).cast("double")
-    lower = g * step + lo
-    upper = (g + 1.0) * step + lo
-    fixed = (F.when((g > 0) & (x < lower), g - 1.0)
-             .when((g < n - 1) & (x >= upper), g + 1.0)
+def _bin_start(x, lo, hi, n: int):
+    """First guess floor((x - lo) / step) clamped to the bin range, and the step."""
+    step = F.when(hi > lo, (hi - lo) / F.lit(float(n)))  # NULL for a constant channel (last bin, see _bin_fix)
+    g = F.least(F.greatest(F.floor((x - lo) / step), F.lit(0)), F.lit(n - 1)).cast("double")
+    return g, step
+
+
+def _bin_fix(x, g, step, lo, hi, n: int):
+    """NumPy's edge rule on the guess: edge_i = i * step + lo, last bin closed, lo == hi -> last bin."""
+    fixed = (F.when((g > 0) & (x < g * step + lo), g - 1.0)
+             .when((g < n - 1) & (x >= (g + 1.0) * step + lo), g + 1.0)
              .otherwise(g))
     return F.when(hi == lo, F.lit(n - 1)).otherwise(fixed.cast("int"))
 
@@ -62,24 +65,30 @@ def psi_by_channel(sides: DataFrame, channels: Sequence[str], n_bins: int = dims
     rng = sides.agg(*[F.min(c).alias(f"_lo{i}") for i, c in enumerate(chans)],
                     *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(chans)])
     j = sides.withColumn("_j", F.lit(1)).join(F.broadcast(rng.withColumn("_j", F.lit(1))), "_j")
-    binned = j.select("side", *[_bin(F.col(c), F.col(f"_lo{i}"), F.col(f"_hi{i}"), n_bins).alias(f"_b{i}")
-                                for i, c in enumerate(chans)])
-    # One (channel, bin) pair per value, counted by a partial-aggregating group-by: at most
-    # 2 x channels x bins groups, so the map-side combine leaves a tiny shuffle.
-    pairs = binned.select("side", F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), F.col(f"_b{i}").alias("bin"))
-                                                      for i in range(len(chans))])).alias("_x"))
+    # one (side, channel, value) row per value, then a single bin expression: one copy of the
+    # edge rule in the generated code instead of one per channel (12 deep copies exceed the size
+    # the JIT compiles and run interpreted)
+    vals = j.select("side", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("idx"), F.col(c).alias("x"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
+        for i, c in enumerate(chans)])).alias("_x")).select("side", "_x.*")
+    g, step = _bin_start(F.col("x"), F.col("lo"), F.col("hi"), n_bins)
+    guess = vals.select("side", "idx", "x", "lo", "hi", g.alias("_g"), step.alias("_st"))
+    pairs = guess.select("side", F.struct(F.col("idx"), _bin_fix(F.col("x"), F.col("_g"), F.col("_st"), F.col("lo"),
+                                                                 F.col("hi"), n_bins).alias("bin")).alias("_x"))
     counts = pairs.groupBy("side", "_x.idx", "_x.bin").agg(F.count(F.lit(1)).alias("cnt"))
-    sizes = counts.groupBy("side").agg((F.sum("cnt") / F.lit(len(chans))).alias("n"))
-    grid = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(i).alias("idx"), F.lit(b).alias("bin"))
-                     for i, c in enumerate(chans) for b in range(n_bins)])
-    full = (sizes.select("side", "n", F.explode(grid).alias("_g")).select("side", "n", "_g.*")
-            .join(counts, ["side", "idx", "bin"], "left")
-            .withColumn("share", F.coalesce(F.col("cnt"), F.lit(0)) / F.col("n") + F.lit(epsilon)))
-    wide = full.groupBy("channel", "idx", "bin").agg(
-        F.max(F.when(F.col("side") == "expected", F.col("share"))).alias("e"),
-        F.max(F.when(F.col("side") == "actual", F.col("share"))).alias("a"))
-    return (wide.groupBy("channel", "idx")
-            .agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi")))
+    # every row adds one count per channel, so a side's size is its count total for one channel;
+    # a window over the tiny count table gives it without a second pass over the rows
+    shares = counts.withColumn("share", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("side", "idx")))
+    wide = shares.groupBy("idx", "bin").agg(
+        (F.coalesce(F.max(F.when(F.col("side") == "expected", F.col("share"))), F.lit(0.0)) + F.lit(epsilon))
+        .alias("e"),
+        (F.coalesce(F.max(F.when(F.col("side") == "actual", F.col("share"))), F.lit(0.0)) + F.lit(epsilon))
+        .alias("a"))
+    # bins empty on both sides add (eps - eps) * ln(1) = 0, so they need no row
+    names = F.array(*[F.lit(c) for c in chans])
+    return (wide.groupBy("idx")
+            .agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"))
+            .select(F.element_at(names, F.col("idx") + 1).alias("channel"), "idx", "psi"))
 
 
 def drift_report(psi: DataFrame, threshold: float = dims.DRIFT_THRESHOLD) -> DataFrame:
