@@ -18,6 +18,7 @@ from ..operators import local as lc
 from ..operators import reports as rp
 from ..operators import score as sc
 from ..operators import split_norm as sn
+from ..session import materialize
 from ..sources import tables as tb
 from . import anomaly_plans as ap
 from . import series_plans as sp
@@ -34,11 +35,17 @@ def _flights(spark, sf):
 
 
 def _model(spark, sf):
+    """Normalised rows, pooled features, fitted coefficients and scores.
+
+    The coefficient and score tables (one row per channel / flight) are
+    written once, so the report branches that all read them do not re-run
+    the feature -> fit -> score chain.
+    """
     z = spl.normalised(spark, sf)
     feats = sc.pooled_features(z, CH)
     train = _flights(spark, sf).where("split = 'train'")
-    coef = sc.fit_centroid_scorer(feats, train, CH)
-    scores = sc.score_flights(feats, coef, CH)
+    coef = materialize(sc.fit_centroid_scorer(feats, train, CH), "coef")
+    scores = materialize(sc.score_flights(feats, coef, CH), "scores")
     return z, feats, coef, scores
 
 
