@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.exprs import clip, is_true
+from ..functions.joins import broadcast_if_small
 from . import chunked
 
 
@@ -22,11 +23,12 @@ def semi_join_flights(sensor: DataFrame, flights: DataFrame, key: str = "flight_
                       flight_key: str | None = None) -> DataFrame:
     """Keep sensor rows of the given flights.
 
-    The id set grows with the data, so no broadcast hint: AQE broadcasts it
-    at runtime when its measured size allows, else it stays a shuffle join.
+    The id set grows with the data, so it is broadcast only behind a size
+    check; above the bound it stays a shuffle join (AQE may still broadcast
+    it at runtime).
     """
     ids = flights.select(F.col(flight_key or key).alias(key)).distinct()
-    return sensor.join(ids, key, "left_semi")
+    return sensor.join(broadcast_if_small(ids), key, "left_semi")
 
 
 def missing_flights(header: DataFrame, sensor: DataFrame, key: str = "flight_id",

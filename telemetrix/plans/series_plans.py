@@ -106,7 +106,12 @@ def q_causal_dilated_filter(spark, sf):
     return rounded(out.select("flight_id", "t", *[f"value_d{d}" for d in FILTER_DILATIONS]))
 
 
+def q_dimension_lookup(spark, sf):
+    return tb.lineitem_dimensions(spark, sf)
+
+
 QUERIES = {
+    "c_dimension_lookup": q_dimension_lookup,
     "e_dense_order": q_dense_order,
     "b_clip_channels": q_clip_channels,
     "e_ffill_bfill": q_ffill_bfill,
@@ -200,6 +205,15 @@ def _hdr():
     return HEADER_CTE
 
 ORACLE = {
+    "c_dimension_lookup": """
+        SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey AS flight_id,
+               coalesce(p.p_name, CAST(l.l_partkey AS VARCHAR)) AS part_name,
+               coalesce(n.n_name, CAST(s.s_nationkey AS VARCHAR)) AS nation_name,
+               coalesce(r.r_name, 'unknown') AS region_name
+        FROM lineitem l LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey
+        LEFT JOIN part p ON p.p_partkey = l.l_partkey
+        LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
+        LEFT JOIN region r ON r.r_regionkey = coalesce(n.n_regionkey, -1)""",
     "e_dense_order": f"WITH {PREP_CTE} SELECT flight_id, t, n_rows, l_orderkey, l_linenumber, l_partkey FROM o",
     "b_clip_channels": f"WITH {PREP_CTE} SELECT flight_id, t, {_R(_CH)} FROM c",
     "e_ffill_bfill": f"WITH {PREP_CTE} SELECT flight_id, t, {_R(_CH)} FROM f",

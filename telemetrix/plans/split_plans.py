@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..operators import header as hd
 from ..operators import split_norm as sn
+from ..functions.joins import broadcast_if_small
 from ..session import materialize
 from ..sources import tables as tb
 from . import series_plans as sp
@@ -48,7 +49,7 @@ def q_head_n(spark, sf):
 def prepared_with_split(spark, sf):
     """Prepared flights with label and split, written once as a table (several branches read it)."""
     flights = sn.stratified_split(tb.supplier_labels(spark, sf), "flight_id", "label")
-    return materialize(sp.prepared(spark, sf).join(flights, "flight_id"), "prepared")
+    return materialize(sp.prepared(spark, sf).join(broadcast_if_small(flights), "flight_id"), "prepared")
 
 
 def train_stats(spark, sf):

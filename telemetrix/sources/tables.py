@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.exprs import sigmoid
+from ..functions.joins import broadcast_if_small, lookup_with_fallback
 
 # --------------------------------------------------------------------------
 # Fixed values of the test mapping (FIXTURES.md).
@@ -105,7 +106,7 @@ def orders_header(spark: SparkSession, sf_dir: str, with_duplicates: bool = True
     maint = (o.groupBy("o_custkey")
              .agg(F.max_by("o_orderdate", F.struct(F.col("o_totalprice"), -F.col("o_orderkey")))
                   .alias("maint_date")))
-    j = o.join(maint, "o_custkey")
+    j = o.join(broadcast_if_small(maint), "o_custkey")
     dd = F.datediff(F.to_date("o_orderdate"), F.to_date("maint_date"))
     hdr = j.select(
         F.col("o_orderkey").alias("master_index"),
@@ -147,3 +148,19 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     logit = (F.col("n_chars").cast("double") - F.lit(1000.0)) / F.lit(1000.0)
     return j.select(F.col("doc_id").alias("flight_id"), F.col("toxic").cast("int").alias("label"),
                     logit.alias("logit"), sigmoid(logit).alias("prob"))
+
+
+def lineitem_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimension role: sensor rows with part, nation and region names, each with a fallback."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("flight_id"),
+                                                 "l_partkey")
+    sup = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nation = _read(spark, sf_dir, "nation")
+    region = _read(spark, sf_dir, "region")
+    j = li.join(broadcast_if_small(sup), li["flight_id"] == sup["s_suppkey"], "left").drop("s_suppkey")
+    j = lookup_with_fallback(j, _read(spark, sf_dir, "part"), "l_partkey", "p_partkey", "p_name", "part_name")
+    j = lookup_with_fallback(j, nation, "s_nationkey", "n_nationkey", "n_name", "nation_name")
+    nat_region = nation.select("n_nationkey", "n_regionkey")
+    j = lookup_with_fallback(j, nat_region, "s_nationkey", "n_nationkey", "n_regionkey", "_region_key", F.lit(-1))
+    j = lookup_with_fallback(j, region, "_region_key", "r_regionkey", "r_name", "region_name", "unknown")
+    return j.select("l_orderkey", "l_linenumber", "flight_id", "part_name", "nation_name", "region_name")

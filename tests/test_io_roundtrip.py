@@ -63,3 +63,20 @@ def test_run_log_append(spark):
     assert len(rows) == 2 and rows[0].params["threshold"] == "0.35" and rows[0].metrics["auc"] == 0.7
     assert rows[0].run_name.startswith("retrain_") and len(rows[0].run_name) == len("retrain_20260101_000000")
     assert back.select(F.countDistinct("run_id")).collect()[0][0] == 2
+
+
+def test_checked_broadcast(spark, sf_small):
+    from telemetrix.functions.joins import broadcast_if_small, estimated_bytes
+    nation = spark.read.parquet(f"{sf_small}/nation.parquet")
+    assert estimated_bytes(nation) is not None
+    li = spark.read.parquet(f"{sf_small}/lineitem.parquet").select("l_suppkey")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = li.join(broadcast_if_small(nation), li.l_suppkey == nation.n_nationkey)
+        big = li.join(broadcast_if_small(nation, max_bytes=1), li.l_suppkey == nation.n_nationkey)
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in big._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
