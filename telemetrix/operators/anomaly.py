@@ -7,11 +7,12 @@ Plan shape (the same at any scale):
   (flight, phase) count/mean/variance for every channel, keep groups with
   enough rows, then pool per phase from the group moments (no join back
   to the raw rows, no window over a flight);
-* detection joins the wide baseline (at most 4 rows: one per phase, a
-  fixed size, so broadcast is safe) to the rows, computes every channel's
-  z in the same projection and aggregates per (flight, phase) with one
-  count / flagged-count / max-z triple per channel.  Only that aggregate
-  (flights x 4 rows) is unpivoted to per-channel rows.
+* detection uses the fitted baseline (at most phases x channels values, a
+  bound independent of the data) inlined as literals, computes every
+  channel's z in one projection and aggregates per (flight, phase) with
+  one count / flagged-count / max-z triple per channel.  Only that
+  aggregate (flights x 4 rows) is unpivoted to per-channel rows.  Above
+  the bound the baseline is joined as a broadcast wide row per phase.
 """
 
 from __future__ import annotations
@@ -77,13 +78,42 @@ def _wide_baseline(baseline: DataFrame, channels: Sequence[str]) -> DataFrame:
     return baseline.groupBy(F.col("phase").alias("_bphase")).agg(*aggs)
 
 
+# A fitted baseline has at most (phases x channels) rows.  Within this bound it is inlined into
+# the plan as literals (a small model, like the statistics a fitted Spark ML model carries);
+# beyond it the broadcast join below is used.
+MAX_INLINE_PAIRS = 4 * 64
+
+
+def baseline_model(baseline: DataFrame, max_pairs: int = MAX_INLINE_PAIRS) -> dict | None:
+    """The baseline as {(phase, channel): (mean, std)} when it has at most ``max_pairs`` rows, else None."""
+    rows = baseline.select("phase", "channel", "mean", "std").limit(max_pairs + 1).collect()
+    if len(rows) > max_pairs:
+        return None
+    return {(r.phase, r.channel): (float(r.mean), float(r.std)) for r in rows}
+
+
+def _z_literal(c: str, phase: str, model: dict):
+    expr = None
+    for name, _, _ in dims.PHASES:
+        if (name, c) in model:
+            mu, sd = model[(name, c)]
+            z = F.abs((F.col(c) - F.lit(mu)) / F.lit(sd))
+            cond = F.col(phase) == F.lit(name)
+            expr = F.when(cond, z) if expr is None else expr.when(cond, z)
+    return expr if expr is not None else F.lit(None).cast("double")
+
+
 def _with_z(rows: DataFrame, baseline: DataFrame, channels: Sequence[str], phase: str) -> DataFrame:
+    """Adds ``_z<i>`` = |x - mean| / std per channel from the (phase, channel) baseline; NULL when absent."""
+    model = baseline_model(baseline)
+    if model is not None:
+        return rows.select(*rows.columns, *[_z_literal(c, phase, model).alias(f"_z{i}")
+                                            for i, c in enumerate(channels)])
     wide = _wide_baseline(baseline, channels)
     j = rows.join(F.broadcast(wide), rows[phase] == wide["_bphase"], "left")
     zs = [F.abs((F.col(c) - F.col(f"_bm{i}")) / F.col(f"_bs{i}")).alias(f"_z{i}")
           for i, c in enumerate(channels)]
-    keep = [c for c in rows.columns]
-    return j.select(*keep, *zs)
+    return j.select(*rows.columns, *zs)
 
 
 def phase_channel_stats(rows: DataFrame, baseline: DataFrame, channels: Sequence[str],

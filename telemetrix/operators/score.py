@@ -72,7 +72,21 @@ def _wide_coef(coef: DataFrame, channels: Sequence[str]) -> DataFrame:
     return coef.agg(*aggs)
 
 
+MAX_INLINE_CHANNELS = 256
+
+
 def _with_coef(df: DataFrame, coef: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """Adds _bias, _mu<i>, _sd<i>, _w<i>: the coefficient table (one row per channel, a bound
+    independent of the data) inlined as literals; above the bound joined as one broadcast row."""
+    got = coef.select("channel", "mu", "sd", "w", "bias").limit(MAX_INLINE_CHANNELS + 1).collect()
+    if len(got) <= MAX_INLINE_CHANNELS:
+        m = {r.channel: r for r in got}
+        bias = float(got[0].bias) if got else 0.0
+        cols = [F.lit(bias).alias("_bias")]
+        for i, c in enumerate(channels):
+            cols += [F.lit(float(m[c].mu)).alias(f"_mu{i}"), F.lit(float(m[c].sd)).alias(f"_sd{i}"),
+                     F.lit(float(m[c].w)).alias(f"_w{i}")]
+        return df.select("*", *cols)
     wide = _wide_coef(coef, channels)
     return df.withColumn("_j", F.lit(1)).join(F.broadcast(wide.withColumn("_j", F.lit(1))), "_j").drop("_j")
 

@@ -72,9 +72,22 @@ def norm_stats(rows: DataFrame, channels: Sequence[str]) -> DataFrame:
     return agg.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
 
 
+MAX_INLINE_CHANNELS = 256
+
+
 def apply_zscore(rows: DataFrame, stats: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """(x - mean) / std per channel; the statistics row is one row (fixed size, broadcast)."""
+    """(x - mean) / std per channel.
+
+    The statistics have one row per channel (a bound independent of the
+    data), so they are inlined as literals; joining them would append two
+    columns per channel to every row.  Above the bound a broadcast join is used.
+    """
     chans = list(channels)
+    got = stats.select("channel", "mean", "std").limit(MAX_INLINE_CHANNELS + 1).collect()
+    if len(got) <= MAX_INLINE_CHANNELS:
+        m = {r.channel: (float(r.mean), float(r.std)) for r in got}
+        out = [((F.col(c) - F.lit(m[c][0])) / F.lit(m[c][1])).alias(c) for c in chans]
+        return rows.select(*[c for c in rows.columns if c not in chans], *out)
     wide = stats.agg(*[F.max(F.when(F.col("channel") == c, F.col("mean"))).alias(f"_m{i}") for i, c in enumerate(chans)],
                      *[F.max(F.when(F.col("channel") == c, F.col("std"))).alias(f"_s{i}") for i, c in enumerate(chans)])
     j = rows.withColumn("_j", F.lit(1)).join(F.broadcast(wide.withColumn("_j", F.lit(1))), "_j").drop("_j")
