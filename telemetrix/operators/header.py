@@ -1,7 +1,7 @@
 """Flight-header cleaning and label construction.
 
 Every step is a projection, a filter or a partial-aggregating group-by.
-Keep-first dedup is a ``groupBy(all attributes).min(struct(order, key))``
+Keep-first dedup is a ``groupBy(all attributes)`` with ``min_by(key, order)``
 rather than a window over the attributes, so a duplicate group holding a
 large share of the rows is combined map-side instead of landing in one
 task.
@@ -27,9 +27,9 @@ def _attrs(df: DataFrame, key: str, order: str) -> list[str]:
 def dedup_keep_first(df: DataFrame, key: str = "master_index", order: str = "ingest_order") -> DataFrame:
     """B1: drop rows whose non-key attributes equal an earlier row's (NULLs equal), keep the first."""
     attrs = _attrs(df, key, order)
-    first = F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("k"))).alias("_first")
-    return (df.groupBy(*attrs).agg(first)
-            .select(F.col("_first.k").alias(key), *attrs, F.col("_first.o").alias(order)))
+    # min_by / min keep fixed-width buffers, so this stays a hash aggregate with map-side combine
+    return (df.groupBy(*attrs).agg(F.min_by(key, order).alias(key), F.min(order).alias(order))
+            .select(key, *attrs, order))
 
 
 def impute_hierarchy(df: DataFrame, label: str = "label", hierarchy: str = "hierarchy") -> DataFrame:

@@ -40,7 +40,7 @@ def confusion_metrics(scored: DataFrame, threshold: float = dims.DECISION_THRESH
         F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), z).alias("f1"))
 
 
-def roc_auc(scored: DataFrame, prob: str = "prob", label: str = "label", score_buckets: int = 1024) -> DataFrame:
+def roc_auc(scored: DataFrame, prob: str = "prob", label: str = "label", score_buckets: int = 1 << 16) -> DataFrame:
     """One row ``auc``; 0.5 when only one class is present.  ``prob`` must lie in [0, 1]."""
     y = F.col(label) == 1
     per = scored.groupBy(F.col(prob).alias("_p")).agg(F.count(F.when(y, 1)).alias("_pos"),

@@ -21,7 +21,7 @@ def global_rank(df: DataFrame, order: list[Column], chunk: Column, out: str = "r
     return r.withColumn(out, (F.col("_r") + 1).cast("long")).drop("_all", "_r")
 
 
-def rank_by_probability(scores: DataFrame, key: str = "flight_id", buckets: int = 4096) -> DataFrame:
+def rank_by_probability(scores: DataFrame, key: str = "flight_id", buckets: int = 1 << 16) -> DataFrame:
     """fleet rank by probability (descending), ties by flight id."""
     chunk = F.least(F.floor((F.lit(1.0) - F.col("probability")) * buckets), F.lit(buckets - 1)).cast("long")
     return global_rank(scores, [F.col("probability").desc(), F.col(key)], chunk, "fleet_rank")
