@@ -189,3 +189,35 @@ def test_split_is_exact_disjoint_and_complete(spark):
     n1_temp = math.ceil(0.3 * 250)
     assert c[("test", 1)] == math.ceil(0.333 * n1_temp) and c[("val", 1)] == n1_temp - c[("test", 1)]
     assert c[("train", 0)] == 750 - math.ceil(0.3 * 750)
+
+
+def test_absent_channel_becomes_zero(spark):
+    df = spark.createDataFrame([(1, 0, 5.0)], "flight_id long, timestep int, a double")
+    out = ts.project_channels(df, ["flight_id", "timestep"], ["a", "b"]).collect()[0]
+    assert out.a == 5.0 and out.b == 0.0
+
+
+def test_flight_id_fallback_and_first_n(spark):
+    from telemetrix.operators import reports as rp
+    df = spark.createDataFrame([(None, 0.2), (7, 0.9), (None, 0.5)], "fid long, p double")
+    out = rp.flight_id_fallback(df, "fid", [F.col("p")], F.lit(0)).orderBy("p").collect()
+    assert [r.flight_id for r in out] == [0, 1, 7]
+    rows = spark.createDataFrame([(k, t) for k in (5, 1, 3, 9) for t in range(3)], "flight_id long, t int")
+    assert sorted({r.flight_id for r in dr.first_n_flights(rows, "flight_id", 2).collect()}) == [1, 3]
+
+
+def test_single_flight_report_tables(spark):
+    from telemetrix.operators import reports as rp
+    rows = spark.createDataFrame([(1, t, float(t % 7) + (30.0 if 50 <= t <= 53 else 0.0)) for t in range(100)],
+                                 "flight_id long, t int, x double")
+    timeline = rows.select("flight_id", "t", F.lit(0).alias("flag"))
+    top = spark.createDataFrame([(1, 1, "x", "cruise", 3.2)], "flight_id long, rank int, sensor string, "
+                                                               "phase string, max_z double")
+    pc = spark.createDataFrame([(1, "taxi", 0), (1, "cruise", 3)], "flight_id long, phase string, count int")
+    rep = rp.single_flight_report(rows, ["x"], timeline, top, pc)
+    assert set(rep) == {"smoothed", "flags", "segments", "durations", "phase_share", "sensor_cards"}
+    seg = rep["segments"].collect()
+    assert [(r.seg_start, r.seg_end) for r in seg] == [(50, 53)]
+    card = rep["sensor_cards"].collect()[0]
+    assert card.sensor == "x" and card.phase == "cruise" and card.max_z == 3.2
+    assert {r.phase: r.share_pct for r in rep["phase_share"].collect()} == {"taxi": 0.0, "cruise": 100.0}
