@@ -204,12 +204,17 @@ def top_anomalies(stats: DataFrame, chanset: dims.ChannelSet, key: str = "flight
 
 def anomaly_timeline(rows: DataFrame, baseline: DataFrame, channels: Sequence[str],
                      key: str = "flight_id", t: str = "t", phase: str = "phase",
-                     z_threshold: float = dims.Z_THRESHOLD, min_rows: int = dims.MIN_PHASE_ROWS) -> DataFrame:
+                     z_threshold: float = dims.Z_THRESHOLD, min_rows: int = dims.MIN_PHASE_ROWS,
+                     unordered: DataFrame | None = None) -> DataFrame:
     """D14 (flat): per (flight, t) 1 when any scored channel exceeds the threshold in a phase
-    that has at least ``min_rows`` rows and a baseline; no persistence rule."""
+    that has at least ``min_rows`` rows and a baseline; no persistence rule.
+
+    ``unordered``: the same rows before the step index was added (with the phase column);
+    the phase row counts are then aggregated from it, so the ordering is not re-run for them.
+    """
     chans = list(channels)
     z = _with_z(rows, baseline, chans, phase)
-    n = rows.groupBy(key, phase).agg(F.count(F.lit(1)).alias("_pn"))
+    n = (unordered if unordered is not None else rows).groupBy(key, phase).agg(F.count(F.lit(1)).alias("_pn"))
     thr = F.lit(float(z_threshold))
     any_flag = F.greatest(*[is_true(F.col(f"_z{i}") > thr).cast("int") for i in range(len(chans))]) \
         if len(chans) > 1 else is_true(F.col("_z0") > thr).cast("int")

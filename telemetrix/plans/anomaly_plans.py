@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
 from ..operators import anomaly as an
 from ..operators import chunked
 from ..sources import tables as tb
@@ -16,13 +17,15 @@ from .common import PHASE_VALUES_SQL, rounded, sql_phase_case
 
 
 def _detect_inputs(spark: SparkSession, sf: str, with_t: bool = False):
-    rows = tb.lineitem_sensor(spark, sf)
-    if with_t:
-        rows = chunked.dense_index(rows, "flight_id", tb.LINEITEM_ORDER, tb.lineitem_chunk())
-    rows = an.assign_phase(rows, tb.LINEITEM_PHASES)
+    raw = an.assign_phase(tb.lineitem_sensor(spark, sf), tb.LINEITEM_PHASES)
     labels = tb.supplier_labels(spark, sf)
-    healthy = rows.join(labels.where("label = 0"), "flight_id", "left_semi")
+    # the fit needs no step order, so it reads the unordered rows
+    healthy = raw.join(broadcast_if_small(labels.where("label = 0").select("flight_id")), "flight_id", "left_semi")
     base = an.fit_baseline(healthy, tb.LINEITEM_CHANNELS)
+    rows = raw
+    if with_t:
+        rows = an.assign_phase(chunked.dense_index(tb.lineitem_sensor(spark, sf), "flight_id", tb.LINEITEM_ORDER,
+                                                   tb.lineitem_chunk()), tb.LINEITEM_PHASES)
     return rows, base
 
 
@@ -69,7 +72,8 @@ def q_top_anomalies(spark, sf):
 
 def q_anomaly_timeline(spark, sf):
     rows, base = _detect_inputs(spark, sf, with_t=True)
-    return an.anomaly_timeline(rows, base, tb.LINEITEM_CHANNELS, z_threshold=tb.LINEITEM_Z)
+    raw = an.assign_phase(tb.lineitem_sensor(spark, sf), tb.LINEITEM_PHASES)
+    return an.anomaly_timeline(rows, base, tb.LINEITEM_CHANNELS, z_threshold=tb.LINEITEM_Z, unordered=raw)
 
 
 QUERIES = {
