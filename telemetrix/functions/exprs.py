@@ -1,7 +1,17 @@
 """Column-expression builders.
 
 All of these produce JVM-side Catalyst expressions, so they stay inside
-whole-stage codegen.  They encode the NULL/NaN rules of the reference:
+whole-stage codegen.
+
+Scalar function families (SURVEY H1-H10) and where they are used:
+H1 abs / greatest / least / round (derived channels, z-scores, top lists);
+H2 sigmoid (:func:`sigmoid`, scoring); H3 natural log (PSI, log-loss);
+H4 linear bin edges (drift._bin_start / _bin_fix); H5 fixed-point text
+(functions/fmt.py); H6 join / slice of lists (explain: concat_ws, slice);
+H7 map lookup with default (element_at + coalesce: severity messages,
+descriptions); H8 array size / element access / ordered lists (A8 shape
+check, array_sort of structs); H9 JSON encode / decode (alert records,
+baseline JSON); H10 timestamp format (run names, date_format).  They encode the NULL/NaN rules of the reference:
 missing values are NULL (NaN is converted at the scan), clipping keeps
 NULL, comparisons with NULL count as false.
 """

@@ -121,7 +121,8 @@ def phase_channel_stats(rows: DataFrame, baseline: DataFrame, channels: Sequence
                         z_threshold: float = dims.Z_THRESHOLD,
                         min_rows: int = dims.MIN_PHASE_ROWS,
                         persistence: float = dims.PERSISTENCE) -> DataFrame:
-    """Per (flight, channel, phase): n, n_flagged, pct_flagged, max_z, persistent.
+    """D10 (with the B16 point predicate |z| > threshold, strict): per (flight, channel, phase):
+    n, n_flagged, pct_flagged, max_z, persistent.
 
     Pairs without a baseline entry and phases with fewer than ``min_rows``
     rows are skipped.

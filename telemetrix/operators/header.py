@@ -63,7 +63,8 @@ def clean_header(df: DataFrame, key: str = "master_index", order: str = "ingest_
 
 def construct_labels(df: DataFrame, limit: int = dims.DATE_DIFF_LIMIT,
                      rul_threshold: int = dims.RUL_THRESHOLD) -> DataFrame:
-    """Drop 'same' (missing kept), drop |date_diff| > limit, binary label, days to maintenance."""
+    """B3 drop 'same' (missing kept), B4 drop |date_diff| > limit, B5 binary label
+    date_diff <= threshold, B6 days to maintenance for 'before' rows."""
     dd = F.col("date_diff")
     out = (df.where(~F.col("before_after").eqNullSafe("same"))
            .where(~is_true((dd < F.lit(-limit)) | (dd > F.lit(limit)))))

@@ -93,7 +93,7 @@ def _with_coef(df: DataFrame, coef: DataFrame, channels: Sequence[str]) -> DataF
 
 def score_flights(features: DataFrame, coef: DataFrame, channels: Sequence[str], key: str = "flight_id",
                   threshold: float = dims.DECISION_THRESHOLD) -> DataFrame:
-    """I1 (+B20-B22): logit, probability, decision, severity, message per flight."""
+    """Logit, probability, B21 decision (probability >= threshold), B20 severity, B22 message."""
     chans = list(channels)
     j = _with_coef(features, coef, chans)
     logit = F.col("_bias")

@@ -85,6 +85,7 @@ def q_missing_flights(spark, sf):
 
 
 def q_sensor_header_join(spark, sf):
+    """Sensor rows inner-joined to the labelled header (one join, no batching)."""
     lab = hd.construct_labels(_clean_header(spark, sf)).select("master_index", "label_binary")
     return rounded(_order_lines(spark, sf).join(lab, "master_index"))
 
