@@ -41,8 +41,12 @@ def score_batch(batch: DataFrame, baseline: DataFrame, chanset: dims.ChannelSet,
 def analyse_arrivals(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                      baseline: DataFrame, chanset: dims.ChannelSet, channels: Sequence[str],
                      spec: dims.PhaseSpec, n_steps: int, z_threshold: float = dims.Z_THRESHOLD,
-                     files_per_trigger: int = 1, key: str = "flight_id") -> None:
-    """Run the arrival stream over everything available now, then stop."""
+                     files_per_trigger: int = 1, key: str = "flight_id", processing_time: str | None = None):
+    """Run the arrival stream.
+
+    Default: process everything available now, then stop (returns None).  With
+    ``processing_time`` (for instance ``'1 minute'``) the query keeps running and is returned.
+    """
     stream = (spark.readStream.schema(nested_schema(key)).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
 
@@ -51,9 +55,11 @@ def analyse_arrivals(spark: SparkSession, source_dir: str, sink_dir: str, checkp
         scores.write.mode("overwrite").parquet(f"{sink_dir}/scores/batch_id={batch_id}")
         rejects.write.mode("overwrite").parquet(f"{sink_dir}/rejects/batch_id={batch_id}")
 
-    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
+    if processing_time:
+        return writer.trigger(processingTime=processing_time).start()
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return None
 
 
 def replay_as_files(nested: DataFrame, target_dir: str, n_files: int = 4, key: str = "flight_id") -> None:
