@@ -91,8 +91,13 @@ def predict(normalised: DataFrame, baseline: DataFrame, coef: DataFrame, scores:
     return rp.alert_records(rp.flight_analysis(scores, det, explain(normalised, scores, coef, det)))
 
 
-def run_retraining(normalised: DataFrame, scores: DataFrame) -> DataFrame:
-    """Drift (train vs test) -> evaluate (test flights) -> promotion decision, as one run row."""
+def run_retraining(normalised: DataFrame, scores: DataFrame, log_path: str | None = None,
+                   run_name: str = "retrain") -> DataFrame:
+    """Drift (train vs test) -> evaluate (test flights) -> promotion decision, as one run row.
+
+    With ``log_path`` the run is also appended to the run log (A10): a time-stamped run name,
+    the decision and drift figures as params, the metrics as metrics.
+    """
     sides = dr.tag_split_sides(normalised, dims.ALL_CHANNELS)
     drift = dr.drift_report(dr.psi_by_channel(sides, dims.ALL_CHANNELS))
     flights = normalised.select("flight_id", "label", "split").distinct()
@@ -100,4 +105,14 @@ def run_retraining(normalised: DataFrame, scores: DataFrame) -> DataFrame:
         "flight_id", "label", "logit", F.col("probability").alias("prob"))
     n_train = flights.where(F.col("split") == "train").agg(F.count(F.lit(1)).alias("n"))
     n_test = flights.where(F.col("split") == "test").agg(F.count(F.lit(1)).alias("n"))
-    return mt.retraining_run(drift, mt.evaluate(test), n_train, n_test)
+    run = mt.retraining_run(drift, mt.evaluate(test), n_train, n_test)
+    if log_path is not None:
+        from .session import materialize
+        from .sources import io
+        run = materialize(run, "run")  # computed once, read by the log record and the caller
+        row = run.collect()[0]  # one row
+        params = {k: str(row[k]) for k in ("drift_avg_psi", "drift_detected", "promotion_decision",
+                                             "promotion_reason", "train_flights", "test_flights", "pipeline_type")}
+        io.append_run(io.run_record(normalised.sparkSession, run_name, params,
+                                    run.select("accuracy", "precision", "recall", "f1", "auc", "loss")), log_path)
+    return run

@@ -77,20 +77,23 @@ def fill_forward_backward(df: DataFrame, key: str, t: str, chunk: Column | None,
     """
     cols = list(cols)
     base = df if chunk is None else df.withColumn(CHUNK, chunk)
-    w = Window.partitionBy(key, CHUNK).orderBy(t)
-    fwd, bwd = w.rowsBetween(_UNB, 0), w.rowsBetween(0, _UNF)
+    # Both fills are running frames (O(n)): the backward fill runs over the reversed order.
+    # A frame "current row .. unbounded following" would be recomputed per row (O(n^2)).
+    fwd = Window.partitionBy(key, CHUNK).orderBy(F.col(t)).rowsBetween(_UNB, 0)
+    bwd = Window.partitionBy(key, CHUNK).orderBy(F.col(t).desc()).rowsBetween(_UNB, 0)
     local = base.select("*", *[F.last(c, True).over(fwd).alias(f"_ff_{i}") for i, c in enumerate(cols)],
-                        *[F.first(c, True).over(bwd).alias(f"_bf_{i}") for i, c in enumerate(cols)])
+                        *[F.last(c, True).over(bwd).alias(f"_bf_{i}") for i, c in enumerate(cols)])
     summ = base.groupBy(key, CHUNK).agg(
         *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(t).alias("t"), F.col(c).alias("v"))))
           .getField("v").alias(f"_l_{i}") for i, c in enumerate(cols)],
         *[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(t).alias("t"), F.col(c).alias("v"))))
           .getField("v").alias(f"_f_{i}") for i, c in enumerate(cols)])
-    wk = Window.partitionBy(key).orderBy(CHUNK)
+    wk = Window.partitionBy(key).orderBy(F.col(CHUNK))
+    wr = Window.partitionBy(key).orderBy(F.col(CHUNK).desc())
     carry = summ.select(
         key, CHUNK,
         *[F.last(f"_l_{i}", True).over(wk.rowsBetween(_UNB, -1)).alias(f"_ci_{i}") for i in range(len(cols))],
-        *[F.first(f"_f_{i}", True).over(wk.rowsBetween(1, _UNF)).alias(f"_co_{i}") for i in range(len(cols))])
+        *[F.last(f"_f_{i}", True).over(wr.rowsBetween(_UNB, -1)).alias(f"_co_{i}") for i in range(len(cols))])
     joined = local.join(carry, [key, CHUNK])
     out = joined
     for i, c in enumerate(cols):
@@ -180,9 +183,12 @@ def ordered_fill(df: DataFrame, key: str, order: Sequence[str], chunk: Column, c
         base = base.withColumn(c, expr)
     ocols = [F.col(o) for o in order]
     w = Window.partitionBy(key, CHUNK).orderBy(*ocols)
+    # the backward fill is a running frame over the reversed order (O(n)); a frame
+    # "current row .. unbounded following" would be recomputed per row (O(n^2))
+    wrev = Window.partitionBy(key, CHUNK).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(_UNB, 0)
     local = base.select("*", F.row_number().over(w).alias("_rn"),
                         *[F.last(c, True).over(w.rowsBetween(_UNB, 0)).alias(f"_ff_{i}") for i, c in enumerate(cols)],
-                        *[F.first(c, True).over(w.rowsBetween(0, _UNF)).alias(f"_bf_{i}") for i, c in enumerate(cols)])
+                        *[F.last(c, True).over(wrev).alias(f"_bf_{i}") for i, c in enumerate(cols)])
 
     # Chunk summary on top of the window output: it is already partitioned by (key, chunk), so
     # this is a hash aggregate in the same stage; max_by/min_by on the in-chunk row number keep it
@@ -191,13 +197,14 @@ def ordered_fill(df: DataFrame, key: str, order: Sequence[str], chunk: Column, c
         F.max("_rn").alias("_n"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_rn"))).alias(f"_l_{i}") for i, c in enumerate(cols)],
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_rn"))).alias(f"_f_{i}") for i, c in enumerate(cols)])
-    wk = Window.partitionBy(key).orderBy(CHUNK)
+    wk = Window.partitionBy(key).orderBy(F.col(CHUNK))
+    wr = Window.partitionBy(key).orderBy(F.col(CHUNK).desc())
     carry = summ.select(
         key, CHUNK,
         F.coalesce(F.sum("_n").over(wk.rowsBetween(_UNB, -1)), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(key)).cast("int").alias(length_col),
         *[F.last(f"_l_{i}", True).over(wk.rowsBetween(_UNB, -1)).alias(f"_ci_{i}") for i in range(len(cols))],
-        *[F.first(f"_f_{i}", True).over(wk.rowsBetween(1, _UNF)).alias(f"_co_{i}") for i in range(len(cols))])
+        *[F.last(f"_f_{i}", True).over(wr.rowsBetween(_UNB, -1)).alias(f"_co_{i}") for i in range(len(cols))])
     j = local.join(carry, [key, CHUNK]).withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("int"))
     for i, c in enumerate(cols):
         parts = [F.col(f"_ff_{i}"), F.col(f"_ci_{i}"), F.col(f"_bf_{i}"), F.col(f"_co_{i}")]

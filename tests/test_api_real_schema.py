@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telemetrix import api
 from telemetrix.functions import dims
+from telemetrix.session import materialize
 from telemetrix.sources import io
 
 SOURCE = {dst: src for src, dst in io.SENSOR_SOURCE_COLUMNS.items()}
@@ -52,6 +53,7 @@ def test_real_schema_end_to_end(spark):
     bounds = prepared.agg(F.min("e1_oilt").alias("lo"), F.max("e1_oilt").alias("hi")).collect()[0]
     assert bounds.lo >= 0 and bounds.hi <= 300
     stats, z = api.normalize(prepared)
+    z = materialize(z, "normalised")  # the prepared dataset is written once, as in a real run
     baseline = api.fit_detector(z)
     det = api.detect(z, baseline).collect()
     assert det and all(0.0 <= r.anomaly_score <= 1.0 for r in det)
@@ -60,5 +62,8 @@ def test_real_schema_end_to_end(spark):
     assert len(s) == len(per) and all(0.0 <= r.probability <= 1.0 for r in s)
     alerts = api.predict(z, baseline, coef, scores).collect()
     assert len(alerts) == len(per) and alerts[0].alert.explanation.summary
-    run = api.run_retraining(z, scores).collect()
+    log = tempfile.mkdtemp(prefix="telemetrix-runs-")
+    run = api.run_retraining(z, scores, log_path=log).collect()
     assert len(run) == 1 and run[0].pipeline_type == "evaluate_only"
+    logged = spark.read.parquet(log).collect()
+    assert len(logged) == 1 and logged[0].params["pipeline_type"] == "evaluate_only" and "f1" in logged[0].metrics
