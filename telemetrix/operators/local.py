@@ -91,16 +91,28 @@ def anomaly_segments(series: DataFrame, key: str = "flight_id", t: str = "t", fl
                      chunk_steps: int = chunked.DEFAULT_CHUNK_STEPS) -> DataFrame:
     """Merge flagged steps whose gap is <= max_gap into segments; keep the first ``max_segments``.
 
-    Gaps-and-islands with skew-safe scans: the previous flagged step and
-    the running island number cross time-chunk edges through per-chunk
-    summaries (see :mod:`chunked`).
+    Gaps-and-islands in one windowed pass per (flight, time chunk): inside a
+    chunk the first flagged step is a provisional segment start; a per-chunk
+    summary (first and last flagged step, number of starts) and the previous
+    chunk's last step correct it and give each chunk its segment offset.
     """
-    f = series.where(F.col(flag) == 1).select(key, t)
-    chunk = chunked.step_chunk(t, chunk_steps)
-    prev = chunked.previous_value(f, key, [t], chunk, t, "_prev")
-    starts = prev.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col(t) - F.col("_prev") > max_gap), 1)
-                             .otherwise(0))
-    num = chunked.running_sum(starts, key, [t], chunked.step_chunk(t, chunk_steps), "_new", "segment")
+    unb = Window.unboundedPreceding
+    f = (series.where(F.col(flag) == 1).select(key, t)
+         .withColumn(chunked.CHUNK, chunked.step_chunk(t, chunk_steps)))
+    w = Window.partitionBy(key, chunked.CHUNK).orderBy(t)
+    lag = F.lag(t).over(w)
+    local = f.withColumn("_start", F.when(lag.isNull() | (F.col(t) - lag > F.lit(max_gap)), 1).otherwise(0))
+    local = local.withColumn("_cs", F.sum("_start").over(w.rowsBetween(unb, 0)))
+    summ = local.groupBy(key, chunked.CHUNK).agg(F.min(t).alias("_first"), F.max(t).alias("_last"),
+                                                  F.sum("_start").alias("_ns"))
+    wk = Window.partitionBy(key).orderBy(chunked.CHUNK)
+    prev_last = F.lag("_last").over(wk)
+    fix = F.when(prev_last.isNull() | (F.col("_first") - prev_last > F.lit(max_gap)), 0).otherwise(-1)
+    carry = summ.select(key, chunked.CHUNK, "_ns", fix.alias("_fix"))
+    carry = carry.withColumn("_off", F.coalesce(
+        F.sum(F.col("_ns") + F.col("_fix")).over(wk.rowsBetween(unb, -1)), F.lit(0)))
+    j = local.join(carry.select(key, chunked.CHUNK, "_off", "_fix"), [key, chunked.CHUNK])
+    num = j.withColumn("segment", F.col("_off") + F.col("_cs") + F.col("_fix"))
     seg = num.groupBy(key, "segment").agg(F.min(t).alias("seg_start"), F.max(t).alias("seg_end"))
     if max_segments is not None:
         seg = seg.where(F.col("segment") <= max_segments)

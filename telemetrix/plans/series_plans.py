@@ -12,6 +12,7 @@ from ..functions import dims
 from ..operators import chunked
 from ..operators import header as hd
 from ..operators import timeseries as ts
+from ..session import materialize
 from ..sources import tables as tb
 from .common import rounded
 
@@ -91,8 +92,10 @@ def q_sensor_header_join(spark, sf):
 
 
 def _events_ordered(spark, sf):
+    """Ordered event series, written once: every downstream helper reads it twice (row-level
+    window + chunk summary), and stacked helpers would otherwise re-run the ordering each time."""
     e = tb.events_series(spark, sf)
-    return ts.order_series(e, "flight_id", tb.EVENTS_ORDER, tb.events_chunk(), "n_rows")
+    return materialize(ts.order_series(e, "flight_id", tb.EVENTS_ORDER, tb.events_chunk(), "n_rows"), "events")
 
 
 def q_moving_average(spark, sf):

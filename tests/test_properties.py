@@ -24,3 +24,28 @@ def test_ordered_fill_equals_pandas(spark, a, b, width):
             v, n, ts = out[(k, i)]
             assert v == w and n == len(vals) and ts == i * step
     assert {r.k: r.n_rows for r in lengths.collect()} == {1: len(a), 2: len(b)}
+
+
+def _segments_loop(points, gap=15, cap=15):
+    if not points:
+        return []
+    segs, start, end = [], points[0], points[0]
+    for p in points[1:]:
+        if p - end <= gap:
+            end = p
+        else:
+            segs.append((start, end))
+            start = end = p
+    segs.append((start, end))
+    return segs[:cap]
+
+
+@settings(max_examples=6, deadline=None)
+@given(points=st.sets(st.integers(min_value=0, max_value=400), max_size=60),
+       width=st.integers(min_value=2, max_value=120))
+def test_segments_equal_loop(spark, points, width):
+    from telemetrix.operators import local as lc
+    rows = [(1, t, 1 if t in points else 0) for t in range(401)]
+    df = spark.createDataFrame(rows, "flight_id long, t int, flag int")
+    got = [(r.seg_start, r.seg_end) for r in lc.anomaly_segments(df, chunk_steps=width).orderBy("segment").collect()]
+    assert got == _segments_loop(sorted(points))
