@@ -67,16 +67,41 @@ def weighted_log_loss(scored: DataFrame, pos_weight, logit: str = "logit", label
     return scored.agg(F.avg(pw * y * softplus(-x) + (F.lit(1.0) - y) * softplus(x)).alias("loss"))
 
 
-def evaluate(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD) -> DataFrame:
-    """I8: one-row metrics table (counts, rates, auc, class weight, loss weighted by it)."""
-    cm = confusion_metrics(scored, threshold)
-    auc = roc_auc(scored)
-    cw = class_weight(scored)
-    sj = scored.withColumn("_j", F.lit(1)).join(F.broadcast(cw.withColumn("_j", F.lit(1))), "_j")
-    loss = weighted_log_loss(sj, F.coalesce(F.col("pos_weight"), F.lit(1.0)))
+def evaluate(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD, prob: str = "prob",
+             label: str = "label", logit: str = "logit") -> DataFrame:
+    """I8: one-row metrics table (counts, rates, auc, class weight, loss weighted by it).
+
+    Counts, class weight and loss come from one aggregate: the weighted
+    log-loss mean is (pw * sum(y * softplus(-x)) + sum((1 - y) * softplus(x))) / n,
+    so the class weight pw can be applied after the sums.  AUC is the only
+    second pass (it groups by score).
+    """
+    pred = is_true(F.col(prob) >= F.lit(float(threshold)))
+    pos = F.col(label) == 1
+    y = F.col(label).cast("double")
+    x = F.col(logit)
+    g = scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(pred & pos, 1)).alias("tp"), F.count(F.when(pred & ~pos, 1)).alias("fp"),
+        F.count(F.when(~pred & pos, 1)).alias("fn"), F.count(F.when(~pred & ~pos, 1)).alias("tn"),
+        F.count(F.when(F.col(label) == 0, 1)).alias("_n0"), F.count(F.when(F.col(label) == 1, 1)).alias("_n1"),
+        F.sum(y * softplus(-x)).alias("_lp"), F.sum((F.lit(1.0) - y) * softplus(x)).alias("_ln"))
+    z = F.lit(0.0)
+    pw = F.try_divide(F.col("_n0").cast("double"), F.col("_n1").cast("double"))
+    m = g.select(
+        "n", "tp", "fp", "fn", "tn",
+        F.coalesce(F.try_divide(F.col("tp") + F.col("tn"), F.col("n")), z).alias("accuracy"),
+        F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), z).alias("precision"),
+        F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), z).alias("recall"),
+        F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), z).alias("f1"),
+        pw.alias("pos_weight"),
+        F.try_divide(F.coalesce(pw, F.lit(1.0)) * F.col("_lp") + F.col("_ln"), F.col("n").cast("double"))
+        .alias("loss"))
+    auc = roc_auc(scored, prob, label)
     one = F.lit(1)
-    return (cm.withColumn("_j", one).join(auc.withColumn("_j", one), "_j")
-            .join(cw.withColumn("_j", one), "_j").join(loss.withColumn("_j", one), "_j").drop("_j"))
+    return (m.withColumn("_j", one).join(auc.withColumn("_j", one), "_j").drop("_j")
+            .select("n", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1", "auc", "pos_weight",
+                    "loss"))
 
 
 def _f4(c):
