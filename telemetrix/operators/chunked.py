@@ -83,11 +83,10 @@ def fill_forward_backward(df: DataFrame, key: str, t: str, chunk: Column | None,
     bwd = Window.partitionBy(key, CHUNK).orderBy(F.col(t).desc()).rowsBetween(_UNB, 0)
     local = base.select("*", *[F.last(c, True).over(fwd).alias(f"_ff_{i}") for i, c in enumerate(cols)],
                         *[F.last(c, True).over(bwd).alias(f"_bf_{i}") for i, c in enumerate(cols)])
-    summ = base.groupBy(key, CHUNK).agg(
-        *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(t).alias("t"), F.col(c).alias("v"))))
-          .getField("v").alias(f"_l_{i}") for i, c in enumerate(cols)],
-        *[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(t).alias("t"), F.col(c).alias("v"))))
-          .getField("v").alias(f"_f_{i}") for i, c in enumerate(cols)])
+    # chunk summary on the window output (same partitioning, hash aggregate with fixed-width buffers)
+    summ = local.groupBy(key, CHUNK).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(t))).alias(f"_l_{i}") for i, c in enumerate(cols)],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(t))).alias(f"_f_{i}") for i, c in enumerate(cols)])
     wk = Window.partitionBy(key).orderBy(F.col(CHUNK))
     wr = Window.partitionBy(key).orderBy(F.col(CHUNK).desc())
     carry = summ.select(
