@@ -103,9 +103,11 @@ def orders_header(spark: SparkSession, sf_dir: str, with_duplicates: bool = True
     hierarchy, plus ``ingest_order`` (the raw file order used by keep-first dedup)."""
     o = _read(spark, sf_dir, "orders")
     # Maintenance day per customer: date of the most expensive order, ties to the smallest key.
-    maint = (o.groupBy("o_custkey")
-             .agg(F.max_by("o_orderdate", F.struct(F.col("o_totalprice"), -F.col("o_orderkey")))
-                  .alias("maint_date")))
+    # two hash aggregates (no struct-ordered buffer): the largest price per customer, then among
+    # the orders at that price the date of the smallest key
+    top = o.groupBy("o_custkey").agg(F.max("o_totalprice").alias("_mp"))
+    at_top = o.join(broadcast_if_small(top), "o_custkey").where(F.col("o_totalprice") == F.col("_mp"))
+    maint = at_top.groupBy("o_custkey").agg(F.min_by("o_orderdate", "o_orderkey").alias("maint_date"))
     j = o.join(broadcast_if_small(maint), "o_custkey")
     dd = F.datediff(F.to_date("o_orderdate"), F.to_date("maint_date"))
     hdr = j.select(
