@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemetrix.llm import quality
+from telemetrix.llm.common import crc_fold
 from telemetrix.llm.decontamination import decontaminate
 from telemetrix.llm.simhash import near_duplicates
 from telemetrix.llm.topk import top_k
@@ -44,6 +46,13 @@ select query_id, cast(rn as integer) as rank, vec_id, score from r where rn <= 5
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_fold(F.col("id"), 5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -83,6 +92,7 @@ from d left join words using (doc_id) left join named using (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
+    "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
 }
 
