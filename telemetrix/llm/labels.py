@@ -25,16 +25,16 @@ def class_counts(known: DataFrame) -> tuple[int, int]:
     return found.get(0, 0), found.get(1, 0)
 
 
-def sample(known: DataFrame, counts: tuple[int, int], rows: int) -> DataFrame:
-    """About ``rows`` labelled ids of each class (at most four times that), chosen by a hash of the id.
+def sample(known: DataFrame, counts: tuple[int, int], rows: tuple[int, int]) -> DataFrame:
+    """About ``rows`` labelled ids of the classes 0 and 1 (at most four times that), chosen by a hash of the id.
 
     Adds u, a number that is independent of the choice, for splitting the sample.
     """
     h = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fit")), F.lit(RANGE))
     u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("split")), F.lit(RANGE))
-    most = [int(RANGE * min(1.0, rows / max(n, 1))) for n in counts]
+    most = [int(RANGE * min(1.0, r / max(n, 1))) for r, n in zip(rows, counts)]
     return (known.where(h < F.when(F.col("y") == 1, F.lit(most[1])).otherwise(F.lit(most[0])))
-            .withColumn("u", u).limit(8 * rows))
+            .withColumn("u", u).limit(4 * sum(rows)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:

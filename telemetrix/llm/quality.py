@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     counts = class_counts(known)
     if not min(counts):
         return Model(b"", b"", Constant(counts))
-    chosen = F.broadcast(sample(known, counts, sample_rows))  # at most 8 * sample_rows short rows
+    chosen = F.broadcast(sample(known, counts, (sample_rows, sample_rows)))  # at most 8 * sample_rows short rows
     rows = (pick(docs, id=doc_id, text=text).where("text is not null").join(chosen, "id")
             .select("y", (F.col("u") % 2).alias("part"), F.col("text").cast("binary").alias("text")))
 

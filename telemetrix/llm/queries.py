@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetrix.llm import quality
+from telemetrix.llm import quality, toxicity
 from telemetrix.llm.common import crc_fold
 from telemetrix.llm.decontamination import decontaminate
 from telemetrix.llm.simhash import near_duplicates
@@ -89,11 +89,19 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join words using (doc_id) left join named using (doc_id)
 """
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_fold(F.col("id"), 3) != 1)
+    return toxicity.score(docs, model).select(
+        "doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE: dict[str, str] = {
