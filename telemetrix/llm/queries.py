@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetrix.llm import bpe, quality, suffix_dedup, toxicity
+from telemetrix.llm import bpe, quality, suffix_dedup, token_counts, toxicity
 from telemetrix.llm.common import crc_fold
 from telemetrix.llm.decontamination import decontaminate
+from telemetrix.llm.preferences import preferences
 from telemetrix.llm.simhash import near_duplicates
 from telemetrix.llm.topk import top_k
 
@@ -90,6 +91,11 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join words using (doc_id) left join named using (doc_id)
 """
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_rows(table(spark, sf_dir, "documents"),
                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -106,17 +112,63 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs: the conversation of an even id 2m is taken as chosen, that of 2m + 1 as rejected."""
+    turns = table(spark, sf_dir, "conversations")
+    even = F.col("conv_id") % 2 == 0
+    pairs = turns.where("conv_id is not null").groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(
+        F.max(F.when(even, F.col("conv_id"))).alias("chosen"), F.max(F.when(~even, F.col("conv_id"))).alias("rejected"))
+    text = {side: F.concat_ws(",", F.transform(f"{side}_spans", lambda s: F.concat_ws(":", s["start"], s["size"])))
+            for side in ("chosen", "rejected")}
+    return preferences(turns, pairs).select(
+        "pair_id", "n_common", "prompt", "chosen", text["chosen"].alias("chosen_mask"),
+        "rejected", text["rejected"].alias("rejected_mask"))
+
+
+OP10_SQL = """
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k
+  from conversations where conv_id is not null
+), p as (select distinct cast(floor(conv_id / 2) as bigint) as pair_id from t
+), both_ as (
+  select p.pair_id, a.k, a.role = b.role and a.text = b.text as same
+  from p join t a on a.conv_id = 2 * p.pair_id join t b on b.conv_id = 2 * p.pair_id + 1 and a.k = b.k
+), n as (
+  select pair_id, coalesce(min(case when not same then k end) - 1, max(k)) as n_common from both_ group by pair_id
+), c as (select pair_id, coalesce(n_common, 0) as n_common from p left join n using (pair_id)
+), r as (
+  select c.pair_id, t.conv_id % 2 as side, t.k, t.role, t.text, c.n_common,
+         coalesce(sum(length(role) + length(text) + 13) over (
+           partition by c.pair_id, t.conv_id, t.k > c.n_common order by t.k rows between unbounded preceding and 1 preceding), 0) as pos
+  from c join t on t.conv_id in (2 * c.pair_id, 2 * c.pair_id + 1)
+), s as (
+  select pair_id, side,
+    string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' order by k) filter (where k <= n_common) as prompt,
+    coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' order by k) filter (where k > n_common), '') as body,
+    coalesce(string_agg((pos + length(role) + 5)::bigint::varchar || ':' || (length(text) + 8)::varchar, ',' order by k)
+      filter (where k > n_common and role = 'assistant'), '') as mask
+  from r group by pair_id, side
+)
+select c.pair_id, cast(c.n_common as integer) as n_common, coalesce(a.prompt, '') as prompt, a.body as chosen,
+       coalesce(a.mask, '') as chosen_mask, b.body as rejected, coalesce(b.mask, '') as rejected_mask
+from c left join s a on a.pair_id = c.pair_id and a.side = 0 left join s b on b.pair_id = c.pair_id and b.side = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_preferences": op10_preferences,
 }
 
 ORACLE: dict[str, str] = {
     "op2_topk": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op10_preferences": OP10_SQL,
 }

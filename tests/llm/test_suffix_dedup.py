@@ -64,7 +64,8 @@ def test_edges(spark):
 
 
 def test_remove_repeats_keeps_rows(spark):
-    tail = "".join(random.Random(1).choice("abcdefgh ") for _ in range(220))
+    rnd = random.Random(1)
+    tail = "".join(rnd.choice("abcdefgh ") for _ in range(220))
     rows = [(None, tail, "a", 1), (1, tail, "b", 2), (2, "é" + tail[:150], "c", 3), (3, None, "d", 4), (None, tail, "e", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string, Text long")
     out = suffix_dedup.remove_repeats(docs)
