@@ -164,12 +164,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Each document as ``row`` with n_tokens, ids_sha256 and decoded_sha256."""
+    return _encode(docs, ranks_path, pattern, text, _digests, DIGESTS)
+
+
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Each document as ``row`` with its ids and the digests of ``digests``."""
     def columns(ids: list[list[int]], decoded: list[bytes]) -> tuple[pa.Array, ...]:
-        return (pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(x).hexdigest() for x in decoded]))
+        return (pa.array(ids, pa.list_(pa.int32())), *_digests(ids, decoded))
+
+    return _encode(docs, ranks_path, pattern, text, columns, "ids array<int>, " + DIGESTS)
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
 
-    return _encode(docs, ranks_path, pattern, text, columns, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _digests(ids: list[list[int]], decoded: list[bytes]) -> tuple[pa.Array, ...]:
+    return (pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]),
+            pa.array([hashlib.sha256(x).hexdigest() for x in decoded]))
 
 
 def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns, kinds: str) -> DataFrame:

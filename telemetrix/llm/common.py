@@ -37,18 +37,28 @@ def unwrap(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
         for i, name in enumerate(names)))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where it is unset, a local master gets a
-    folder of its own (tests); any other master raises, as executors could not read one another's files.
+    Where it is unset, a local master gets a folder of its own (tests); any other master raises, as
+    executors could not read one another's files.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local[") and sc.master != "local":
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            return given.get()
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        return context._jsc.sc().getCheckpointDir().get()
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

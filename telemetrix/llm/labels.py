@@ -54,10 +54,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing fit by pooling adjacent violators; places and values to interpolate between."""
-    order = np.argsort(x, kind="stable")
+    places, group = np.unique(x, return_inverse=True)  # equal places are one point
+    weights, sums = np.bincount(group, weight), np.bincount(group, weight * y)
     blocks: list[list[float]] = []  # weight, weighted x, weighted y
-    for a, b, w in zip(x[order], y[order], weight[order]):
-        blocks.append([w, w * a, w * b])
+    for a, b, w in zip(places, sums, weights):
+        blocks.append([w, w * a, b])
         while len(blocks) > 1 and blocks[-2][2] * blocks[-1][0] >= blocks[-1][2] * blocks[-2][0]:
             last = blocks.pop()
             blocks[-1] = [u + v for u, v in zip(blocks[-1], last)]
