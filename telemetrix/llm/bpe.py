@@ -7,8 +7,8 @@ of last tokens thus grows by one entry a byte (exact appends), may be cut at any
 edit, is filled again only until it runs in step with the old one (re-encoding near edits).
 
 A text is cut into pieces by the tokenizer's pattern. A piece that is itself a token is that token, as the tiktoken
-library does; others go through the prefix table. Pieces are encoded once per task and kept, at most
-``KEPT`` of them.
+library does; others go through the prefix table. Pieces are encoded once per worker process and kept, at
+most ``KEPT`` of them.
 
 Scale: one pass over the documents without a shuffle; the rank file is read by the driver and sent once to each
 executor (its size is that of a vocabulary). Whole texts are encoded; memory is bounded by the batch.
@@ -21,16 +21,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemetrix.llm.common import unwrap, wrap
 
-KEPT = 200_000
+KEPT = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,39 +44,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Ranks, and which pairs of tokens stay apart."""
+    """Ranks, the tokens that BPE can reach, and which pairs of tokens stay apart."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        self.reachable = {token for token in ranks if len(token) == 1 or len(self.merged(token)) == 1}
 
     def merged(self, text: bytes) -> list[bytes]:
         """BPE of a short text by its definition: merge the adjacent pair of lowest rank, leftmost first."""
-        parts = [text[i:i + 1] for i in range(len(text))]
-        ranks = self.ranks
+        parts, get, none = [text[i:i + 1] for i in range(len(text))], self.ranks.get, 1 << 60
         while len(parts) > 1:
-            rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+            found = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+            rank = min(found)
+            if rank == none:
                 break
+            at = found.index(rank)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def reachable(self, token: bytes) -> bool:
-        found = self.whole.get(token)
-        if found is None:
-            found = self.whole[token] = len(self.merged(token)) == 1
-        return found
-
     def apart(self, first: bytes, second: bytes) -> bool:
-        """Whether BPE of the two tokens' bytes gives the two tokens."""
-        found = self.pairs.get((first, second))
-        if found is None:
-            if len(self.pairs) >= 4 * KEPT:
-                self.pairs.clear()
-            found = self.pairs[first, second] = self.merged(first + second) == [first, second]
+        """Whether BPE of the two tokens' bytes gives the two tokens; kept by ``Prefixes`` in ``pairs``."""
+        if len(self.pairs) >= 2 * KEPT:
+            self.pairs.clear()
+        found = self.pairs[first, second] = self.merged(first + second) == [first, second]
         return found
 
 
@@ -86,10 +83,16 @@ class Prefixes:
     def _last(self, text: bytes, last: list[bytes], end: int) -> bytes:
         """The last token of text[:end], from those of the shorter prefixes."""
         v = self.vocabulary
-        for start in range(max(0, end - v.longest), end):
+        reachable, known = v.reachable, v.pairs.get
+        for start in range(end - v.longest if end > v.longest else 0, end):
             token = text[start:end]
-            if token in v.ranks and v.reachable(token) and (not start or v.apart(last[start - 1], token)):
-                return token
+            if token in reachable:
+                if not start:
+                    return token
+                before = last[start - 1]
+                apart = known((before, token))
+                if apart or apart is None and v.apart(before, token):
+                    return token
         raise ValueError(f"the vocabulary lacks the byte {text[end - 1]}")
 
     def append(self, more: bytes) -> None:
@@ -135,31 +138,66 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary, self.find = Vocabulary(ranks), regex.compile(pattern).findall
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        found = self.kept.get(piece)
-        if found is None:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            data, ranks = piece.encode(), self.vocabulary.ranks
-            rank = ranks.get(data)
-            found = (rank,) if rank is not None else tuple(ranks[t] for t in Prefixes(self.vocabulary, data).encoding())
-            self.kept[piece] = found
+        self.kept: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+
+    def piece(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
+        """The ids of a piece, their decimal text and the bytes they stand for."""
+        if len(self.kept) >= KEPT:
+            self.kept.clear()
+        data, ranks = piece.encode(), self.vocabulary.ranks
+        rank = ranks.get(data)
+        ids = (rank,) if rank is not None else tuple([ranks[t] for t in Prefixes(self.vocabulary, data).encoding()])
+        found = self.kept[piece] = ids, " ".join(map(str, ids)), self.decode(ids)
         return found
 
+    def pieces(self, text: str | None) -> list[tuple[tuple[int, ...], str, bytes]]:
+        kept, piece = self.kept.get, self.piece
+        return [kept(p) or piece(p) for p in self.find(text or "")]
+
     def encode(self, text: str | None) -> list[int]:
-        return [i for piece in self.find(text or "") for i in self.piece(piece)]
+        return list(chain.from_iterable([p[0] for p in self.pieces(text)]))
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         tokens = self.vocabulary.tokens
         return b"".join([tokens[i] for i in ids])
 
 
+@dataclass(frozen=True)
+class Ranks:
+    """Broadcast ranks, told apart by the broadcast's number."""
+
+    number: int
+    value: Broadcast = field(compare=False)
+
+
+@cache
+def encoder(ranks: Ranks, pattern: str) -> Encoder:
+    """One encoder a worker process, so that tasks share the pieces it has met."""
+    return Encoder(ranks.value.value, pattern)
+
+
+#: How a document's pieces become result columns.
+Columns = Callable[[list[list[tuple[tuple[int, ...], str, bytes]]]], tuple[pa.Array, ...]]
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _ids(texts: list[list[tuple[tuple[int, ...], str, bytes]]]) -> tuple[pa.Array, ...]:
+    return (pa.array([list(chain.from_iterable([p[0] for p in t])) for t in texts], pa.list_(pa.int32())),)
+
+
+def _decoded(texts: list[list[tuple[tuple[int, ...], str, bytes]]]) -> tuple[pa.Array, ...]:
+    return (pa.array([b"".join([p[2] for p in t]) for t in texts], pa.binary()),)
+
+
+def _digests(texts: list[list[tuple[tuple[int, ...], str, bytes]]]) -> tuple[pa.Array, ...]:
+    return (pa.array([sum([len(p[0]) for p in t]) for t in texts], pa.int64()),
+            pa.array([hashlib.sha256(" ".join([p[1] for p in t]).encode()).hexdigest() for t in texts], pa.string()),
+            pa.array([hashlib.sha256(b"".join([p[2] for p in t])).hexdigest() for t in texts], pa.string()))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Each document as ``row`` with ids (array<int>) and decoded (the bytes of the ids)."""
-    return _encode(docs, ranks_path, pattern, text, lambda ids, decoded: (
-        pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())), "ids array<int>, decoded binary")
+    return _encode(docs, ranks_path, pattern, text, lambda t: _ids(t) + _decoded(t), "ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -169,33 +207,21 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Each document as ``row`` with its ids and the digests of ``digests``."""
-    def columns(ids: list[list[int]], decoded: list[bytes]) -> tuple[pa.Array, ...]:
-        return (pa.array(ids, pa.list_(pa.int32())), *_digests(ids, decoded))
-
-    return _encode(docs, ranks_path, pattern, text, columns, "ids array<int>, " + DIGESTS)
-
-
-DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
-def _digests(ids: list[list[int]], decoded: list[bytes]) -> tuple[pa.Array, ...]:
-    return (pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]),
-            pa.array([hashlib.sha256(x).hexdigest() for x in decoded]))
+    return _encode(docs, ranks_path, pattern, text, lambda t: _ids(t) + _digests(t), "ids array<int>, " + DIGESTS)
 
 
-def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns, kinds: str) -> DataFrame:
+def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns: Columns, kinds: str) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = Ranks(sent._jbroadcast.id(), sent)
     frame = wrap(docs, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value, pattern)
+        coder = encoder(ranks, pattern)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                ids = [encoder.encode(t) for t in part.column("text").to_pylist()]
-                made = columns(ids, [encoder.decode(x) for x in ids])
+                made = columns([coder.pieces(t) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("row"), *made], ["row", *names])
 
     new = spark.createDataFrame([], kinds)
