@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import ranges, sliding_min, text_bytes
+from telemetrix.llm.common import ranges, sliding_min
+from telemetrix.llm.packing import blocked
 from telemetrix.llm.suffixes import repeated_classes
 
 LENGTH = 100
@@ -353,9 +354,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col(f"_c{names.index(doc_id)}").cast("long").alias("id"),
         F.col(f"_c{names.index(text)}").cast("binary").alias("text"),
         F.struct(*others, F.col(f"_c{names.index(text)}").isNull().alias("no_text")).alias("row"))
-    blocks = max(1, -(-text_bytes(base) // block_bytes))
-    spread = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
-    base = base.select(F.pmod(spread, F.lit(blocks)).alias("block"), "id", "text", "row").repartition(blocks, "block")
+    base, blocks = blocked(base, block_bytes)
     by_block = base.groupBy("block")
     chosen = by_block.applyInArrow(_report(blocks), CHOSEN)
     shared = chosen.groupBy("bucket").applyInArrow(_shared(hot), SHARED)
