@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetrix.llm import bpe, quality, suffix_dedup, token_counts, toxicity
+from telemetrix.llm import bpe, quality, suffix_dedup, suffix_tree_lm, token_counts, toxicity
 from telemetrix.llm.common import crc_fold
 from telemetrix.llm.decontamination import decontaminate
 from telemetrix.llm.preferences import preferences
@@ -91,6 +91,12 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join words using (doc_id) left join named using (doc_id)
 """
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_tree_lm.scores(table(spark, sf_dir, "documents"), crc_fold(F.col("id"), 5) != 1)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces)
@@ -160,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_lm_score": op5_lm_score,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
