@@ -42,7 +42,7 @@ BLOCK_BYTES = 12 << 20
 SLICE = 1 << 20
 CHUNK = 1 << 16
 SYMBOLS = 1 << 20
-HOT = 100_000
+HOT = 5_000
 
 # Random 64-bit words for the bytes, from a rule (splitmix), and odd multipliers of the hash.
 MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -268,6 +268,24 @@ def _joined(cuts: np.ndarray) -> np.ndarray:
 
 def repeats(rows: np.ndarray, block: np.ndarray, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks and cuts of all strings that also start in an earlier stretch; rows of a key are judged together."""
+    single = np.flatnonzero(rows["size"] == LENGTH)
+    if len(single):  # whole strings of hot grams: equal ones are one entry, the earliest
+        by = np.lexsort((rows["start"][single], rows["doc"][single], block[single], rows["id"][single], rows["known"][single],
+                         rows["key"][single]))
+        single = single[by]
+        seen, later = set(), []
+        for i in single.tolist():
+            if pieces[i] in seen:
+                later.append(i)
+            seen.add(pieces[i])
+        if later:
+            found = np.empty(len(later), CUT)
+            for name in CUT.names:
+                found[name] = rows[name][later]
+            yield block[later], found
+            left = np.ones(len(rows), bool)
+            left[later] = False
+            rows, block, pieces = rows[left], block[left], [p for p, k in zip(pieces, left.tolist()) if k]
     if not len(rows):
         return
     order = np.argsort(rows["key"], kind="stable")

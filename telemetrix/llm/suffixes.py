@@ -10,13 +10,13 @@ from telemetrix.llm.common import ranges
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes in the order of their first ``depth`` symbols, by prefix doubling.
 
-    Ranks and positions are packed into one word and sorted by value. Past the end stand symbols 0.
+    Ranks and positions are packed into one word and sorted by value; beyond two million symbols, where they do not
+    fit, pairs of ranks are sorted indirectly. Past the end stand symbols 0.
     """
     n = len(codes)
     at = np.arange(n, dtype=np.uint64)
     bits, place = max(1, int(codes.max(initial=0)).bit_length()), max(1, n.bit_length())
-    if 3 * place > 64:
-        raise ValueError("the text is too long for packed ranks")
+    packed = 3 * place <= 64
     reach = min((64 - place) // bits, depth)
     padded = np.concatenate((codes, np.zeros(reach, codes.dtype))).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -24,11 +24,15 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         key = key << np.uint64(bits) | padded[j:j + n]
     low = np.uint64((1 << place) - 1)
     while True:
-        key <<= np.uint64(place)
-        key |= at
-        key.sort()
-        order = (key & low).astype(np.int64)
-        key >>= np.uint64(place)
+        if packed:
+            key <<= np.uint64(place)
+            key |= at
+            key.sort()
+            order = (key & low).astype(np.int64)
+            key >>= np.uint64(place)
+        else:
+            order = np.argsort(key)
+            key = key[order]
         rank = np.empty(n, np.uint64)
         step = np.concatenate(([1], (key[1:] != key[:-1]).astype(np.uint64)))
         ranked = np.cumsum(step, dtype=np.uint64)

@@ -35,3 +35,16 @@ def test_uniform_text():
     order, number = repeated_classes(codes, 100)
     strings = classes_by_strings(codes, 100)
     assert len(set(number.tolist())) == len(set(strings))
+
+
+def test_long_text():
+    rnd = np.random.default_rng(7)
+    half = rnd.integers(1, 5, 1_050_000).astype(np.uint16)
+    codes = np.concatenate([half, np.zeros(1, np.uint16), half[:1_049_000], np.zeros(1, np.uint16)])
+    order, number = repeated_classes(codes, 100)
+    assert len(order) == len(codes) and len(set(order.tolist())) == len(codes)
+    at = np.empty(len(codes), np.int64)
+    at[order] = number
+    second = np.arange(1_049_000 - 99) + len(half) + 1
+    assert (at[second] == at[second - len(half) - 1]).all()
+    assert len(set(number.tolist())) == len(codes) - len(second)
