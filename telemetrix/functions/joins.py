@@ -13,7 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+def threshold_bytes(spark) -> int:
+    """The session's ``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 switches broadcasts off."""
+    text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    units = {"b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
+    number = text.rstrip("bkmgt")
+    return int(number) << units.get(text[len(number):] or "b", 0) if not number.startswith("-") else -1
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -27,11 +32,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``F.broadcast(df)`` when its estimated size is at most ``max_bytes``, else ``df`` unchanged."""
     if max_bytes is None:
-        conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        try:
-            max_bytes = max(int(conf), DEFAULT_MAX_BROADCAST_BYTES)
-        except ValueError:
-            max_bytes = DEFAULT_MAX_BROADCAST_BYTES
+        max_bytes = threshold_bytes(df.sparkSession)
     size = estimated_bytes(df)
     return F.broadcast(df) if size is not None and 0 <= size <= max_bytes else df
 
@@ -47,3 +48,17 @@ def lookup_with_fallback(df: DataFrame, dim: DataFrame, left_key: str, dim_key:
         fallback if isinstance(fallback, F.Column) else F.lit(fallback))
     j = df.join(d, df[left_key] == d["_dk"], "left")
     return j.withColumn(out, F.coalesce(F.col("_dv"), fb)).drop("_dk", "_dv")
+
+
+SALTS = 8
+
+
+def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join rows with a table of one row per key so that a key with a large share of the rows meets it in ``salts`` tasks.
+
+    The salt is a hash of the row, so it does not change when a task is run again; each row meets the one copy
+    of its key that has its salt.  ``per_key`` is small, so its copies are cheap.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

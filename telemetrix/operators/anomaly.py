@@ -5,14 +5,13 @@ Plan shape (the same at any scale):
 * phase is a row-wise expression, computed once;
 * the baseline fit is two partial-aggregating group-bys: per
   (flight, phase) count/mean/variance for every channel, keep groups with
-  enough rows, then pool per phase from the group moments (no join back
-  to the raw rows, no window over a flight);
-* detection uses the fitted baseline (at most phases x channels values, a
-  bound independent of the data) inlined as literals, computes every
-  channel's z in one projection and aggregates per (flight, phase) with
-  one count / flagged-count / max-z triple per channel.  Only that
-  aggregate (flights x 4 rows) is unpivoted to per-channel rows.  Above
-  the bound the baseline is joined as a broadcast wide row per phase.
+  enough rows, then pool mean and spread per phase from the group moments
+  (no join back to the raw rows, no window over a flight);
+* detection joins the fitted baseline as one broadcast wide row per phase
+  (its number of rows is checked in the plan), computes every channel's z
+  in one projection and aggregates per (flight, phase) with one count /
+  flagged-count / max-z triple per channel.  Only that aggregate
+  (flights x phases rows) is unpivoted to per-channel rows.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.exprs import is_true, phase_expr, phase_ord, phase_weight
+from ..functions.joins import salted_join
 
 
 def assign_phase(df: DataFrame, spec: dims.PhaseSpec, out: str = "phase") -> DataFrame:
@@ -41,74 +41,65 @@ def fit_baseline(rows: DataFrame, channels: Sequence[str], key: str = "flight_id
     ``phase, channel, mean, std, n_rows`` (n_rows = pooled rows of the phase).
     """
     chans = list(channels)
+    # one struct per channel: both steps below use the same aggregate, so its exchange is written once
     g = rows.groupBy(key, phase).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.count(c).alias(f"_c{i}") for i, c in enumerate(chans)],
-        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(chans)],
-        *[F.var_pop(c).alias(f"_v{i}") for i, c in enumerate(chans)],
+        *[F.struct(F.count(c).alias("c"), F.avg(c).alias("m"), F.var_pop(c).alias("v")).alias(f"_u{i}")
+          for i, c in enumerate(chans)],
     ).where(F.col("_n") >= F.lit(min_rows))
-    pooled = g.groupBy(phase).agg(
+    # step 1: pooled count and mean per phase; step 2: pooled squared distance from that mean,
+    # sum n (var + (mean - pooled mean)^2), which keeps its digits far from zero
+    pooled = g.groupBy(F.col(phase).alias("_phase")).agg(
         F.sum("_n").alias("n_rows"),
-        *[F.sum(F.col(f"_c{i}")).alias(f"_N{i}") for i in range(len(chans))],
-        *[F.sum(F.col(f"_c{i}") * F.col(f"_m{i}")).alias(f"_S{i}") for i in range(len(chans))],
-        *[F.sum(F.col(f"_c{i}") * (F.col(f"_v{i}") + F.col(f"_m{i}") * F.col(f"_m{i}"))).alias(f"_Q{i}")
-          for i in range(len(chans))],
-    )
+        *[F.sum(f"_u{i}.c").alias(f"_N{i}") for i in range(len(chans))],
+        *[(F.sum(F.col(f"_u{i}.c") * F.col(f"_u{i}.m")) / F.sum(f"_u{i}.c")).alias(f"_M{i}") for i in range(len(chans))])
+    j = g.join(F.broadcast(checked_phases(pooled, "_phase")), F.col(phase).eqNullSafe(F.col("_phase")))
+    spread = j.groupBy(F.col(phase).alias("phase")).agg(
+        F.first("n_rows").alias("n_rows"),
+        *[F.first(f"_N{i}").alias(f"_N{i}") for i in range(len(chans))],
+        *[F.first(f"_M{i}").alias(f"_M{i}") for i in range(len(chans))],
+        *[F.sum(F.col(f"_u{i}.c") * (F.col(f"_u{i}.v") + (F.col(f"_u{i}.m") - F.col(f"_M{i}"))
+                                      * (F.col(f"_u{i}.m") - F.col(f"_M{i}")))).alias(f"_Q{i}") for i in range(len(chans))])
     items = []
     for i, c in enumerate(chans):
-        mean = F.col(f"_S{i}") / F.col(f"_N{i}")
-        var = F.greatest(F.col(f"_Q{i}") / F.col(f"_N{i}") - mean * mean, F.lit(0.0))
-        items.append(F.struct(F.lit(c).alias("channel"), mean.alias("mean"), F.sqrt(var).alias("std"),
+        std = F.sqrt(F.try_divide(F.col(f"_Q{i}"), F.col(f"_N{i}")))
+        items.append(F.struct(F.lit(c).alias("channel"), F.col(f"_M{i}").alias("mean"), std.alias("std"),
                               F.col(f"_N{i}").alias("n")))
-    out = pooled.select(phase, "n_rows", F.explode(F.array(*items)).alias("_x"))
+    out = spread.select("phase", "n_rows", F.explode(F.array(*items)).alias("_x"))
     return (out.where(F.col("_x.n") > 0)
-            .select(F.col(phase).alias("phase"), F.col("_x.channel").alias("channel"),
-                    F.col("_x.mean").alias("mean"),
+            .select("phase", F.col("_x.channel").alias("channel"), F.col("_x.mean").alias("mean"),
                     F.when(F.col("_x.std") < F.lit(std_floor), F.lit(1.0)).otherwise(F.col("_x.std")).alias("std"),
                     F.col("n_rows").cast("long").alias("n_rows")))
 
 
+#: Most phases a baseline may have; a table of one row per phase is broadcast.
+MAX_PHASES = 10_000
+
+
+def checked_phases(per_phase: DataFrame, phase: str) -> DataFrame:
+    """``per_phase`` (one row per phase), failing inside the plan when it has more than ``MAX_PHASES`` rows.
+
+    Phases are a short list by nature (four in the flight data, event types elsewhere); the check turns a
+    key that is none into a clear error instead of an oversized broadcast.
+    """
+    seen = F.count(F.lit(1)).over(Window.partitionBy())  # one row per phase
+    ok = F.when(seen <= F.lit(MAX_PHASES), F.col(phase)).otherwise(
+        F.raise_error(F.lit(f"a baseline may have at most {MAX_PHASES} phases")).cast(per_phase.schema[phase].dataType))
+    return per_phase.withColumn(phase, ok)
+
+
 def _wide_baseline(baseline: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """One row per phase with mean/std columns per channel (at most 4 rows)."""
+    """One row per phase with mean/std columns per channel."""
     aggs = []
     for i, c in enumerate(channels):
         hit = F.col("channel") == F.lit(c)
         aggs.append(F.max(F.when(hit, F.col("mean"))).alias(f"_bm{i}"))
         aggs.append(F.max(F.when(hit, F.col("std"))).alias(f"_bs{i}"))
-    return baseline.groupBy(F.col("phase").alias("_bphase")).agg(*aggs)
-
-
-# A fitted baseline has at most (phases x channels) rows.  Within this bound it is inlined into
-# the plan as literals (a small model, like the statistics a fitted Spark ML model carries);
-# beyond it the broadcast join below is used.
-MAX_INLINE_PAIRS = 4 * 64
-
-
-def baseline_model(baseline: DataFrame, max_pairs: int = MAX_INLINE_PAIRS) -> dict | None:
-    """The baseline as {(phase, channel): (mean, std)} when it has at most ``max_pairs`` rows, else None."""
-    rows = baseline.select("phase", "channel", "mean", "std").limit(max_pairs + 1).collect()
-    if len(rows) > max_pairs:
-        return None
-    return {(r.phase, r.channel): (float(r.mean), float(r.std)) for r in rows}
-
-
-def _z_literal(c: str, phase: str, model: dict):
-    expr = None
-    for name, _, _ in dims.PHASES:
-        if (name, c) in model:
-            mu, sd = model[(name, c)]
-            z = F.abs((F.col(c) - F.lit(mu)) / F.lit(sd))
-            cond = F.col(phase) == F.lit(name)
-            expr = F.when(cond, z) if expr is None else expr.when(cond, z)
-    return expr if expr is not None else F.lit(None).cast("double")
+    return checked_phases(baseline.groupBy(F.col("phase").alias("_bphase")).agg(*aggs), "_bphase")
 
 
 def _with_z(rows: DataFrame, baseline: DataFrame, channels: Sequence[str], phase: str) -> DataFrame:
     """Adds ``_z<i>`` = |x - mean| / std per channel from the (phase, channel) baseline; NULL when absent."""
-    model = baseline_model(baseline)
-    if model is not None:
-        return rows.select(*rows.columns, *[_z_literal(c, phase, model).alias(f"_z{i}")
-                                            for i, c in enumerate(channels)])
     wide = _wide_baseline(baseline, channels)
     j = rows.join(F.broadcast(wide), rows[phase] == wide["_bphase"], "left")
     zs = [F.abs((F.col(c) - F.col(f"_bm{i}")) / F.col(f"_bs{i}")).alias(f"_z{i}")
@@ -219,7 +210,7 @@ def anomaly_timeline(rows: DataFrame, baseline: DataFrame, channels: Sequence[st
     thr = F.lit(float(z_threshold))
     any_flag = F.greatest(*[is_true(F.col(f"_z{i}") > thr).cast("int") for i in range(len(chans))]) \
         if len(chans) > 1 else is_true(F.col("_z0") > thr).cast("int")
-    j = z.join(n, [key, phase])
+    j = salted_join(z, n, [key, phase])
     return j.select(key, F.col(t).cast("int").alias("t"),
                     F.when(F.col("_pn") >= F.lit(min_rows), any_flag).otherwise(F.lit(0)).alias("flag"))
 

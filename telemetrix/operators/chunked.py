@@ -39,6 +39,11 @@ def step_chunk(t, width: int = DEFAULT_CHUNK_STEPS) -> Column:
     return F.floor(_c(t) / F.lit(int(width))).cast("long")
 
 
+def _or_last(chunk: Column) -> Column:
+    """Rows without an order value form a last chunk of their own, so that joins by chunk keep them."""
+    return F.coalesce(chunk, F.lit((1 << 62)))
+
+
 def dense_index(df: DataFrame, key: str, order: Sequence, chunk: Column,
                 out: str = "t", length_col: str | None = None, keep_chunk: bool = False) -> DataFrame:
     """0-based dense position of each row within its key, by ``order``.
@@ -50,7 +55,7 @@ def dense_index(df: DataFrame, key: str, order: Sequence, chunk: Column,
     already partitioned by (key, chunk) and needs no new shuffle.
     """
     order_cols = [_c(o) for o in order]
-    base = df.withColumn(CHUNK, chunk)
+    base = df.withColumn(CHUNK, _or_last(chunk))
     local = base.withColumn("_rn", F.row_number().over(
         Window.partitionBy(key, CHUNK).orderBy(*order_cols)))
     sizes = local.groupBy(key, CHUNK).agg(F.max("_rn").alias("_n"))
@@ -76,7 +81,7 @@ def fill_forward_backward(df: DataFrame, key: str, t: str, chunk: Column | None,
     an existing ``_chunk`` column (monotone in ``t``).
     """
     cols = list(cols)
-    base = df if chunk is None else df.withColumn(CHUNK, chunk)
+    base = df if chunk is None else df.withColumn(CHUNK, _or_last(chunk))
     # Both fills are running frames (O(n)): the backward fill runs over the reversed order.
     # A frame "current row .. unbounded following" would be recomputed per row (O(n^2)).
     fwd = Window.partitionBy(key, CHUNK).orderBy(F.col(t)).rowsBetween(_UNB, 0)
@@ -108,7 +113,7 @@ def running_sum(df: DataFrame, key: str, order: Sequence, chunk: Column, value:
                 out: str) -> DataFrame:
     """Inclusive running sum of ``value`` along ``order`` within ``key``."""
     order_cols = [_c(o) for o in order]
-    base = df.withColumn(CHUNK, chunk).withColumn("_v", _c(value))
+    base = df.withColumn(CHUNK, _or_last(chunk)).withColumn("_v", _c(value))
     local = base.withColumn("_cs", F.sum("_v").over(
         Window.partitionBy(key, CHUNK).orderBy(*order_cols).rowsBetween(_UNB, 0)))
     tot = local.groupBy(key, CHUNK).agg(F.sum("_v").alias("_tot"))
@@ -128,7 +133,7 @@ def previous_value(df: DataFrame, key: str, order: Sequence, chunk: Column, valu
     chunk's last value via max).
     """
     order_cols = [_c(o) for o in order]
-    base = df.withColumn(CHUNK, chunk)
+    base = df.withColumn(CHUNK, _or_last(chunk))
     local = base.withColumn("_lag", F.lag(value).over(Window.partitionBy(key, CHUNK).orderBy(*order_cols)))
     summ = local.groupBy(key, CHUNK).agg(F.max(value).alias("_mx"))
     carry = summ.select(key, CHUNK, F.last("_mx", True).over(
@@ -177,7 +182,7 @@ def ordered_fill(df: DataFrame, key: str, order: Sequence[str], chunk: Column, c
     """
     cols = list(cols)
     values = values or {}
-    base = df.withColumn(CHUNK, chunk)
+    base = df.withColumn(CHUNK, _or_last(chunk))
     for c, expr in values.items():
         base = base.withColumn(c, expr)
     ocols = [F.col(o) for o in order]

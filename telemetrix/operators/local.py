@@ -1,10 +1,10 @@
 """Per-flight local anomaly view.
 
 Here a channel is z-scored against the flight's *own* mean and population
-std.  The per-flight statistics are a partial-aggregating group-by joined
-back on the flight key; a flight that holds a large share of all rows
-makes that join skewed, which AQE's skew-join handling splits at runtime
-(the statistics side has one row per flight).
+std.  The per-flight statistics are a partial-aggregating group-by, joined
+back on the flight key and a salt: a flight that holds a large share of
+all rows is spread over several tasks (the statistics side has one row per
+flight, copied once per salt).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.exprs import is_true
+from ..functions.joins import salted_join
 from . import chunked
 
 
@@ -25,7 +26,7 @@ def local_flags(rows: DataFrame, channels: Sequence[str], key: str = "flight_id"
     chans = list(channels)
     st = rows.groupBy(key).agg(*[F.avg(c).alias(f"_lm{i}") for i, c in enumerate(chans)],
                                *[F.stddev_pop(c).alias(f"_ls{i}") for i, c in enumerate(chans)])
-    j = rows.join(st, key)
+    j = salted_join(rows, st, [key])
     out = []
     for i, c in enumerate(chans):
         s = F.when(F.col(f"_ls{i}") < F.lit(std_floor), F.lit(1.0)).otherwise(F.col(f"_ls{i}"))
@@ -57,7 +58,7 @@ def local_flight_score(flags: DataFrame, channels: Sequence[str], key: str = "fl
                                  F.concat_ws(",", F.array_sort(F.collect_list("channel"))).alias("sensors_flagged"))
     # per channel "is selected" flags joined back as one row per flight (bounded by the channel count)
     pick = sel.groupBy(key).agg(*[F.max(F.when(F.col("channel") == c, 1)).alias(f"_p{i}") for i, c in enumerate(chans)])
-    j = flags.join(pick, key, "left")
+    j = salted_join(flags, pick, [key], "left")
     any_flag = F.greatest(*[F.coalesce(F.col(f"_p{i}"), F.lit(0)) * F.col(f"{c}_flag") for i, c in enumerate(chans)]) \
         if len(chans) > 1 else F.coalesce(F.col("_p0"), F.lit(0)) * F.col(f"{chans[0]}_flag")
     score = j.groupBy(key).agg(F.avg(any_flag.cast("double")).alias("local_score"))
@@ -81,15 +82,15 @@ def combined_any_flag(flags: DataFrame, channels: Sequence[str], key: str = "fli
     chans = list(channels)
     sel = local_channel_share(flags, chans, key).where(F.col("share") >= F.lit(float(min_share)))
     pick = sel.groupBy(key).agg(*[F.max(F.when(F.col("channel") == c, 1)).alias(f"_p{i}") for i, c in enumerate(chans)])
-    j = flags.join(pick, key, "left")
+    j = salted_join(flags, pick, [key], "left")
     parts = [F.coalesce(F.col(f"_p{i}"), F.lit(0)) * F.col(f"{c}_flag") for i, c in enumerate(chans)]
     return j.select(key, t, (F.greatest(*parts) if len(parts) > 1 else parts[0]).alias("flag"))
 
 
 def anomaly_segments(series: DataFrame, key: str = "flight_id", t: str = "t", flag: str = "flag",
-                     max_gap: int = 15, max_segments: int | None = 15,
+                     max_gap: int = 15, max_segments: int | None = None,
                      chunk_steps: int = chunked.DEFAULT_CHUNK_STEPS) -> DataFrame:
-    """Merge flagged steps whose gap is <= max_gap into segments; keep the first ``max_segments``.
+    """Merge flagged steps whose gap is <= max_gap into segments; a report may keep the first ``max_segments``.
 
     Gaps-and-islands in one windowed pass per (flight, time chunk): inside a
     chunk the first flagged step is a provisional segment start; a per-chunk

@@ -22,28 +22,10 @@ CURRENT_AUC = 0.6973
 CURRENT_RECALL = 0.871
 
 
-def confusion_metrics(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD,
-                      prob: str = "prob", label: str = "label") -> DataFrame:
-    """N, tp, fp, fn, tn, accuracy, precision, recall, f1 (0 on zero division)."""
-    pred = is_true(F.col(prob) >= F.lit(float(threshold)))
-    y = F.col(label) == 1
-    g = scored.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(pred & y, 1)).alias("tp"), F.count(F.when(pred & ~y, 1)).alias("fp"),
-        F.count(F.when(~pred & y, 1)).alias("fn"), F.count(F.when(~pred & ~y, 1)).alias("tn"))
-    z = F.lit(0.0)
-    return g.select(
-        "n", "tp", "fp", "fn", "tn",
-        F.coalesce(F.try_divide(F.col("tp") + F.col("tn"), F.col("n")), z).alias("accuracy"),
-        F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), z).alias("precision"),
-        F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), z).alias("recall"),
-        F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), z).alias("f1"))
-
-
 def roc_auc(scored: DataFrame, prob: str = "prob", label: str = "label", score_buckets: int = 1 << 16) -> DataFrame:
-    """One row ``auc``; 0.5 when only one class is present.  ``prob`` must lie in [0, 1]."""
+    """One row ``auc``; 0.5 when only one class is present.  ``prob`` must lie in [0, 1]; a missing score ranks lowest."""
     y = F.col(label) == 1
-    per = scored.groupBy(F.col(prob).alias("_p")).agg(F.count(F.when(y, 1)).alias("_pos"),
+    per = scored.groupBy(F.coalesce(F.col(prob), F.lit(-1.0)).alias("_p")).agg(F.count(F.when(y, 1)).alias("_pos"),
                                                       F.count(F.when(~y, 1)).alias("_neg"))
     chunk = F.least(F.floor(F.col("_p") * score_buckets), F.lit(score_buckets - 1)).cast("long")
     cum = chunked.running_sum(per.withColumn("_k", F.lit(0)), "_k", ["_p"], chunk, "_neg", "_cneg")
@@ -53,20 +35,6 @@ def roc_auc(scored: DataFrame, prob: str = "prob", label: str = "label", score_b
                            F.col("_u") / (F.col("_n1") * F.col("_n0"))).otherwise(F.lit(0.5)).alias("auc"))
 
 
-def class_weight(scored: DataFrame, label: str = "label") -> DataFrame:
-    """n_negative / n_positive."""
-    return scored.agg(F.try_divide(F.count(F.when(F.col(label) == 0, 1)).cast("double"),
-                                   F.count(F.when(F.col(label) == 1, 1)).cast("double")).alias("pos_weight"))
-
-
-def weighted_log_loss(scored: DataFrame, pos_weight, logit: str = "logit", label: str = "label") -> DataFrame:
-    """Mean over rows of pw*y*softplus(-x) + (1-y)*softplus(x) (BCE with logits, row mean)."""
-    pw = pos_weight if isinstance(pos_weight, F.Column) else F.lit(float(pos_weight))
-    y = F.col(label).cast("double")
-    x = F.col(logit)
-    return scored.agg(F.avg(pw * y * softplus(-x) + (F.lit(1.0) - y) * softplus(x)).alias("loss"))
-
-
 def evaluate(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD, prob: str = "prob",
              label: str = "label", logit: str = "logit") -> DataFrame:
     """I8: one-row metrics table (counts, rates, auc, class weight, loss weighted by it).
@@ -74,7 +42,8 @@ def evaluate(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD, prob
     Counts, class weight and loss come from one aggregate: the weighted
     log-loss mean is (pw * sum(y * softplus(-x)) + sum((1 - y) * softplus(x))) / n,
     so the class weight pw can be applied after the sums.  AUC is the only
-    second pass (it groups by score).
+    second pass (it groups by score).  A missing probability counts as the lowest: not flagged, ranked last.
+    Rows without a logit or label have no loss and do not count in its mean.
     """
     pred = is_true(F.col(prob) >= F.lit(float(threshold)))
     pos = F.col(label) == 1
@@ -85,7 +54,8 @@ def evaluate(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD, prob
         F.count(F.when(pred & pos, 1)).alias("tp"), F.count(F.when(pred & ~pos, 1)).alias("fp"),
         F.count(F.when(~pred & pos, 1)).alias("fn"), F.count(F.when(~pred & ~pos, 1)).alias("tn"),
         F.count(F.when(F.col(label) == 0, 1)).alias("_n0"), F.count(F.when(F.col(label) == 1, 1)).alias("_n1"),
-        F.sum(y * softplus(-x)).alias("_lp"), F.sum((F.lit(1.0) - y) * softplus(x)).alias("_ln"))
+        F.sum(y * softplus(-x)).alias("_lp"), F.sum((F.lit(1.0) - y) * softplus(x)).alias("_ln"),
+        F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("_nl"))
     z = F.lit(0.0)
     pw = F.try_divide(F.col("_n0").cast("double"), F.col("_n1").cast("double"))
     m = g.select(
@@ -95,7 +65,7 @@ def evaluate(scored: DataFrame, threshold: float = dims.DECISION_THRESHOLD, prob
         F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), z).alias("recall"),
         F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), z).alias("f1"),
         pw.alias("pos_weight"),
-        F.try_divide(F.coalesce(pw, F.lit(1.0)) * F.col("_lp") + F.col("_ln"), F.col("n").cast("double"))
+        F.try_divide(F.coalesce(pw, F.lit(1.0)) * F.col("_lp") + F.col("_ln"), F.col("_nl").cast("double"))
         .alias("loss"))
     auc = roc_auc(scored, prob, label)
     one = F.lit(1)

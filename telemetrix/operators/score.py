@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.exprs import is_true, severity, severity_message, sigmoid
+from ..functions.joins import salted_join
 
 
 def pooled_features(rows: DataFrame, channels: Sequence[str], key: str = "flight_id",
@@ -72,21 +73,8 @@ def _wide_coef(coef: DataFrame, channels: Sequence[str]) -> DataFrame:
     return coef.agg(*aggs)
 
 
-MAX_INLINE_CHANNELS = 256
-
-
 def _with_coef(df: DataFrame, coef: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """Adds _bias, _mu<i>, _sd<i>, _w<i>: the coefficient table (one row per channel, a bound
-    independent of the data) inlined as literals; above the bound joined as one broadcast row."""
-    got = coef.select("channel", "mu", "sd", "w", "bias").limit(MAX_INLINE_CHANNELS + 1).collect()
-    if len(got) <= MAX_INLINE_CHANNELS:
-        m = {r.channel: r for r in got}
-        bias = float(got[0].bias) if got else 0.0
-        cols = [F.lit(bias).alias("_bias")]
-        for i, c in enumerate(channels):
-            cols += [F.lit(float(m[c].mu)).alias(f"_mu{i}"), F.lit(float(m[c].sd)).alias(f"_sd{i}"),
-                     F.lit(float(m[c].w)).alias(f"_w{i}")]
-        return df.select("*", *cols)
+    """Adds _bias, _mu<i>, _sd<i>, _w<i> from the coefficients as one broadcast row; NULL for a missing channel."""
     wide = _wide_coef(coef, channels)
     return df.withColumn("_j", F.lit(1)).join(F.broadcast(wide.withColumn("_j", F.lit(1))), "_j").drop("_j")
 
@@ -127,15 +115,15 @@ def temporal_importance(rows: DataFrame, scores: DataFrame, coef: DataFrame, cha
                         key: str = "flight_id", t: str = "t") -> DataFrame:
     """I4 + D30 + E8: per (flight, t) mean over channels of |grad * x|, scaled by the flight maximum."""
     chans = list(channels)
-    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_T"))
-    j = _with_coef(rows.join(n, key).join(scores.select(key, "probability"), key), coef, chans)
+    per_flight = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_T")).join(scores.select(key, "probability"), key)
+    j = _with_coef(salted_join(rows, per_flight, [key]), coef, chans)
     p = F.col("probability")
     terms = [F.abs(p * (1 - p) * F.col(f"_w{i}") / (F.col(f"_sd{i}") * F.col("_T")) * F.col(c))
              for i, c in enumerate(chans)]
     raw = sum(terms[1:], terms[0]) / F.lit(float(len(chans)))
     v = j.select(key, t, raw.alias("raw"))
     mx = v.groupBy(key).agg(F.max("raw").alias("_mx"))
-    return v.join(mx, key).select(key, t, F.when(F.col("_mx") > 0, F.col("raw") / F.col("_mx"))
+    return salted_join(v, mx, [key]).select(key, t, F.when(F.col("_mx") > 0, F.col("raw") / F.col("_mx"))
                                   .otherwise(F.col("raw")).alias("importance"))
 
 

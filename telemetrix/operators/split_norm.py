@@ -40,18 +40,19 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = SPLIT_SEED
 
     Per label with n flights: n_temp = ceil(first * n) leave train,
     n_test = ceil(second * n_temp) of those are test, the rest val.  Rank
-    by md5(seed:id) then id.  Adds a ``split`` column.
+    by md5(seed:id) then id.  A NULL label is a label of its own.  Adds a ``split`` column.
     """
     h = stable_hash_key(seed, key)
-    keyed = df.withColumn("_h", h)
+    keyed = df.withColumn("_h", h).withColumn("_l", F.concat(
+        F.when(F.col(label).isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(F.col(label).cast("string"), F.lit(""))))
     chunk = F.conv(F.substring("_h", 1, hash_prefix), 16, 10).cast("long")
-    ranked = chunked.dense_index(keyed, label, [F.col("_h"), F.col(key)], chunk, out="_r", length_col="_n")
+    ranked = chunked.dense_index(keyed, "_l", [F.col("_h"), F.col(key)], chunk, out="_r", length_col="_n")
     n = F.col("_n").cast("double")
     n_temp = F.ceil(F.lit(float(first)) * n)
     n_test = F.ceil(F.lit(float(second)) * n_temp)
     split = (F.when(F.col("_r") < n_test, F.lit("test"))
              .when(F.col("_r") < n_temp, F.lit("val")).otherwise(F.lit("train")))
-    return ranked.withColumn("split", split).drop("_h", "_r", "_n")
+    return ranked.withColumn("split", split).drop("_h", "_l", "_r", "_n")
 
 
 def label_counts(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
@@ -72,22 +73,14 @@ def norm_stats(rows: DataFrame, channels: Sequence[str]) -> DataFrame:
     return agg.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
 
 
-MAX_INLINE_CHANNELS = 256
-
-
 def apply_zscore(rows: DataFrame, stats: DataFrame, channels: Sequence[str]) -> DataFrame:
     """(x - mean) / std per channel.
 
-    The statistics have one row per channel (a bound independent of the
-    data), so they are inlined as literals; joining them would append two
-    columns per channel to every row.  Above the bound a broadcast join is used.
+    The statistics become one row (two columns per channel), which is
+    broadcast.  A channel without statistics, or with NULL ones (an empty
+    train side), becomes NULL.
     """
     chans = list(channels)
-    got = stats.select("channel", "mean", "std").limit(MAX_INLINE_CHANNELS + 1).collect()
-    if len(got) <= MAX_INLINE_CHANNELS:
-        m = {r.channel: (float(r.mean), float(r.std)) for r in got}
-        out = [((F.col(c) - F.lit(m[c][0])) / F.lit(m[c][1])).alias(c) for c in chans]
-        return rows.select(*[c for c in rows.columns if c not in chans], *out)
     wide = stats.agg(*[F.max(F.when(F.col("channel") == c, F.col("mean"))).alias(f"_m{i}") for i, c in enumerate(chans)],
                      *[F.max(F.when(F.col("channel") == c, F.col("std"))).alias(f"_s{i}") for i, c in enumerate(chans)])
     j = rows.withColumn("_j", F.lit(1)).join(F.broadcast(wide.withColumn("_j", F.lit(1))), "_j").drop("_j")
@@ -99,10 +92,16 @@ def apply_zscore(rows: DataFrame, stats: DataFrame, channels: Sequence[str]) ->
 def post_norm_check(rows: DataFrame, channels: Sequence[str], split: str = "split") -> DataFrame:
     """Global mean and population std over all values of all channels, per split."""
     chans = list(channels)
-    c = F.lit(float(len(chans)))
-    s1 = sum((F.col(x) for x in chans[1:]), F.col(chans[0]))
-    s2 = sum((F.col(x) * F.col(x) for x in chans[1:]), F.col(chans[0]) * F.col(chans[0]))
-    g = rows.groupBy(split).agg(F.count(F.lit(1)).alias("_n"), F.sum(s1).alias("_s1"), F.sum(s2).alias("_s2"))
-    mean = F.col("_s1") / (F.col("_n") * c)
-    var = F.greatest(F.col("_s2") / (F.col("_n") * c) - mean * mean, F.lit(0.0))
+    g = rows.groupBy(split).agg(*[F.struct(F.count(x).alias("c"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
+                                  .alias(f"_u{i}") for i, x in enumerate(chans)])
+
+    def total(term):
+        parts = [F.coalesce(term(i), F.lit(0.0)) for i in range(len(chans))]
+        return sum(parts[1:], parts[0])
+
+    n = total(lambda i: F.col(f"_u{i}.c").cast("double"))
+    g = g.withColumn("_mean", F.try_divide(total(lambda i: F.col(f"_u{i}.c") * F.col(f"_u{i}.m")), n))
+    mean = F.col("_mean")
+    var = F.try_divide(total(lambda i: F.col(f"_u{i}.c") * (
+        F.col(f"_u{i}.v") + (F.col(f"_u{i}.m") - mean) * (F.col(f"_u{i}.m") - mean))), n)
     return g.select(split, mean.alias("mean"), F.sqrt(var).alias("std"))

@@ -110,7 +110,7 @@ ORACLE = {
         nw AS (SELECT *, sum(CASE WHEN prev IS NULL OR t - prev > 15 THEN 1 ELSE 0 END)
                           OVER (PARTITION BY flight_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS segment FROM fl)
         SELECT flight_id, CAST(segment AS INTEGER) AS segment, min(t) AS seg_start, max(t) AS seg_end
-        FROM nw WHERE segment <= 15 GROUP BY flight_id, segment""",
+        FROM nw GROUP BY flight_id, segment""",
     "c_worst_anomaly_detail": f"""WITH {ap.SENSOR_CTE}, {LI_LOCAL_CTE},
         top AS (SELECT flight_id, channel AS sensor, phase, round(max_z, 2) AS max_z,
                        row_number() OVER (PARTITION BY flight_id ORDER BY round(max_z, 2) DESC, channel_idx, phase_ord) AS rank

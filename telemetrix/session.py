@@ -47,19 +47,34 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is left alone.
-    Only when it is unset (local tests) do we create a private folder.
+    On a cluster this setting points at shared storage and is left alone.  Where it is unset, a
+    local master (tests) gets a private folder; any other master raises, because executors could
+    not read the files that others write to a machine-local folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="telemetrix-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def release(df) -> None:
+    """Delete the tables of ``materialize`` that a DataFrame reads, once it is no longer needed."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if base.removeprefix("file://").removeprefix("file:") + "/tables/" in path:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df, name: str):
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 

@@ -39,15 +39,8 @@ SENSOR_SOURCE_COLUMNS = {
     "OAT": "oat", "IAS": "ias", "VSpd": "vspd", "NormAc": "normac", "AltMSL": "altmsl",
 }
 
-HEADER_CSV_SCHEMA = T.StructType([
-    T.StructField("Master Index", T.LongType()),
-    T.StructField("before_after", T.StringType()),
-    T.StructField("date_diff", T.IntegerType()),
-    T.StructField("flight_length", T.DoubleType()),
-    T.StructField("label", T.StringType()),
-    T.StructField("hierarchy", T.StringType()),
-    T.StructField("number_flights_before", T.IntegerType()),
-])
+# Types of the header columns; integers may be written with a fraction of zero (-3.0).
+HEADER_TYPES = {"master_index": "bigint", "date_diff": "int", "flight_length": "double", "number_flights_before": "int"}
 
 BASELINE_JSON_SCHEMA = T.StructType([
     T.StructField("stats", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([
@@ -58,10 +51,22 @@ BASELINE_JSON_SCHEMA = T.StructType([
 
 
 def read_header_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: header CSV with an explicit schema; ``ingest_order`` keeps the file order for keep-first dedup."""
-    df = spark.read.schema(HEADER_CSV_SCHEMA).option("header", True).csv(path)
-    cols = [F.col(f"`{src}`").alias(dst) for src, dst in HEADER_SOURCE_COLUMNS.items()]
-    return df.select(*cols, F.monotonically_increasing_id().alias("ingest_order"))
+    """A1: header CSV by column name, whatever the order of the columns in the file.
+
+    Values are read as text and cast; integers go through DOUBLE, so ``-3.0`` is -3; text that is no number
+    fails.  Files whose header differs from the first one's fail as well.  ``ingest_order`` (file,
+    place in the file) keeps the file order for keep-first dedup.
+    """
+    df = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+
+    def value(src: str, dst: str):
+        text, kind = F.col(f"`{src}`"), HEADER_TYPES.get(dst, "string")
+        return (text.cast("double").cast(kind) if kind in ("int", "bigint") else text.cast(kind)).alias(dst)
+
+    cols = [value(src, dst) for src, dst in HEADER_SOURCE_COLUMNS.items()]
+    return df.select(*cols, F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")).alias("ingest_order"))
 
 
 def read_sensor_parquet(spark: SparkSession, path: str, channels: Sequence[str] = dims.RAW_SENSORS) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import dims
 from ..operators import anomaly as an
+from ..session import materialize
 from ..sources import io
 
 
@@ -41,7 +42,7 @@ def score_batch(batch: DataFrame, baseline: DataFrame, chanset: dims.ChannelSet,
 def analyse_arrivals(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                      baseline: DataFrame, chanset: dims.ChannelSet, channels: Sequence[str],
                      spec: dims.PhaseSpec, n_steps: int, z_threshold: float = dims.Z_THRESHOLD,
-                     files_per_trigger: int = 1, key: str = "flight_id", processing_time: str | None = None):
+                     files_per_trigger: int = 100, key: str = "flight_id", processing_time: str | None = None):
     """Run the arrival stream.
 
     Default: process everything available now, then stop (returns None).  With
@@ -49,11 +50,8 @@ def analyse_arrivals(spark: SparkSession, source_dir: str, sink_dir: str, checkp
     """
     stream = (spark.readStream.schema(nested_schema(key)).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
-    # the baseline is static and bounded (phases x channels): bring it in once as a local table,
-    # so micro-batches do not re-run the plan that fitted it
-    rows = baseline.select("phase", "channel", "mean", "std").limit(an.MAX_INLINE_PAIRS + 1).collect()
-    if len(rows) <= an.MAX_INLINE_PAIRS:
-        baseline = spark.createDataFrame(rows, "phase string, channel string, mean double, std double")
+    # written once to the shared folder, so that micro-batches read it instead of fitting it again
+    baseline = materialize(baseline.select("phase", "channel", "mean", "std"), "baseline")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         scores, rejects = score_batch(batch, baseline, chanset, channels, spec, n_steps, z_threshold, key)
@@ -67,6 +65,6 @@ def analyse_arrivals(spark: SparkSession, source_dir: str, sink_dir: str, checkp
     return None
 
 
-def replay_as_files(nested: DataFrame, target_dir: str, n_files: int = 4, key: str = "flight_id") -> None:
-    """Write nested flights as several Parquet files, standing in for flights that land over time."""
-    nested.repartitionByRange(n_files, key).write.mode("overwrite").parquet(target_dir)
+def replay_as_files(nested: DataFrame, target_dir: str, flights_per_file: int = 1000) -> None:
+    """Write nested flights as Parquet files of bounded size, standing in for flights that land over time."""
+    nested.write.mode("overwrite").option("maxRecordsPerFile", flights_per_file).parquet(target_dir)

@@ -73,7 +73,9 @@ def test_checked_broadcast(spark, sf_small):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        small = li.join(broadcast_if_small(nation), li.l_suppkey == nation.n_nationkey)
+        off = li.join(broadcast_if_small(nation), li.l_suppkey == nation.n_nationkey)
+        assert "BroadcastHashJoin" not in off._jdf.queryExecution().executedPlan().toString()
+        small = li.join(broadcast_if_small(nation, max_bytes=1 << 20), li.l_suppkey == nation.n_nationkey)
         big = li.join(broadcast_if_small(nation, max_bytes=1), li.l_suppkey == nation.n_nationkey)
         assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in big._jdf.queryExecution().executedPlan().toString()

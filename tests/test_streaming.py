@@ -22,7 +22,7 @@ def test_stream_restart_is_idempotent_and_matches_batch(spark):
     long = spark.createDataFrame(rows, "flight_id long, t int, ias double, alt double, x double")
     base = an.fit_baseline(an.assign_phase(long, SPEC), CH)
     d = tempfile.mkdtemp(prefix="telemetrix-stream-")
-    arrivals.replay_as_files(io.nest_flights(long, "flight_id", CH), os.path.join(d, "in"), n_files=3)
+    arrivals.replay_as_files(io.nest_flights(long, "flight_id", CH), os.path.join(d, "in"), flights_per_file=3)
     args = (spark, os.path.join(d, "in"), os.path.join(d, "out"), os.path.join(d, "ckpt"), base, CS, CH, SPEC, 60)
     arrivals.analyse_arrivals(*args, z_threshold=2.5)
     first = sorted(tuple(r) for r in spark.read.parquet(os.path.join(d, "out", "scores")).collect())

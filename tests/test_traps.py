@@ -157,7 +157,8 @@ def test_segments_gap_rule_and_cap(spark):
     for width in (16, 4096):
         seg = [(r.segment, r.seg_start, r.seg_end) for r in lc.anomaly_segments(df, chunk_steps=width)
                .orderBy("segment").collect()]
-        assert seg[0] == (1, 0, 15) and seg[1] == (2, 31, 32) and len(seg) == 15
+        assert seg[0] == (1, 0, 15) and seg[1] == (2, 31, 32) and len(seg) == 22
+        assert lc.anomaly_segments(df, max_segments=15, chunk_steps=width).count() == 15
 
 
 def test_moving_average_edges(spark):
