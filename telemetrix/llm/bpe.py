@@ -7,8 +7,8 @@ of last tokens thus grows by one entry a byte (exact appends), may be cut at any
 edit, is filled again only until it runs in step with the old one (re-encoding near edits).
 
 A text is cut into pieces by the tokenizer's pattern. A piece that is itself a token is that token, as the tiktoken
-library does; others go through the prefix table. Pieces are encoded once per worker process and kept, at
-most ``KEPT`` of them.
+library does; others go through the prefix table. New pieces are encoded in sorted order, so that neighbours share
+their prefixes' entries, once per worker process, and kept, at most ``KEPT`` of them.
 
 Scale: one pass over the documents without a shuffle; the rank file is read by the driver and sent once to each
 executor (its size is that of a vocabulary). Whole texts are encoded; memory is bounded by the batch.
@@ -66,7 +66,7 @@ class Vocabulary:
         return parts
 
     def apart(self, first: bytes, second: bytes) -> bool:
-        """Whether BPE of the two tokens' bytes gives the two tokens; kept by ``Prefixes`` in ``pairs``."""
+        """Whether BPE of the two tokens' bytes gives the two tokens; kept in ``pairs``."""
         if len(self.pairs) >= 2 * KEPT:
             self.pairs.clear()
         found = self.pairs[first, second] = self.merged(first + second) == [first, second]
@@ -84,21 +84,21 @@ class Prefixes:
         """The last token of text[:end], from those of the shorter prefixes."""
         v = self.vocabulary
         reachable, known = v.reachable, v.pairs.get
-        for start in range(end - v.longest if end > v.longest else 0, end):
+        for start in [i for i in range(end - v.longest if end > v.longest else 0, end) if text[i:end] in reachable]:
             token = text[start:end]
-            if token in reachable:
-                if not start:
-                    return token
-                before = last[start - 1]
-                apart = known((before, token))
-                if apart or apart is None and v.apart(before, token):
-                    return token
+            if not start:
+                return token
+            before = last[start - 1]
+            apart = known((before, token))
+            if apart or apart is None and v.apart(before, token):
+                return token
         raise ValueError(f"the vocabulary lacks the byte {text[end - 1]}")
 
     def append(self, more: bytes) -> None:
-        self.text += more
-        for end in range(len(self.last) + 1, len(self.text) + 1):
-            self.last.append(self._last(self.text, self.last, end))
+        text, last = self.text + more, self.last
+        for end in range(len(last) + 1, len(text) + 1):
+            last.append(self._last(text, last, end))
+        self.text = text
 
     def truncate(self, size: int) -> None:
         self.text, self.last = self.text[:size], self.last[:size]
@@ -133,29 +133,48 @@ class Prefixes:
         return out[::-1]
 
 
+#: Ids of a piece, their decimal text, and the bytes they stand for.
+Piece = tuple[tuple[int, ...], str, bytes]
+
+
 class Encoder:
     """Token ids of whole texts."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary, self.find = Vocabulary(ranks), regex.compile(pattern).findall
-        self.kept: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
-
-    def piece(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
-        """The ids of a piece, their decimal text and the bytes they stand for."""
-        if len(self.kept) >= KEPT:
-            self.kept.clear()
-        data, ranks = piece.encode(), self.vocabulary.ranks
-        rank = ranks.get(data)
-        ids = (rank,) if rank is not None else tuple([ranks[t] for t in Prefixes(self.vocabulary, data).encoding()])
-        found = self.kept[piece] = ids, " ".join(map(str, ids)), self.decode(ids)
-        return found
-
-    def pieces(self, text: str | None) -> list[tuple[tuple[int, ...], str, bytes]]:
-        kept, piece = self.kept.get, self.piece
-        return [kept(p) or piece(p) for p in self.find(text or "")]
+        self.kept: dict[str, Piece] = {}
+
+    def learn(self, found: set[str]) -> None:
+        """Encode the pieces not met before, in order: one prefix table is cut to what two neighbours share and grown on."""
+        kept, ranks, table, before = self.kept, self.vocabulary.ranks, Prefixes(self.vocabulary), b""
+        for data, piece in sorted([(p.encode(), p) for p in found if p not in kept]):
+            rank = ranks.get(data)
+            if rank is not None:
+                ids: tuple[int, ...] = (rank,)
+            else:
+                shared = 0
+                for one, other in zip(before, data):
+                    if one != other:
+                        break
+                    shared += 1
+                table.truncate(shared)
+                table.append(data[shared:])
+                before = data
+                ids = tuple([ranks[t] for t in table.encoding()])
+            kept[piece] = ids, " ".join(map(str, ids)), self.decode(ids)
+
+    def pieces(self, texts: list[str | None]) -> list[list[Piece]]:
+        """The pieces of each text: their ids, the decimal text of the ids and the bytes the ids stand for."""
+        find, kept = self.find, self.kept
+        found = [find(t or "") for t in texts]
+        distinct = set(chain.from_iterable(found))
+        if len(kept) + len(distinct) > KEPT:
+            kept.clear()  # before learning, so that all pieces of these texts stay
+        self.learn(distinct)
+        return [[kept[p] for p in t] for t in found]
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable([p[0] for p in self.pieces(text)]))
+        return list(chain.from_iterable([p[0] for p in self.pieces([text])[0]]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         tokens = self.vocabulary.tokens
@@ -177,19 +196,19 @@ def encoder(ranks: Ranks, pattern: str) -> Encoder:
 
 
 #: How a document's pieces become result columns.
-Columns = Callable[[list[list[tuple[tuple[int, ...], str, bytes]]]], tuple[pa.Array, ...]]
+Columns = Callable[[list[list[Piece]]], tuple[pa.Array, ...]]
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _ids(texts: list[list[tuple[tuple[int, ...], str, bytes]]]) -> tuple[pa.Array, ...]:
+def _ids(texts: list[list[Piece]]) -> tuple[pa.Array, ...]:
     return (pa.array([list(chain.from_iterable([p[0] for p in t])) for t in texts], pa.list_(pa.int32())),)
 
 
-def _decoded(texts: list[list[tuple[tuple[int, ...], str, bytes]]]) -> tuple[pa.Array, ...]:
+def _decoded(texts: list[list[Piece]]) -> tuple[pa.Array, ...]:
     return (pa.array([b"".join([p[2] for p in t]) for t in texts], pa.binary()),)
 
 
-def _digests(texts: list[list[tuple[tuple[int, ...], str, bytes]]]) -> tuple[pa.Array, ...]:
+def _digests(texts: list[list[Piece]]) -> tuple[pa.Array, ...]:
     return (pa.array([sum([len(p[0]) for p in t]) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(" ".join([p[1] for p in t]).encode()).hexdigest() for t in texts], pa.string()),
             pa.array([hashlib.sha256(b"".join([p[2] for p in t])).hexdigest() for t in texts], pa.string()))
@@ -219,9 +238,9 @@ def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks, pattern)
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                made = columns([coder.pieces(t) for t in part.column("text").to_pylist()])
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                made = columns(coder.pieces(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("row"), *made], ["row", *names])
 
     new = spark.createDataFrame([], kinds)
