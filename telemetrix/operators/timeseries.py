@@ -32,9 +32,10 @@ def semi_join_flights(sensor: DataFrame, flights: DataFrame, key: str = "flight_
 
 
 def missing_flights(header: DataFrame, sensor: DataFrame, key: str = "flight_id",
-                    sensor_key: str | None = None) -> DataFrame:
-    """Header flights without any sensor row (anti-join)."""
-    ids = sensor.select(F.col(sensor_key or key).alias(key))
+                    sensor_key: str | None = None, min_rows: int = 1) -> DataFrame:
+    """Header flights without usable sensor rows (anti-join); a flight below ``min_rows`` rows counts as missing."""
+    ids = (sensor.groupBy(F.col(sensor_key or key).alias(key)).agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") >= F.lit(int(min_rows))).select(key))
     return header.join(ids, key, "left_anti")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["anomaly_plans", "header_plans", "series_plans", "split_plans", "local_plans", "eval_plans", "score_plans", "io_plans"]
+_MODULES = ["anomaly_plans", "header_plans", "series_plans", "split_plans", "local_plans", "eval_plans", "score_plans", "io_plans",
+            "roundtrip_plans"]
 
 
 def all_queries() -> dict:

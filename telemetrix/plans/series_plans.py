@@ -22,6 +22,7 @@ FILL_CHUNK = 128
 FILTER_WEIGHTS = (0.25, 0.5, 0.25)
 FILTER_DILATIONS = (1, 2, 4, 8, 16, 32, 64, 128)
 MA_WIDTH = 20
+MIN_LINES = 3  # an order has one to seven lines; flights below the limit have no usable rows
 
 
 def _ordered(spark, sf):
@@ -81,8 +82,8 @@ def q_semi_join_sensor(spark, sf):
 
 
 def q_missing_flights(spark, sf):
-    return ts.missing_flights(_clean_header(spark, sf), _order_lines(spark, sf), key="master_index") \
-        .select("master_index")
+    return ts.missing_flights(_clean_header(spark, sf), _order_lines(spark, sf), key="master_index",
+                              min_rows=MIN_LINES).select("master_index")
 
 
 def q_sensor_header_join(spark, sf):
@@ -227,7 +228,8 @@ ORACLE = {
         SELECT l_orderkey AS master_index, count(*) AS n_rows FROM lineitem
         WHERE l_orderkey IN (SELECT master_index FROM hclean) GROUP BY l_orderkey""",
     "c_missing_flights": f"""WITH {_hdr()}
-        SELECT master_index FROM hclean WHERE master_index NOT IN (SELECT l_orderkey FROM lineitem)""",
+        SELECT master_index FROM hclean WHERE master_index NOT IN
+            (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= {MIN_LINES})""",
     "c_sensor_header_join": f"""WITH {_hdr()}
         SELECT l_orderkey AS master_index, l_linenumber, round(CAST(l_quantity AS DOUBLE), 6) AS qty, label_binary
         FROM lineitem JOIN hlab ON l_orderkey = master_index""",
