@@ -215,9 +215,16 @@ def anomaly_timeline(rows: DataFrame, baseline: DataFrame, channels: Sequence[st
                     F.when(F.col("_pn") >= F.lit(min_rows), any_flag).otherwise(F.lit(0)).alias("flag"))
 
 
+def timeline_arrays(timeline: DataFrame, key: str = "flight_id", t: str = "t") -> DataFrame:
+    """Per flight, the flags of its steps in order as one array (the record's form: one row per flight)."""
+    steps = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), "flag")))
+    return timeline.groupBy(key).agg(F.transform(steps, lambda x: x["flag"]).alias("anomaly_timeline"))
+
+
 def detection_summary(stats: DataFrame, flights: DataFrame, chanset: dims.ChannelSet,
-                      key: str = "flight_id") -> DataFrame:
-    """Nested detection result per flight (score, flagged list, phase map, top anomalies)."""
+                      key: str = "flight_id", timeline: DataFrame | None = None) -> DataFrame:
+    """Nested detection result per flight (score, flagged list, phase map, top anomalies, and the ordered
+    timeline when its flat form is given)."""
     score = anomaly_score(stats, flights, chanset, key)
     pa = (phase_anomalies(stats, flights, chanset, key).groupBy(key)
           .agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("phase_ord", "phase", "count"))),
@@ -227,7 +234,11 @@ def detection_summary(stats: DataFrame, flights: DataFrame, chanset: dims.Channe
     top = (top_anomalies(stats, chanset, key).groupBy(key)
            .agg(F.array_sort(F.collect_list(F.struct("rank", "sensor", "phase", "max_z", "pct_flagged")))
                 .alias("top_anomalies")))
-    return (score.join(pa, key, "left").join(fl, key, "left").join(top, key, "left")
-            .select(key, "anomaly_score",
+    parts = score.join(pa, key, "left").join(fl, key, "left").join(top, key, "left")
+    extra = []
+    if timeline is not None:
+        parts, extra = parts.join(timeline_arrays(timeline, key), key, "left"), ["anomaly_timeline"]
+    return (parts
+            .select(key, "anomaly_score", *extra,
                     F.coalesce("flagged_sensors", F.array().cast("array<string>")).alias("flagged_sensors"),
                     "phase_anomalies", "top_anomalies"))

@@ -117,19 +117,25 @@ def flight_analysis(scores: DataFrame, detection: DataFrame, explanation: DataFr
     return (scores.join(detection, key, "left").join(explanation, key, "left"))
 
 
-def alert_records(analysis: DataFrame, key: str = "flight_id") -> DataFrame:
-    """Nested alert record per flight, plus its JSON text."""
+def alert_records(analysis: DataFrame, key: str = "flight_id", top: DataFrame | None = None) -> DataFrame:
+    """Nested alert record per flight, plus its JSON text.
+
+    ``top``: F2's rows; they become the record's ``top_channels`` in rank order.  The ordered
+    ``anomaly_timeline`` is part of the record when the detection carries it.
+    """
+    shown = []
+    if top is not None:
+        entry = F.struct("rank", "channel", "description", "importance")
+        lists = top.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("top_channels"))
+        analysis, shown = analysis.join(lists, key, "left"), ["top_channels"]
+    timeline = ["anomaly_timeline"] if "anomaly_timeline" in analysis.columns else []
     rec = F.struct(
         F.col(key).alias("flight_id"), "probability", "prediction", "severity", "threshold", "message",
-        F.struct("anomaly_score", "flagged_sensors", "phase_anomalies", "top_anomalies").alias("anomaly"),
+        F.struct("anomaly_score", "flagged_sensors", "phase_anomalies", "top_anomalies", *timeline).alias("anomaly"), *shown,
         F.struct("summary", "driving_factors", "sensor_insights", "recommended_action").alias("explanation"))
     return analysis.select(key, rec.alias("alert")).withColumn("alert_json", F.to_json("alert"))
 
 
-def needs_attention(df: DataFrame) -> Column:
-    return is_true(F.col("severity").isin("CRITICAL", "HIGH"))
-
-
 def flight_id_fallback(df: DataFrame, id_col: str, order: list[Column], chunk: Column,
                        out: str = "flight_id") -> DataFrame:
     """Use the id when present, else the row position (0-based, in ``order``)."""

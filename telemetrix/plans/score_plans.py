@@ -49,11 +49,6 @@ def _model(spark, sf):
     return z, feats, coef, scores
 
 
-def _detection(spark, sf):
-    rows, _, st = ap._stats(spark, sf)
-    return an.detection_summary(st, rows, tb.lineitem_channels())
-
-
 def _top(spark, sf):
     z, _, coef, scores = _model(spark, sf)
     return sc.top_channels(sc.channel_importance(z, scores, coef, CH), CHSET)
@@ -87,28 +82,44 @@ def q_top_channels(spark, sf):
     return rounded(_top(spark, sf))
 
 
-def _explanation(spark, sf):
+def _explanation(spark, sf, timeline=None):
+    """Scores, explanation, detection and top channels; the detection is planned once for all of them."""
     z, _, coef, scores = _model(spark, sf)
     top = sc.top_channels(sc.channel_importance(z, scores, coef, CH), CHSET)
-    return scores, ex.plain_explanation(scores, top, CHSET, _detection(spark, sf))
+    rows, _, st = ap._stats(spark, sf)
+    det = materialize(an.detection_summary(st, rows, tb.lineitem_channels(), timeline=timeline), "detection")
+    return scores, ex.plain_explanation(scores, top, CHSET, det), det, top
 
 
 def q_plain_explanation(spark, sf):
-    _, e = _explanation(spark, sf)
+    _, e, _, _ = _explanation(spark, sf)
     return ex.flat_explanation(e)
 
 
 def q_flight_analysis(spark, sf):
-    scores, e = _explanation(spark, sf)
-    det = _detection(spark, sf)
+    scores, e, det, _ = _explanation(spark, sf)
     a = rp.flight_analysis(scores, det, ex.flat_explanation(e))
     return rounded(a.select("flight_id", "probability", "prediction", "severity", "anomaly_score",
                             F.size("flagged_sensors").alias("n_flagged_sensors"), "summary", "recommended_action"))
 
 
 def q_alert_json(spark, sf):
-    scores, e = _explanation(spark, sf)
-    return rp.alert_records(rp.flight_analysis(scores, _detection(spark, sf), e)).select("flight_id", "alert_json")
+    scores, e, det, top = _explanation(spark, sf, ap.q_anomaly_timeline(spark, sf))
+    return rp.alert_records(rp.flight_analysis(scores, det, e), top=top).select("flight_id", "alert_json")
+
+
+def q_alert_fields(spark, sf):
+    """A9 + H9 checked: fields of the JSON text, read back by path."""
+    j = F.col("alert_json")
+    flags = F.from_json(F.get_json_object(j, "$.anomaly.anomaly_timeline"), "array<int>")
+    return q_alert_json(spark, sf).select(
+        "flight_id", F.get_json_object(j, "$.severity").alias("severity"),
+        F.get_json_object(j, "$.anomaly.anomaly_score").cast("double").alias("anomaly_score"),
+        F.json_array_length(F.get_json_object(j, "$.anomaly.flagged_sensors")).alias("n_flagged_sensors"),
+        F.size(flags).alias("n_steps"), F.aggregate(flags, F.lit(0), lambda a, x: a + x).alias("n_flagged_steps"),
+        F.coalesce(F.array_position(flags, 1) - 1, F.lit(-1)).cast("int").alias("first_flagged_step"),
+        F.get_json_object(j, "$.top_channels[0].channel").alias("top_channel"),
+        F.get_json_object(j, "$.top_channels[0].importance").cast("double").alias("top_importance"))
 
 
 def _phase_counts(spark, sf):
@@ -201,7 +212,7 @@ QUERIES = {
     "f_top_channels": q_top_channels,
     "i_plain_explanation": q_plain_explanation,
     "i_flight_analysis": q_flight_analysis,
-    "a_alert_json": q_alert_json,
+    "a_alert_json": q_alert_json, "a_alert_fields": q_alert_fields,
     "d_worst_phase": q_worst_phase,
     "d_phase_share": q_phase_share,
     "d_separation_ratio": q_separation_ratio,
@@ -425,6 +436,15 @@ ORACLE["i_retraining_run"] = f"""{_EP._NORM}, {MODEL_CTE}, {_TEST_SC} {_EP.METRI
            'evaluate_only' AS pipeline_type
     FROM rep, mx, promo"""
 
+ORACLE["a_alert_fields"] = f"""WITH fa AS ({ORACLE['i_flight_analysis']}),
+    tl AS ({ap.ORACLE['d_anomaly_timeline']}), tc AS ({ORACLE['f_top_channels']})
+    SELECT fa.flight_id, severity, anomaly_score, CAST(n_flagged_sensors AS INTEGER) AS n_flagged_sensors, n_steps, n_flagged_steps,
+           first_flagged_step, tc.channel AS top_channel, tc.importance AS top_importance
+    FROM fa JOIN (SELECT flight_id, CAST(count(*) AS INTEGER) AS n_steps, CAST(sum(flag) AS INTEGER) AS n_flagged_steps,
+                         CAST(coalesce(min(CASE WHEN flag = 1 THEN t END), -1) AS INTEGER) AS first_flagged_step
+                  FROM tl GROUP BY flight_id) USING (flight_id)
+    JOIN tc USING (flight_id) WHERE tc.rank = 1"""
+
 _FLEET_SUB = (_FLEET.replace("FROM scm),", "FROM scm_sub),").replace("FROM scm JOIN sel", "FROM scm_sub scm JOIN sel"))
 ORACLE["b_fleet_label_subset"] = f"""{_FULL}, {_PA}, {_LOCAL},
     scm_sub AS (SELECT * FROM scm WHERE flight_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2500)),
