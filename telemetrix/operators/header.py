@@ -75,14 +75,10 @@ def construct_labels(df: DataFrame, limit: int = dims.DATE_DIFF_LIMIT,
 
 def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Per field and value: count and percentage of non-missing rows (missing dropped)."""
-    parts = []
-    for f in fields:
-        g = (df.where(F.col(f).isNotNull()).groupBy(F.col(f).cast("string").alias("value"))
-             .agg(F.count(F.lit(1)).alias("count")).withColumn("field", F.lit(f)))
-        parts.append(g)
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    # one pass: every row gives one (field, value) pair per field, counted with map-side combine
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    u = (df.select(F.explode(pairs).alias("_x")).select("_x.*").where("value is not null")
+         .groupBy("field", "value").agg(F.count(F.lit(1)).alias("count")))
     tot = F.sum("count").over(Window.partitionBy("field"))
     return u.select("field", "value", "count", (F.col("count") * 100.0 / tot).alias("pct"))
 
