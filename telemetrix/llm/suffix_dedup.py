@@ -7,7 +7,8 @@ earlier start). Three steps bring equal strings together without moving all suff
    strings choose equal grams. Blocks of documents report the hashes they chose, one entry a block and hash, and
    learn which were chosen at least twice in the corpus. All strings under other grams are unique.
 2. Neighbouring strings under one shared gram form a stretch (at most 168 bytes). Blocks send their stretches, equal ones
-   once, to the bucket of the gram, so that all occurrences of a repeated string meet in one bucket.
+   once, to the bucket of the gram, so that all occurrences of a repeated string meet in one bucket; there, too, equal stretches become
+   one entry, the earliest.
 3. A bucket builds the Burrows-Wheeler transform of its stretches and expands intervals breadth-first up to the length 100
    (``suffixes``). Suffixes that no boundary parts share 100 bytes; of each such class the earliest string stays and
    the bytes of the others are reported to their blocks, which cut them from the texts.
@@ -268,24 +269,22 @@ def _joined(cuts: np.ndarray) -> np.ndarray:
 
 def repeats(rows: np.ndarray, block: np.ndarray, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks and cuts of all strings that also start in an earlier stretch; rows of a key are judged together."""
-    single = np.flatnonzero(rows["size"] == LENGTH)
-    if len(single):  # whole strings of hot grams: equal ones are one entry, the earliest
-        by = np.lexsort((rows["start"][single], rows["doc"][single], block[single], rows["id"][single], rows["known"][single],
-                         rows["key"][single]))
-        single = single[by]
-        seen, later = set(), []
-        for i in single.tolist():
-            if pieces[i] in seen:
-                later.append(i)
+    # equal stretches of several blocks are one entry, the earliest: all strings of the others start in it
+    earliest = np.lexsort((rows["start"], rows["doc"], block, rows["id"], rows["known"])).tolist()
+    seen: set[bytes] = set()
+    fresh = np.ones(len(rows), bool)
+    for i in earliest:
+        if pieces[i] in seen:
+            fresh[i] = False
+        else:
             seen.add(pieces[i])
-        if later:
-            found = np.empty(len(later), CUT)
-            for name in CUT.names:
-                found[name] = rows[name][later]
-            yield block[later], found
-            left = np.ones(len(rows), bool)
-            left[later] = False
-            rows, block, pieces = rows[left], block[left], [p for p, k in zip(pieces, left.tolist()) if k]
+    later = ~fresh
+    if later.any():
+        found = np.empty(int(later.sum()), CUT)
+        for name in CUT.names:
+            found[name] = rows[name][later]
+        yield block[later], found
+        rows, block, pieces = rows[fresh], block[fresh], [p for p, k in zip(pieces, fresh.tolist()) if k]
     if not len(rows):
         return
     order = np.argsort(rows["key"], kind="stable")
