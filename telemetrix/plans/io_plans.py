@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..operators import anomaly as an
+from ..operators import score as sc
+from ..operators import split_norm as sn
 from ..session import scratch_path
 from ..sources import io
 from ..sources import tables as tb
 from ..streaming import arrivals
+from . import score_plans as scp
 from . import series_plans as sp
 from . import split_plans as spl
 from .common import PHASE_VALUES_SQL, rounded, sql_phase_case
@@ -39,16 +42,35 @@ def j1_baseline(spark, sf):
 
 def q_stream_arrivals(spark, sf):
     p, base = j1_baseline(spark, sf)
+    stats = sn.norm_stats(p.where("split = 'train'"), J1_CHANNELS)
+    feats = sc.pooled_features(sn.apply_zscore(p, stats, J1_CHANNELS), J1_CHANNELS)
+    coef = sc.fit_centroid_scorer(feats, p.where("split = 'train'").select("flight_id", "label").distinct(), J1_CHANNELS)
     run = scratch_path(spark, f"arrivals-{uuid.uuid4().hex[:12]}")
     arrivals.replay_as_files(io.nest_flights(p, "flight_id", J1_CHANNELS), f"{run}/in")
-    arrivals.analyse_arrivals(spark, f"{run}/in", f"{run}/out", f"{run}/ckpt", F.broadcast(base), J1_CHANSET,
+    arrivals.analyse_arrivals(spark, f"{run}/in", f"{run}/out", f"{run}/ckpt", base, J1_CHANSET,
+                              J1_CHANNELS, tb.LINEITEM_PHASES, tb.LINEITEM_N, z_threshold=tb.LINEITEM_Z,
+                              scorer=arrivals.Scorer(stats, coef))
+    return rounded(spark.read.parquet(f"{run}/out/scores").select(
+        "flight_id", "anomaly_score", "flagged_sensors", "probability", "prediction", "severity"))
+
+
+def q_stream_rejects(spark, sf):
+    """J1's reject arm: one flight of a wrong shape per supplier among the good ones."""
+    p, base = j1_baseline(spark, sf)
+    good = io.nest_flights(p, "flight_id", J1_CHANNELS)
+    bad = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        (-F.col("s_suppkey") - 1).alias("flight_id"), F.array(F.array(F.col("s_acctbal"))).alias("flight_data"))
+    run = scratch_path(spark, f"arrivals-{uuid.uuid4().hex[:12]}")
+    arrivals.replay_as_files(good.unionByName(bad), f"{run}/in")
+    arrivals.analyse_arrivals(spark, f"{run}/in", f"{run}/out", f"{run}/ckpt", base, J1_CHANSET,
                               J1_CHANNELS, tb.LINEITEM_PHASES, tb.LINEITEM_N, z_threshold=tb.LINEITEM_Z)
-    return spark.read.parquet(f"{run}/out/scores").select("flight_id", "anomaly_score", "flagged_sensors")
+    return spark.read.parquet(f"{run}/out/rejects").select("flight_id", "reject_reason")
 
 
 QUERIES = {
     "a_nested_input": q_nested_input,
     "j_stream_arrivals": q_stream_arrivals,
+    "j_stream_rejects": q_stream_rejects,
 }
 
 
@@ -85,8 +107,12 @@ ORACLE = {
                {', '.join(f"round(CAST(embedding[i - ((i - 1) % {EMB_CHANNELS}) + {k}] AS DOUBLE), 6) AS c{k}" for k in range(EMB_CHANNELS))}
         FROM embeddings, range(1, {EMB_STEPS * EMB_CHANNELS} + 1, {EMB_CHANNELS}) AS r(i)
         WHERE len(embedding) = {EMB_STEPS * EMB_CHANNELS}""",
-    "j_stream_arrivals": f"""WITH {sp.CUTPAD_CTE}, {spl.SUPPLIER_SPLIT_CTE}, {_J1}
+    "j_stream_arrivals": f"""WITH det AS (WITH {sp.CUTPAD_CTE}, {spl.SUPPLIER_SPLIT_CTE}, {_J1}
         SELECT f.flight_id, round(least(coalesce(jsc.s, 0.0), 1.0), 4) AS anomaly_score,
                coalesce(jfl.fl, '') AS flagged_sensors
-        FROM (SELECT DISTINCT flight_id FROM ps) f LEFT JOIN jsc USING (flight_id) LEFT JOIN jfl USING (flight_id)""",
+        FROM (SELECT DISTINCT flight_id FROM ps) f LEFT JOIN jsc USING (flight_id) LEFT JOIN jfl USING (flight_id)),
+        lin AS ({scp.ORACLE['i_linear_score']})
+        SELECT flight_id, anomaly_score, flagged_sensors, probability, prediction, severity FROM det JOIN lin USING (flight_id)""",
+    "j_stream_rejects": f"""SELECT -s_suppkey - 1 AS flight_id,
+        'expected shape ({tb.LINEITEM_N}, {len(J1_CHANNELS)})' AS reject_reason FROM supplier""",
 }
