@@ -64,6 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def executed_plan(df) -> str:
+    """Run ``df`` and return the plan that ran (the final plan, where AQE re-planned it)."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    return plan.toString().split("== Initial Plan ==")[0]
+
+
 def release(df) -> None:
     """Delete the tables of ``materialize`` that a DataFrame reads, once it is no longer needed."""
     spark = df.sparkSession

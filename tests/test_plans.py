@@ -1,13 +1,13 @@
-"""Plan regressions: the physical plans keep the properties the design relies on at scale."""
+"""Plan regressions: the plans that ran keep the properties the design relies on at scale."""
 
 import re
 
 import __spark_entry__ as entry
+from telemetrix.session import executed_plan
 
 
 def _plan(spark, name, sf):
-    df = entry.queries()[name](spark, sf)
-    return df._jdf.queryExecution().executedPlan().toString()
+    return executed_plan(entry.queries()[name](spark, sf))
 
 
 def test_preparation_windows_are_chunked_and_scan_is_pruned(spark, sf_small):
@@ -42,3 +42,9 @@ def test_psi_counts_are_combined_map_side(spark, sf_small):
 def test_semi_join_uses_checked_broadcast(spark, sf_small):
     plan = _plan(spark, "c_semi_join_sensor", sf_small)
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
+def test_baseline_aggregate_is_shuffled_once(spark, sf_small):
+    # both steps of the fit read one exchange of the per-(flight, phase) moments
+    plan = _plan(spark, "d_baseline_fit", sf_small)
+    assert "ReusedExchange" in plan
