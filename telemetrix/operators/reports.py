@@ -21,10 +21,25 @@ def global_rank(df: DataFrame, order: list[Column], chunk: Column, out: str = "r
     return r.withColumn(out, (F.col("_r") + 1).cast("long")).drop("_all", "_r")
 
 
-def rank_by_probability(scores: DataFrame, key: str = "flight_id", buckets: int = 1 << 16) -> DataFrame:
-    """fleet rank by probability (descending), ties by flight id."""
-    chunk = F.least(F.floor((F.lit(1.0) - F.col("probability")) * buckets), F.lit(buckets - 1)).cast("long")
-    return global_rank(scores, [F.col("probability").desc(), F.col(key)], chunk, "fleet_rank")
+def rank_by_probability(scores: DataFrame, key: str = "flight_id", chunks: int = 256) -> DataFrame:
+    """fleet rank by probability (descending, missing last), ties by flight id.
+
+    Chunks lie between approximate quantiles of the probability, so a saturated score does not put
+    most flights into one of them; flights at exactly a quantile's value (many, where the score
+    saturates) are divided further by quantiles of their id.  The quantiles are one row.
+    """
+    steps = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    cuts = scores.agg(F.array_distinct(F.percentile_approx("probability", steps, 10 * chunks)).alias("_p"),
+                      F.array_distinct(F.percentile_approx(key, steps, 10 * chunks)).alias("_k"))
+    j = scores.withColumn("_j", F.lit(1)).join(F.broadcast(cuts.withColumn("_j", F.lit(1))), "_j").drop("_j")
+    p = F.col("probability")
+    above = F.size(F.filter("_p", lambda x: x > p))
+    tied = F.array_contains("_p", p)
+    place = F.when(tied, F.size(F.filter("_k", lambda x: x < F.col(key)))).otherwise(F.lit(0))
+    chunk = F.when(p.isNull(), F.lit(2 * chunks * chunks)).otherwise(
+        (2 * above + tied.cast("int")) * F.lit(chunks) + place).cast("long")
+    return global_rank(j.withColumn("_rank_chunk", chunk).drop("_p", "_k"), [p.desc(), F.col(key)],
+                       F.col("_rank_chunk"), "fleet_rank").drop("_rank_chunk")
 
 
 def aircraft_ids(flights: DataFrame, key: str = "flight_id", seed: int = 42, prefix: str = "N",

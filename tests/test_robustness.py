@@ -102,3 +102,12 @@ def test_salted_join_equals_join(spark):
         assert hot.count() == 400
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", off)
+
+
+def test_fleet_rank_of_saturated_scores(spark):
+    from telemetrix.operators import reports
+    rows = [(i * 7 % 1000, 1.0 if i % 3 else (None if i % 30 == 0 else i / 1000)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "flight_id long, probability double")
+    got = {r.flight_id: r.fleet_rank for r in reports.rank_by_probability(df, chunks=16).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {f: n + 1 for n, (f, _) in enumerate(want)}
