@@ -118,6 +118,35 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = """
+with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents
+), parts as (  -- the long texts in pieces, so that substrings stay cheap
+  select doc_id, k * 1000 as base, substr(h, 2000 * k + 1, 2200) as piece, length(h) // 2 as n
+  from (select doc_id, h, unnest(range(0, length(h) // 2000 + 1)) as k from d)
+), w as (
+  select doc_id, base + i as pos, substr(piece, 2 * i + 1, 200) as s
+  from (select *, unnest(range(0, 1000)) as i from parts) where base + i + 100 <= n
+), later as (
+  select doc_id, pos from (select doc_id, pos, row_number() over (partition by s order by doc_id, pos) as r from w) where r > 1
+), bytes as (
+  select doc_id, base + i as pos, substr(piece, 2 * i + 1, 2) as b
+  from (select *, unnest(range(0, 1000)) as i from parts) where base + i < n
+), marked as (
+  select b.doc_id, b.pos, b.b, coalesce(max(l.pos) over (partition by b.doc_id order by b.pos) > b.pos - 100, false) as gone
+  from bytes b left join later l on l.doc_id = b.doc_id and l.pos = b.pos
+), runs as (
+  select *, gone and not coalesce(lag(gone) over (partition by doc_id order by pos), false) as opens from marked
+), out as (
+  select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_spans,
+         coalesce(string_agg(b, '' order by pos) filter (where not gone), '') as kept
+  from runs group by doc_id
+)
+select d.doc_id, cast(length(d.h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join out using (doc_id)
+"""
+
+
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs: the conversation of an even id 2m is taken as chosen, that of 2m + 1 as rejected."""
     turns = table(spark, sf_dir, "conversations")
@@ -177,5 +206,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_topk": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op9_suffix_dedup": OP9_SQL,
     "op10_preferences": OP10_SQL,
 }
