@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,40 @@ def blocked(frame: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return frame.select(F.pmod(spread, F.lit(blocks)).alias("block"), *frame.columns).repartition(parts, "block"), blocks
 
 
+def packed_blocks(frame: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """As ``blocked``, but the rows of a block travel as compressed batches (block, rows); ``rows_of`` reads them.
+
+    Texts of a task that go to the same block are compressed together, which halves what is shuffled.
+    """
+    blocks = max(1, -(-text_bytes(frame) // block_bytes))
+    spread = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    parts = max(blocks, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = frame.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            block = np.asarray(batch.column("block"))
+            order = np.argsort(block, kind="stable")
+            rows = batch.select(names).take(pa.array(order))
+            which, first = np.unique(block[order], return_index=True)
+            out = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(block)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                    writer.write_batch(pa.Table.from_batches([rows.slice(a, b - a)]).combine_chunks().to_batches()[0])
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(out, pa.binary())], ["block", "rows"])
+
+    dealt = frame.select(F.pmod(spread, F.lit(blocks)).alias("block"), *names)
+    return dealt.mapInArrow(run, "block long, rows binary").repartition(parts, "block"), blocks
+
+
+def rows_of(table: pa.Table) -> pa.Table:
+    """The rows of a block's compressed batches."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in table.column("rows").to_pylist()])
+
+
 def pack(values: np.ndarray, sorted_: bool = False) -> bytes:
     """Numbers as compressed byte planes; sorted ones as differences."""
     if sorted_:
