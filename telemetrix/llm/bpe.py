@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from telemetrix.llm.common import unwrap, wrap
 
-KEPT = 500_000
+KEPT = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,7 +67,7 @@ class Vocabulary:
 
     def apart(self, first: bytes, second: bytes) -> bool:
         """Whether BPE of the two tokens' bytes gives the two tokens; kept in ``pairs``."""
-        if len(self.pairs) >= 2 * KEPT:
+        if len(self.pairs) >= KEPT:
             self.pairs.clear()
         found = self.pairs[first, second] = self.merged(first + second) == [first, second]
         return found

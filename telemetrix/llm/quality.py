@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import pick
+from telemetrix.llm.common import parts, pick
 from telemetrix.llm.labels import Constant, calibrate, class_counts, labelled, sample
 
 PIECE = 1024
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
             .select("y", (F.col("u") % 2).alias("part"), F.col("text").cast("binary").alias("text")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for y, body in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
                 n = -(-len(body) // PIECE)
                 at = range(n) if n <= PIECES else [i * n // PIECES for i in range(PIECES)]
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(good, bad)
-        for batch in batches:
+        for batch in parts(batches):
             raw = [sizes.raw(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(raw, pa.float64())], ["y", "x"])
 
@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.good, model.bad)
-        for batch in batches:
+        for batch in parts(batches):
             raw = np.array([sizes.raw(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(model.probability(raw), pa.float64())], ["doc_id", "score"])

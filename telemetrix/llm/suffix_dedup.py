@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import ranges, sliding_min
+from telemetrix.llm.common import parts, ranges, sliding_min
 from telemetrix.llm.packing import blocked
 from telemetrix.llm.suffixes import repeated_classes
 
@@ -42,7 +42,7 @@ GRAM = 32
 BLOCK_BYTES = 12 << 20
 SLICE = 1 << 20
 CHUNK = 1 << 16
-SYMBOLS = 1 << 20
+SYMBOLS = 1 << 19
 HOT = 5_000
 
 # Random 64-bit words for the bytes, from a rule (splitmix), and odd multipliers of the hash.
@@ -406,7 +406,7 @@ def _as_text(found: DataFrame) -> DataFrame:
     frame = found.select("id", "row", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             left = [t.decode("utf-8", "ignore") for t in batch.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(left, pa.string())], ["id", "row", "left"])
 

@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import pick
+from telemetrix.llm.common import parts, pick
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], byte_fallback
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(sent.value, byte_fallback)
-        for batch in batches:
+        for batch in parts(batches):
             found = [counter.text(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())],
