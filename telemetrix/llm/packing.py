@@ -36,7 +36,7 @@ def packed_blocks(frame: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         for batch in batches:
             block = np.asarray(batch.column("block"))
             order = np.argsort(block, kind="stable")
