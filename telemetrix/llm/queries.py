@@ -92,7 +92,7 @@ from d left join words using (doc_id) left join named using (doc_id)
 """
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_tree_lm.scores(table(spark, sf_dir, "documents"), crc_fold(F.col("id"), 5) != 1)
+    found = suffix_tree_lm.scores(table(spark, sf_dir, "documents"), crc_fold(F.col("id"), 5) != 1, depth=None)
     return found.select(F.col("id").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
                         "train_tokens", "base_score", "score")
 
