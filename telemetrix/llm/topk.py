@@ -7,7 +7,8 @@ slot a vector; partition selection keeps the best k of the block (ties to the sm
 the blocks' lists are merged by rank.
 
 Scale: vectors and queries are dealt into blocks of bounded size; each vector block meets each query
-block once, through a join on the vector block's number, so a task holds one of each at a time. Only k
+block once, keyed by the numbers of both, so a task holds one of each at a time. Vectors are sent once to each query
+block and queries once to each vector block; so blocks grow with the tables, up to ``COMPONENTS`` weights. Only k
 rows a query and block are shuffled to the merge. No side is broadcast or collected.
 
 Edge cases: vectors that are null or hold a null, NaN or infinite component, and rows with a null id, take
@@ -30,6 +31,8 @@ from telemetrix.llm.common import pick
 
 VECTORS = 4096
 QUERIES = 512
+COMPONENTS = 1 << 22  # weights of a block: 32 MB
+TASKS = 64  # blocks of vectors beyond which they grow
 BOUND = 2.0 ** 40
 
 
@@ -44,19 +47,27 @@ def weights(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
                 F.greatest(F.least(a * scale, F.lit(BOUND)), F.lit(-BOUND))).cast("long")).alias("w")))
 
 
+def sized(df: DataFrame, given: int | None, least: int, blocks: int) -> int:
+    """Number of blocks of a side: of ``given`` rows, or of ``least`` and more, up to ``COMPONENTS`` weights."""
+    n, weighed = df.agg(F.count("*"), F.sum(F.size("w"))).first()
+    rows = given or max(1, min(max(least, -(-n // blocks)), COMPONENTS * n // max(1, weighed or 0)))
+    return max(1, -(-n // rows))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
-          k: int = 5, scale: int = 256, vector_block: int = VECTORS, query_block: int = QUERIES) -> DataFrame:
+          k: int = 5, scale: int = 256, vector_block: int | None = None, query_block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k best vectors for each row of ``queries``."""
     base, asked = weights(vectors, id_col, vector, scale), weights(queries, id_col, vector, scale).distinct()
-    n_base, n_asked = base.count(), asked.count()
-    blocks, parts = max(1, -(-n_base // vector_block)), max(1, -(-n_asked // query_block))
-    base = base.withColumn("block", F.pmod(F.xxhash64("id", "w"), F.lit(blocks)))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", "w"), F.lit(parts)))
-    # each query block goes to every vector block: the stated query set against all rows, in blocks
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
-        "block", F.col("block").cast("long"))
-    found = (base.groupBy("block").cogroup(asked.groupBy("block"))
-             .applyInArrow(_scorer(k, query_block), "query_id long, query string, vec_id long, score long"))
+    blocks, parts = sized(base, vector_block, VECTORS, TASKS), sized(asked, query_block, QUERIES, 1)
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    # each vector block meets each query block: every row goes once to each block of the other side
+    base = base.withColumn("block", F.pmod(F.xxhash64("id", "w"), F.lit(blocks))).withColumn("part", each(parts))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", "w"), F.lit(parts))).withColumn("block", each(blocks))
+    found = (base.groupBy("block", "part").cogroup(asked.groupBy("block", "part"))
+             .applyInArrow(_scorer(k, query_block or QUERIES), "query_id long, query string, vec_id long, score long"))
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

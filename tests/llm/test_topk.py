@@ -1,5 +1,6 @@
 import math
 
+from telemetrix.llm import topk
 from telemetrix.llm.topk import top_k
 
 
@@ -38,3 +39,22 @@ def test_edges(spark):
     check(spark, rows, rows, vector_block=4)
     check(spark, rows[:1], rows[:1])
     check(spark, [], [])
+
+
+def test_a_task_holds_one_block_of_each_side(spark, monkeypatch):
+    rows = [(i, [((i * 7 + d * 13) % 17 - 8) / 16 for d in range(6)]) for i in range(400)]
+    made = topk._scorer
+
+    def bounded(k, query_block):
+        run = made(k, query_block)
+
+        def held(base, asked):
+            assert base.num_rows <= 80 and asked.num_rows <= 20, (base.num_rows, asked.num_rows)
+            return run(base, asked)
+
+        return held
+
+    monkeypatch.setattr(topk, "_scorer", bounded)
+    check(spark, rows, rows[::4], vector_block=40, query_block=10)
+    monkeypatch.setattr(topk, "COMPONENTS", 60)  # blocks of ten vectors
+    check(spark, rows[:100], rows[:100:2], k=3)
