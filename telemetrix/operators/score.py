@@ -30,10 +30,10 @@ from ..functions.joins import salted_join
 
 def pooled_features(rows: DataFrame, channels: Sequence[str], key: str = "flight_id",
                     rectify: Sequence[str] = ()) -> DataFrame:
-    """Per flight, the mean over time of every channel (rectified channels use max(x, 0))."""
+    """Per flight, the mean over time of every channel (rectified channels use max(x, 0), and NULL stays NULL)."""
     aggs = []
     for c in channels:
-        x = F.greatest(F.col(c), F.lit(0.0)) if c in rectify else F.col(c)
+        x = F.when(F.col(c) < 0, F.lit(0.0)).otherwise(F.col(c)) if c in rectify else F.col(c)
         aggs.append(F.avg(x).alias(c))
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_steps"), *aggs)
 

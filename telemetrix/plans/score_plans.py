@@ -18,6 +18,7 @@ from ..operators import local as lc
 from ..operators import reports as rp
 from ..operators import score as sc
 from ..operators import split_norm as sn
+from ..operators import timeseries as ts
 from ..session import materialize
 from ..sources import tables as tb
 from . import anomaly_plans as ap
@@ -28,6 +29,7 @@ from .common import PHASE_VALUES_SQL, rounded
 CH = spl.NORM_CHANNELS
 CHSET = tb.lineitem_prepared_channels()
 DISPLAY = CHSET.select(lambda c: c.display)
+FILTERED = [f"value_d{d}" for d in sp.FILTER_DILATIONS]
 
 
 def _flights(spark, sf):
@@ -58,6 +60,12 @@ def q_pooled_features(spark, sf):
     return rounded(sc.pooled_features(spl.normalised(spark, sf), CH))
 
 
+def q_pooled_filters(spark, sf):
+    """I2 with E9: per flight, the mean over time of the value and of its rectified filter outputs."""
+    e = ts.causal_dilated_filter(sp._events_ordered(spark, sf), "value", sp.FILTER_WEIGHTS, sp.FILTER_DILATIONS, chunk_steps=512)
+    return rounded(sc.pooled_features(e, ["value", *FILTERED], rectify=FILTERED))
+
+
 def q_scorer_coefficients(spark, sf):
     _, _, coef, _ = _model(spark, sf)
     return rounded(coef)
@@ -205,6 +213,7 @@ def q_retraining_run(spark, sf):
 
 QUERIES = {
     "i_pooled_features": q_pooled_features,
+    "i_pooled_filters": q_pooled_filters,
     "i_scorer_coefficients": q_scorer_coefficients,
     "i_linear_score": q_linear_score,
     "i_channel_importance": q_channel_importance,
@@ -363,7 +372,21 @@ fleet AS (
 _FLEET_COLS = ("fleet_rank, aircraft_id, flight_id, true_label, severity, maint_prob, anomaly_score, "
                "sensors_flagged, top_sensor, worst_phase, action")
 
+
+def _pooled_filters_sql() -> str:
+    k, outs = len(sp.FILTER_WEIGHTS), []
+    for d, name in zip(sp.FILTER_DILATIONS, FILTERED):
+        terms = [f"{w} * value" if i == k - 1 else
+                 f"{w} * lag(value, {(k - 1 - i) * d}, 0.0) OVER (PARTITION BY flight_id ORDER BY t)"
+                 for i, w in enumerate(sp.FILTER_WEIGHTS)]
+        outs.append(f"{' + '.join(terms)} AS {name}")
+    pooled = ", ".join(f"round(avg(CASE WHEN {c} < 0 THEN 0.0 ELSE {c} END), 6) + 0.0 AS {c}" for c in FILTERED)
+    return (f"WITH {sp.EVENTS_CTE}, y AS (SELECT flight_id, value, {', '.join(outs)} FROM e) "
+            f"SELECT flight_id, count(*) AS n_steps, round(avg(value), 6) + 0.0 AS value, {pooled} FROM y GROUP BY flight_id")
+
+
 ORACLE = {
+    "i_pooled_filters": _pooled_filters_sql(),
     "i_pooled_features": f"{_BASE} SELECT flight_id, n_steps, {_r6(CH)} FROM feat",
     "i_scorer_coefficients": f"{_BASE} SELECT channel, idx, {_r6(['mu', 'sd', 'w', 'bias'])} FROM coef",
     "i_linear_score": f"{_BASE} SELECT flight_id, {_r6(['logit', 'probability'])}, prediction, severity, message, threshold FROM scm",
