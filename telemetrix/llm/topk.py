@@ -14,8 +14,8 @@ rows a query and block are shuffled to the merge. No side is broadcast or collec
 Edge cases: vectors that are null or hold a null, NaN or infinite component, and rows with a null id, take
 no part. Vectors of different lengths meet on their common dimensions. Empty vectors score 0. Rows that
 repeat an id are candidates each; a query never meets rows of its own id; queries that repeat an id
-with the same vector count once, with different vectors each gets its own ranks. Components with
-|256 x| of 2**40 or more are held at that bound, so that sums stay within a long.
+with the same vector count once, with different vectors each gets its own ranks. Weights of any size are exact: where
+sums could leave a long they are made of Python's integers, and a score among the k best that does not fit a long raises.
 """
 
 from __future__ import annotations
@@ -33,18 +33,19 @@ VECTORS = 4096
 QUERIES = 512
 COMPONENTS = 1 << 22  # weights of a block: 32 MB
 TASKS = 64  # blocks of vectors beyond which they grow
-BOUND = 2.0 ** 40
+EXACT = 2.0 ** 53  # doubles from here on are integers
+LONG = 2.0 ** 62
 
 
 def weights(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
-    """id and integer weights of the rows that take part."""
+    """id and integer weights (as doubles, which hold each exactly) of the rows that take part."""
     real = F.transform("v", lambda a: a.cast("double"))
     return (pick(df, id=id_col, v=vector)
             .where("id is not null and v is not null")
             .select(F.col("id").cast("long").alias("id"), real.alias("v"))
             .where(~F.exists("v", lambda a: a.isNull() | F.isnan(a) | (F.abs(a) == float("inf"))))
-            .select("id", F.transform("v", lambda a: F.floor(
-                F.greatest(F.least(a * scale, F.lit(BOUND)), F.lit(-BOUND))).cast("long")).alias("w")))
+            .select("id", F.transform("v", lambda a: F.when(
+                F.abs(a * scale) < EXACT, F.floor(a * scale).cast("double")).otherwise(a * scale)).alias("w")))
 
 
 def sized(df: DataFrame, given: int | None, least: int, blocks: int) -> int:
@@ -103,24 +104,37 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def integers(values: np.ndarray, exact: bool) -> np.ndarray:
+    """Weights as longs, or as Python's integers."""
+    return np.array([int(v) for v in values.tolist()], object) if exact else values.astype(np.int64)
+
+
 def _scorer(k: int, query_block: int):
     def run(base: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if base.num_rows and asked.num_rows:
             ids, index = np.asarray(base.column("id")), postings(base.column("w"))
+            largest = max((float(np.abs(v).max()) for _, v in index.values()), default=0.0)
+            longs = {d: (r, integers(v, False)) for d, (r, v) in index.items()} if largest < LONG else {}
             for first in range(0, asked.num_rows, query_block):
                 some = asked.slice(first, query_block)
                 own, digests = some.column("id").to_pylist(), [repr(w) for w in some.column("w").to_pylist()]
                 row, dim, value = sparse(some.column("w"))
                 cuts = np.searchsorted(row, np.arange(len(own) + 1))
                 for q, query in enumerate(own):
-                    scores = np.zeros(len(ids), np.int64)
-                    for d, w in zip(dim[cuts[q]:cuts[q + 1]].tolist(), value[cuts[q]:cuts[q + 1]].tolist()):
+                    own_value = value[cuts[q]:cuts[q + 1]]
+                    exact = not max(largest, 1.0) * float(np.abs(own_value).sum()) < LONG or not largest < LONG
+                    scores = np.zeros(len(ids), object if exact else np.int64)
+                    for d, w in zip(dim[cuts[q]:cuts[q + 1]].tolist(), integers(own_value, exact).tolist()):
                         if d in index:
-                            places, posting = index[d]
-                            scores[places] += w * posting
+                            places, posting = index[d] if exact else longs[d]
+                            scores[places] += w * (integers(posting, True) if exact else posting)
                     mine = ids != query
-                    at = best(scores[mine], ids[mine], k)
+                    if exact:
+                        ranked = sorted(zip((-scores[mine]).tolist(), ids[mine].tolist(), range(int(mine.sum()))))
+                        at = np.array([i for _, _, i in ranked[:k]], np.int64)
+                    else:
+                        at = best(scores[mine], ids[mine], k)
                     out[0] += [query] * len(at)
                     out[1] += [digests[q]] * len(at)
                     out[2] += ids[mine][at].tolist()

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from telemetrix.llm import topk
 from telemetrix.llm.topk import top_k
 
@@ -58,3 +60,11 @@ def test_a_task_holds_one_block_of_each_side(spark, monkeypatch):
     check(spark, rows, rows[::4], vector_block=40, query_block=10)
     monkeypatch.setattr(topk, "COMPONENTS", 60)  # blocks of ten vectors
     check(spark, rows[:100], rows[:100:2], k=3)
+
+
+def test_large_weights_are_exact_or_raise(spark):
+    rows = [(1, [2.0 ** 36, 1.0]), (2, [2.0 ** 35, -1.0]), (3, [-(2.0 ** 50), 3.0]), (4, [1.5, 2.0]), (5, [0.25, 0.0]), (6, [0.0, 2.0 ** 70])]
+    check(spark, rows, [(4, [1.5, 0.0]), (5, [0.25, 0.0])], k=4)  # that of row 3 fits no long
+    check(spark, rows[:3], [(8, [2.0 ** 10, 1.0])], k=2)
+    with pytest.raises(Exception, match="(?i)too large|overflow|convert"):
+        check(spark, rows[:2], [(9, [2.0 ** 36, 0.0])])
