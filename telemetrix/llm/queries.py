@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetrix.llm import bpe, quality, suffix_dedup, suffix_tree_lm, token_counts, toxicity
+from telemetrix.llm import bpe, line_dedup, quality, suffix_dedup, suffix_tree_lm, token_counts, toxicity
 from telemetrix.llm.common import crc_fold
 from telemetrix.llm.decontamination import decontaminate
 from telemetrix.llm.preferences import preferences
@@ -190,6 +190,25 @@ select c.pair_id, cast(c.n_common as integer) as n_common, coalesce(a.prompt, ''
 from c left join s a on a.pair_id = c.pair_id and a.side = 0 left join s b on b.pair_id = c.pair_id and b.side = 1
 """
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+with l as (
+  select doc_id, line, k, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as k from documents)
+), f as (select key, min(doc_id) as first from l where length(key) >= 10 group by key having count(distinct doc_id) > 1
+), m as (select l.*, coalesce(first < doc_id, false) as gone from l left join f using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by k) filter (where not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
@@ -201,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_preferences": op10_preferences,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -208,4 +228,5 @@ ORACLE: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
     "op9_suffix_dedup": OP9_SQL,
     "op10_preferences": OP10_SQL,
+    "op11_line_dedup": OP11_SQL,
 }
