@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetrix.llm import bpe, line_dedup, quality, suffix_dedup, suffix_tree_lm, token_counts, toxicity
+from telemetrix.llm import bpe, line_dedup, periodic_runs, quality, suffix_dedup, suffix_tree_lm, token_counts, toxicity
 from telemetrix.llm.common import crc_fold
 from telemetrix.llm.decontamination import decontaminate
 from telemetrix.llm.preferences import preferences
@@ -209,6 +209,34 @@ from m group by doc_id
 """
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """``documents`` whose texts of every tenth id hash go round in a loop from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def loop(w):
+        n = F.size(w)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    damaged = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, loop(w)).otherwise(""))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, damaged).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        F.col("row._c0").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start",
+        (-F.col("best.less")).alias("length"), "best.period",
+        F.expr("-1000 * best.less div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
@@ -221,6 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_preferences": op10_preferences,
     "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
