@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetrix.llm import bpe, line_dedup, periodic_runs, quality, suffix_dedup, suffix_tree_lm, token_counts, toxicity
+from telemetrix.llm import bpe, conversation_repair, line_dedup, periodic_runs, quality, suffix_dedup, suffix_tree_lm, token_counts, toxicity
 from telemetrix.llm.common import crc_fold
 from telemetrix.llm.decontamination import decontaminate
 from telemetrix.llm.preferences import preferences
@@ -237,6 +237,106 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conversations`` with faults by the hash of id and turn; a dropped row stays as one that is not ``present``."""
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
+                     F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    m = F.crc32(named.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    rows = turns.select(
+        "conv_id", "turn", F.when(m == 4, F.lit("user")).otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(m == 1, F.lit("")).when(m == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (m != 0).alias("present"), F.when(m == 3, 2).otherwise(1).alias("copies"))
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")), present="present")
+    text = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return found.select(F.col("conv").alias("conv_id"), *conversation_repair.NAMES[:7],
+                        F.sha2(text.cast("binary"), 256).alias("repaired_sha256"))
+
+
+def _op13_sql() -> str:
+    """A recursion over the turns: least cost and letters by state as one text each, the cost in front."""
+    def more(x: str, cost: str, letter: str) -> str:
+        return f"(lpad(cast(cast(substr({x}, 1, 9) as int) + {cost} as varchar), 9, '0') || substr({x}, 10) || '{letter}')"
+
+    def inserted(source: str, keep: str) -> str:  # c0, c1 as they are, c2 and c3 with turns inserted first
+        insert = [more(x, "5", "I") for x in ("c0", "c1", "c3", "d2")]
+        return (f"select {keep}, c0, c1, d2 as c2, least(c3, {insert[3]}) as c3 "
+                f"from (select *, least(c2, {insert[0]}, {insert[1]}, {insert[2]}) as d2 from ({source}))")
+
+    def kept(x: str, initial: str) -> str:
+        return f"case when not must and i = '{initial}' then {more(x, 'extra', 'K')} end"
+
+    def named(x: str) -> str:
+        return f"case when not must then {more(x, '1 + extra', 'R')} end"
+
+    asked = ", ".join(f"{kept(c, 'u')}, {named(c)}" for c in ("c0", "c1", "c3"))
+    step = f"""
+      select conv_id, k, {more('c0', '2', 'D')} as c0, least({more('c1', '2', 'D')}, {kept('c0', 's')}) as c1,
+             least({more('c2', '2', 'D')}, {asked}) as c2,
+             least({more('c3', '2', 'D')}, {kept('c2', 'a')}, {named('c2')}) as c3
+      from (select s.conv_id, r.k, must, i, extra, c0, c1, c2, c3 from ({inserted('select * from steps', 'conv_id, k')}) s
+            join rows_ r on r.conv_id = s.conv_id and r.k = s.k + 1)"""
+    return rf"""
+with recursive named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations
+), hashed as (
+  select *, xor(list_reduce(list_transform(string_split(name, ''), lambda c: cast(ascii(c) as bigint)),
+      lambda acc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end,
+                                 xor(acc, b)), 4294967295), 4294967295) % 20 as m from named
+), dealt as (
+  select conv_id, turn, case when m = 4 then 'user' else role end as role,
+         case m when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case m when 0 then 0 when 3 then 2 else 1 end)) as copy from hashed
+), numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as k from dealt
+), judged as (
+  select *, not regexp_matches(text, '[^ 	-]') as blank,
+         row_number() over (partition by conv_id, role, text order by k) > 1 as again,
+         regexp_matches(text, '[^ 	-.!?][ 	-]*\z') as cut,
+         substr(role, 1, 1) as i, lag(substr(role, 1, 1)) over (partition by conv_id order by k) as i0 from numbered
+), rows_ as (
+  select conv_id, k, turn, role, text, i, i0, blank, not blank and again as duplicate, not blank and not again and cut as truncated,
+         blank or again as must, case when not blank and not again and cut then 5 else 0 end as extra from judged
+), counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (where blank) as blank, count(*) filter (where duplicate) as duplicate,
+         count(*) filter (where truncated) as truncated,
+         count(*) filter (where k > 1 and i0 || i not in ('su', 'ua', 'au')) as illegal from rows_ group by conv_id
+), steps as (
+  select conv_id, cast(0 as bigint) as k, '000000000' as c0, cast(null as varchar) as c1, cast(null as varchar) as c2,
+         cast(null as varchar) as c3 from counts
+  union all {step}
+), best as (
+  select conv_id, least(c0, c3) as b from ({inserted("select * from steps", "conv_id, k")}) join counts using (conv_id) where k = n
+), letters as (
+  select conv_id, j, substr(b, 9 + j, 1) as letter
+  from (select conv_id, b, unnest(range(1, length(b) - 8)) as j from best)
+), placed as (
+  select *, count(*) filter (where letter <> 'I') over w as k, count(*) filter (where letter <> 'D') over w as e
+  from letters window w as (partition by conv_id order by j rows between unbounded preceding and current row)
+), met as (
+  select p.conv_id, j, letter, e, r.role, case when letter = 'I' then '' else r.text end as text,
+         max(case when e = 1 and letter = 'K' and r.i = 's' then 1 else 0 end) over (partition by p.conv_id) as s
+  from placed p left join rows_ r on r.conv_id = p.conv_id and r.k = p.k where letter <> 'D'
+), texts as (
+  select conv_id, string_agg(case when letter = 'K' then role when (e - s) % 2 = 1 then 'user' else 'assistant' end || ':' || text,
+                             chr(10) order by j) as t from met group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(substr(b, 1, 9), '0') as bigint) as cost,
+       coalesce(substr(b, 10), '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts using (conv_id) left join best using (conv_id)
+  left join texts using (conv_id)
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
@@ -250,6 +350,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_preferences": op10_preferences,
     "op11_line_dedup": op11_line_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -258,4 +359,5 @@ ORACLE: dict[str, str] = {
     "op9_suffix_dedup": OP9_SQL,
     "op10_preferences": OP10_SQL,
     "op11_line_dedup": OP11_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
