@@ -7,34 +7,41 @@ of last tokens thus grows by one entry a byte (exact appends), may be cut at any
 edit, is filled again only until it runs in step with the old one (re-encoding near edits).
 
 A text is cut into pieces by the tokenizer's pattern. A piece that is itself a token is that token, as the tiktoken
-library does; others go through the prefix table. New pieces are encoded in sorted order, so that neighbours share
-their prefixes' entries, once per worker process, and kept, at most ``KEPT`` of them.
+library does; others go through the prefix table, where an automaton over the reachable tokens gives those that end at a
+byte. New pieces are encoded in sorted order, so that neighbours share their prefixes' entries, and kept in two generations
+of at most ``KEPT_BYTES`` each: what is met again moves to the younger one, and when that is full the older one goes.
 
 Scale: one pass over the documents without a shuffle; the rank file is read by the driver and sent once to each
-executor (its size is that of a vocabulary). Whole texts are encoded; memory is bounded by the batch.
+executor (its size is that of a vocabulary). A worker process holds one encoder, whatever the number of calls. Whole texts are
+encoded; memory is bounded by the parts of about ``PART_BYTES`` of text that are in work, or one longer text.
 
 Edge cases: null and empty texts have no tokens. Repeated rows are encoded each; extra columns are ignored or
-carried. Texts are ordinary text throughout: no special tokens.
+carried; no rows give no rows. Texts of any length are taken whole. Texts are ordinary text throughout: no special tokens.
+Ties do not arise: the last token of a prefix is unique.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import unwrap, wrap
+from telemetrix.llm.common import slices, unwrap, wrap
 
-KEPT = 200_000
+KEPT = 200_000  # pairs of tokens
+KEPT_BYTES = 48 << 20  # a generation of pieces
+PART_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,19 +51,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Ranks, the tokens that BPE can reach, and which pairs of tokens stay apart."""
+    """Ranks, the tokens that BPE can reach with their last merges, and which pairs of tokens stay apart."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.reachable = {token for token in ranks if len(token) == 1 or len(self.merged(token)) == 1}
-
-    def merged(self, text: bytes) -> list[bytes]:
-        """BPE of a short text by its definition: merge the adjacent pair of lowest rank, leftmost first."""
+        self.parts: dict[int, tuple[int, int]] = {}  # of a token that a merge makes: the two tokens merged
+        self.joined: dict[tuple[int, int], int] = {}
+        self.reach: dict[bytes, int] = {}
+        self.ending = ahocorasick.Automaton()  # of the tokens in reach; bytes as characters of the same number
+        for token, rank in ranks.items():
+            if len(token) > 1:
+                left = self.merged(token, 2)
+                if len(left) != 2:
+                    continue
+                pair = ranks[left[0]], ranks[left[1]]
+                self.parts[rank], self.joined[pair] = pair, rank
+            self.ending.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.reach[token] = rank
+        self.ending.make_automaton()
+        self.pairs: dict[tuple[int, int], bool] = {}
+
+    def merged(self, text: bytes, least: int = 1) -> list[bytes]:
+        """BPE of a short text by its definition: merge the adjacent pair of lowest rank, leftmost first, down to
+        ``least`` tokens."""
         parts, get, none = [text[i:i + 1] for i in range(len(text))], self.ranks.get, 1 << 60
-        while len(parts) > 1:
+        while len(parts) > least:
             found = [get(a + b, none) for a, b in zip(parts, parts[1:])]
             rank = min(found)
             if rank == none:
@@ -65,40 +86,66 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def apart(self, first: bytes, second: bytes) -> bool:
-        """Whether BPE of the two tokens' bytes gives the two tokens; kept in ``pairs``."""
+    def apart(self, first: int, second: int) -> bool:
+        """Whether BPE of the two tokens' bytes gives the two tokens; kept in ``pairs``.
+
+        BPE makes its merges in the order of rank, equal ones from the left. So of the two tokens at the border the one
+        made later is undone, step by step, which shows each pair that ever touched there; a pair was merged if its merge came
+        before the one that took either token away.
+        """
         if len(self.pairs) >= KEPT:
             self.pairs.clear()
-        found = self.pairs[first, second] = self.merged(first + second) == [first, second]
+        parts, joined = self.parts, self.joined
+        a, b, until, found = first, second, 1 << 60, True
+        while True:
+            if joined.get((a, b), until) < until:
+                found = False
+                break
+            left, right = a if a in parts else -1, b if b in parts else -1  # bytes were there before any merge
+            if left < 0 and right < 0:
+                break
+            if right >= left:
+                until, b = right + 1, parts[b][0]  # an equal merge to the left would have come first
+            else:
+                until, a = left, parts[a][1]
+        self.pairs[first, second] = found
         return found
 
 
 class Prefixes:
-    """The last token of each prefix of a growing, editable text."""
+    """The last token (its rank) of each prefix of a growing, editable text."""
 
     def __init__(self, vocabulary: Vocabulary, text: bytes = b""):
         self.vocabulary, self.text, self.last = vocabulary, b"", []
         self.append(text)
 
-    def _last(self, text: bytes, last: list[bytes], end: int) -> bytes:
-        """The last token of text[:end], from those of the shorter prefixes."""
-        v = self.vocabulary
-        reachable, known = v.reachable, v.pairs.get
-        for start in [i for i in range(end - v.longest if end > v.longest else 0, end) if text[i:end] in reachable]:
-            token = text[start:end]
-            if not start:
-                return token
-            before = last[start - 1]
-            apart = known((before, token))
-            if apart or apart is None and v.apart(before, token):
-                return token
-        raise ValueError(f"the vocabulary lacks the byte {text[end - 1]}")
+    def _grow(self, text: bytes, stop: Callable[[int], bool] | None = None) -> None:
+        """Add the last tokens of the prefixes of ``text`` that are longer than those at hand, until ``stop`` of one is true."""
+        v, last = self.vocabulary, self.last
+        known, apart_ = v.pairs.get, v.apart
+        done = len(last)
+        base = max(0, done + 1 - v.longest)
+        for end, (token, size) in v.ending.iter(text[base:].decode("latin-1")):
+            end += base + 1
+            if end <= done:
+                continue
+            if end > done + 1:
+                break
+            if end > size:
+                before = last[end - size - 1]
+                apart = known((before, token))
+                if not (apart_(before, token) if apart is None else apart):
+                    continue
+            last.append(token)
+            done = end
+            if stop and stop(token):
+                return
+        if done < len(text):
+            raise ValueError(f"the vocabulary lacks the byte {text[done]}")
 
     def append(self, more: bytes) -> None:
-        text, last = self.text + more, self.last
-        for end in range(len(last) + 1, len(text) + 1):
-            last.append(self._last(text, last, end))
-        self.text = text
+        self.text += more
+        self._grow(self.text)
 
     def truncate(self, size: int) -> None:
         self.text, self.last = self.text[:size], self.last[:size]
@@ -112,24 +159,25 @@ class Prefixes:
         old, tail = self.last[end:], self.text[end:]
         self.truncate(start)
         self.append(new)
-        text, base = self.text + tail, len(self.text)
+        self.text += tail
         same = done = 0
-        for i in range(len(tail)):
-            if same >= self.vocabulary.longest:
-                self.last += old[i:]
-                break
-            token = self._last(text, self.last, base + i + 1)
-            same = same + 1 if token == old[i] else 0
-            self.last.append(token)
+
+        def in_step(token: int) -> bool:
+            nonlocal same, done
+            same = same + 1 if token == old[done] else 0
             done += 1
-        self.text = text
+            return same >= self.vocabulary.longest
+
+        self._grow(self.text, in_step)
+        self.last += old[done:]
         return done
 
-    def encoding(self) -> list[bytes]:
-        out, end = [], len(self.text)
+    def encoding(self) -> list[int]:
+        out, end, tokens, last = [], len(self.text), self.vocabulary.tokens, self.last
         while end:
-            out.append(self.last[end - 1])
-            end -= len(out[-1])
+            token = last[end - 1]
+            out.append(token)
+            end -= len(tokens[token])
         return out[::-1]
 
 
@@ -140,14 +188,29 @@ Piece = tuple[tuple[int, ...], str, bytes]
 class Encoder:
     """Token ids of whole texts."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept_bytes: int = KEPT_BYTES):
         self.vocabulary, self.find = Vocabulary(ranks), regex.compile(pattern).findall
-        self.kept: dict[str, Piece] = {}
+        self.kept: dict[str, Piece] = {}  # the younger generation
+        self.old: dict[str, Piece] = {}
+        self.size, self.kept_bytes = 0, kept_bytes
+
+    def _keep(self, piece: str, value: Piece) -> None:
+        self.kept[piece] = value
+        self.size += 400 + 4 * len(piece) + 8 * len(value[0])  # about what Python needs
 
     def learn(self, found: set[str]) -> None:
-        """Encode the pieces not met before, in order: one prefix table is cut to what two neighbours share and grown on."""
-        kept, ranks, table, before = self.kept, self.vocabulary.ranks, Prefixes(self.vocabulary), b""
-        for data, piece in sorted([(p.encode(), p) for p in found if p not in kept]):
+        """Bring pieces into the younger generation. Those in neither are encoded in order: one prefix table is cut to what two
+        neighbours share and grown on."""
+        kept, old, ranks = self.kept, self.old, self.vocabulary.ranks
+        table, before, new = Prefixes(self.vocabulary), b"", []
+        for piece in found:
+            if piece not in kept:
+                if piece in old:
+                    self._keep(piece, old[piece])
+                else:
+                    new.append((piece.encode(), piece))
+        new.sort()
+        for data, piece in new:
             rank = ranks.get(data)
             if rank is not None:
                 ids: tuple[int, ...] = (rank,)
@@ -160,17 +223,17 @@ class Encoder:
                 table.truncate(shared)
                 table.append(data[shared:])
                 before = data
-                ids = tuple([ranks[t] for t in table.encoding()])
-            kept[piece] = ids, " ".join(map(str, ids)), self.decode(ids)
+                ids = tuple(table.encoding())
+            self._keep(piece, (ids, " ".join(map(str, ids)), self.decode(ids)))
 
     def pieces(self, texts: list[str | None]) -> list[list[Piece]]:
         """The pieces of each text: their ids, the decimal text of the ids and the bytes the ids stand for."""
-        find, kept = self.find, self.kept
+        find = self.find
         found = [find(t or "") for t in texts]
-        distinct = set(chain.from_iterable(found))
-        if len(kept) + len(distinct) > KEPT:
-            kept.clear()  # before learning, so that all pieces of these texts stay
-        self.learn(distinct)
+        if self.size > self.kept_bytes:  # before learning, so that all pieces of these texts are at hand
+            self.old, self.kept, self.size = self.kept, {}, 0
+        self.learn(set(chain.from_iterable(found)))
+        kept = self.kept
         return [[kept[p] for p in t] for t in found]
 
     def encode(self, text: str | None) -> list[int]:
@@ -183,13 +246,13 @@ class Encoder:
 
 @dataclass(frozen=True)
 class Ranks:
-    """Broadcast ranks, told apart by the broadcast's number."""
+    """Broadcast ranks, told apart by what they hold."""
 
-    number: int
+    digest: str
     value: Broadcast = field(compare=False)
 
 
-@cache
+@lru_cache(maxsize=1)
 def encoder(ranks: Ranks, pattern: str) -> Encoder:
     """One encoder a worker process, so that tasks share the pieces it has met."""
     return Encoder(ranks.value.value, pattern)
@@ -209,9 +272,13 @@ def _decoded(texts: list[list[Piece]]) -> tuple[pa.Array, ...]:
 
 
 def _digests(texts: list[list[Piece]]) -> tuple[pa.Array, ...]:
-    return (pa.array([sum([len(p[0]) for p in t]) for t in texts], pa.int64()),
-            pa.array([hashlib.sha256(" ".join([p[1] for p in t]).encode()).hexdigest() for t in texts], pa.string()),
-            pa.array([hashlib.sha256(b"".join([p[2] for p in t])).hexdigest() for t in texts], pa.string()))
+    rows = []
+    for t in texts:
+        ids, decimals, data = zip(*t) if t else ((), (), ())
+        rows.append((sum(map(len, ids)), hashlib.sha256(" ".join(decimals).encode()).hexdigest(),
+                     hashlib.sha256(b"".join(data)).hexdigest()))
+    columns = list(zip(*rows)) or [()] * 3
+    return tuple(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string())))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -231,17 +298,22 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
 
 def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns: Columns, kinds: str) -> DataFrame:
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    ranks = Ranks(sent._jbroadcast.id(), sent)
+    held = read_ranks(ranks_path)
+    digest = hashlib.sha256(b"".join(b"%d %d %b" % (rank, len(token), token) for token, rank in held.items())).hexdigest()
+    ranks = Ranks(digest, spark.sparkContext.broadcast(held))
     frame = wrap(docs, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks, pattern)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
-                made = columns(coder.pieces(part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("row"), *made], ["row", *names])
+        gc.disable()  # pieces make no cycles, and walking through all that are kept takes a third of the time
+        try:
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                for first, last in slices(texts, PART_BYTES):
+                    made = columns(coder.pieces(texts[first:last]))
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), *made], ["row", *names])
+        finally:
+            gc.enable()
 
     new = spark.createDataFrame([], kinds)
     names = new.columns
