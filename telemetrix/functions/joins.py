@@ -10,9 +10,14 @@ it to a broadcast once it has measured the real size at runtime.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+
 def threshold_bytes(spark) -> int:
     """The session's ``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 switches broadcasts off."""
     text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
@@ -50,15 +55,47 @@ def lookup_with_fallback(df: DataFrame, dim: DataFrame, left_key: str, dim_key:
     return j.withColumn(out, F.coalesce(F.col("_dv"), fb)).drop("_dk", "_dv")
 
 
-SALTS = 8
+def settled(df: DataFrame, name: str, max_rows: int = 65_536) -> DataFrame:
+    """The rows of a result that is small by nature (a fitted model, chunk edges), computed now.
+
+    Up to ``max_rows`` rows become a local relation; more are written as a table under the checkpoint folder. Either way
+    the next plan knows the exact size, so a broadcast can be decided by it, and the result is not computed again
+    by each reader.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows <= max_rows:
+        return df.sparkSession.createDataFrame(rows, schema=df.schema)
+    return materialize(df, name)
+
+
+#: Parts that a task gets on average when hot keys are cut, so that their sizes even out.
+PARTS_A_TASK = 8
+
+
+def _same(names: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"_j_{n}")) for n in names))
+
 
+def skew_join(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, how: str = "inner",
+              tasks: int | None = None) -> DataFrame:
+    """Join rows with a table of one row per key; keys are cut by their measured share of all rows.
 
-def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join rows with a table of one row per key so that a key with a large share of the rows meets it in ``salts`` tasks.
+    ``count`` (a column of ``per_key``, the aggregate that is computed anyway) tells how many rows a key has.  A key that
+    holds more than one part in ``tasks`` x ``PARTS_A_TASK`` of all rows gets as many salts as it holds such parts: its rows are
+    dealt out by a hash of the row, which does not change when a task is run again, and its one row is copied to each
+    salt.  All other keys have one salt and no copies.  Hot keys are fewer than ``tasks`` x ``PARTS_A_TASK`` by their
+    definition, so their list is broadcast.  Keys are compared null-safely: rows with a NULL key meet the row of the NULL key.
 
-    The salt is a hash of the row, so it does not change when a task is run again; each row meets the one copy
-    of its key that has its salt.  ``per_key`` is small, so its copies are cheap.
+    Returns the columns of ``rows`` and those of ``per_key`` other than the keys.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    spark = rows.sparkSession
+    parts = (tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))) * PARTS_A_TASK
+    total = per_key.agg(F.sum(count)).scalar()
+    salts = F.greatest(F.ceil(F.col(count) * F.lit(parts) / F.greatest(total, F.lit(1))).cast("int"), F.lit(1))
+    others = [c for c in per_key.columns if c not in keys]
+    one = per_key.select(*(F.col(k).alias(f"_j_{k}") for k in keys), *others, salts.alias("_salts"))
+    hot = F.broadcast(one.where(F.col("_salts") > 1).select(*(f"_j_{k}" for k in keys), "_salts"))
+    dealt = rows.join(hot, _same(keys), "left").select(
+        *rows.columns, F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"), F.lit(0)).alias("_salt"))
+    copies = one.select(*(f"_j_{k}" for k in keys), *others, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_j__salt"))
+    return dealt.join(copies, _same([*keys, "_salt"]), how).select(*rows.columns, *others)

@@ -6,12 +6,16 @@ Plan shape (the same at any scale):
 * the baseline fit is two partial-aggregating group-bys: per
   (flight, phase) count/mean/variance for every channel, keep groups with
   enough rows, then pool mean and spread per phase from the group moments
-  (no join back to the raw rows, no window over a flight);
-* detection joins the fitted baseline as one broadcast wide row per phase
-  (its number of rows is checked in the plan), computes every channel's z
-  in one projection and aggregates per (flight, phase) with one count /
-  flagged-count / max-z triple per channel.  Only that aggregate
-  (flights x phases rows) is unpivoted to per-channel rows.
+  around one fleet-wide shift (no join back, no window over a flight);
+* detection joins the fitted baseline as one wide row per phase, broadcast
+  while its size is below the session's limit and by a skew-cut shuffle join
+  on the phase beyond (:func:`_with_z`, equal results for any number of
+  phases), computes every channel's z in one projection and aggregates per
+  (flight, phase) with one count / flagged-count / max-z triple per channel.
+  Only that aggregate (flights x phases rows) is unpivoted to per-channel
+  rows.
+
+A NULL phase is a phase like any other, in the fit and in every join.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.exprs import is_true, phase_expr, phase_ord, phase_weight
-from ..functions.joins import salted_join
+from ..functions.joins import broadcast_if_small, settled, skew_join
 
 
 def assign_phase(df: DataFrame, spec: dims.PhaseSpec, out: str = "phase") -> DataFrame:
@@ -47,23 +51,21 @@ def fit_baseline(rows: DataFrame, channels: Sequence[str], key: str = "flight_id
         *[F.struct(F.count(c).alias("c"), F.avg(c).alias("m"), F.var_pop(c).alias("v")).alias(f"_u{i}")
           for i, c in enumerate(chans)],
     ).where(F.col("_n") >= F.lit(min_rows))
-    # step 1: pooled count and mean per phase; step 2: pooled squared distance from that mean,
-    # sum n (var + (mean - pooled mean)^2), which keeps its digits far from zero
-    pooled = g.groupBy(F.col(phase).alias("_phase")).agg(
+    # sums around the fleet's mean of each channel (one row, a scalar subquery over the same aggregate): the digits
+    # lost are those of (phase mean - fleet mean)^2 over the phase's variance, whatever the distance from zero
+    shift = g.agg(F.struct(*[F.try_divide(F.sum(F.col(f"_u{i}.c") * F.col(f"_u{i}.m")), F.sum(f"_u{i}.c")).alias(f"s{i}")
+                             for i in range(len(chans))])).scalar()
+    far = [F.col(f"_u{i}.m") - shift[f"s{i}"] for i in range(len(chans))]
+    spread = g.groupBy(F.col(phase).alias("phase")).agg(
         F.sum("_n").alias("n_rows"),
         *[F.sum(f"_u{i}.c").alias(f"_N{i}") for i in range(len(chans))],
-        *[(F.sum(F.col(f"_u{i}.c") * F.col(f"_u{i}.m")) / F.sum(f"_u{i}.c")).alias(f"_M{i}") for i in range(len(chans))])
-    j = g.join(F.broadcast(checked_phases(pooled, "_phase")), F.col(phase).eqNullSafe(F.col("_phase")))
-    spread = j.groupBy(F.col(phase).alias("phase")).agg(
-        F.first("n_rows").alias("n_rows"),
-        *[F.first(f"_N{i}").alias(f"_N{i}") for i in range(len(chans))],
-        *[F.first(f"_M{i}").alias(f"_M{i}") for i in range(len(chans))],
-        *[F.sum(F.col(f"_u{i}.c") * (F.col(f"_u{i}.v") + (F.col(f"_u{i}.m") - F.col(f"_M{i}"))
-                                      * (F.col(f"_u{i}.m") - F.col(f"_M{i}")))).alias(f"_Q{i}") for i in range(len(chans))])
+        *[F.sum(F.col(f"_u{i}.c") * d).alias(f"_S{i}") for i, d in enumerate(far)],
+        *[F.sum(F.col(f"_u{i}.c") * (F.col(f"_u{i}.v") + d * d)).alias(f"_Q{i}") for i, d in enumerate(far)])
     items = []
     for i, c in enumerate(chans):
-        std = F.sqrt(F.try_divide(F.col(f"_Q{i}"), F.col(f"_N{i}")))
-        items.append(F.struct(F.lit(c).alias("channel"), F.col(f"_M{i}").alias("mean"), std.alias("std"),
+        off = F.try_divide(F.col(f"_S{i}"), F.col(f"_N{i}"))
+        std = F.sqrt(F.greatest(F.try_divide(F.col(f"_Q{i}"), F.col(f"_N{i}")) - off * off, F.lit(0.0)))
+        items.append(F.struct(F.lit(c).alias("channel"), (shift[f"s{i}"] + off).alias("mean"), std.alias("std"),
                               F.col(f"_N{i}").alias("n")))
     out = spread.select("phase", "n_rows", F.explode(F.array(*items)).alias("_x"))
     return (out.where(F.col("_x.n") > 0)
@@ -72,22 +74,6 @@ def fit_baseline(rows: DataFrame, channels: Sequence[str], key: str = "flight_id
                     F.col("n_rows").cast("long").alias("n_rows")))
 
 
-#: Most phases a baseline may have; a table of one row per phase is broadcast.
-MAX_PHASES = 10_000
-
-
-def checked_phases(per_phase: DataFrame, phase: str) -> DataFrame:
-    """``per_phase`` (one row per phase), failing inside the plan when it has more than ``MAX_PHASES`` rows.
-
-    Phases are a short list by nature (four in the flight data, event types elsewhere); the check turns a
-    key that is none into a clear error instead of an oversized broadcast.
-    """
-    seen = F.count(F.lit(1)).over(Window.partitionBy())  # one row per phase
-    ok = F.when(seen <= F.lit(MAX_PHASES), F.col(phase)).otherwise(
-        F.raise_error(F.lit(f"a baseline may have at most {MAX_PHASES} phases")).cast(per_phase.schema[phase].dataType))
-    return per_phase.withColumn(phase, ok)
-
-
 def _wide_baseline(baseline: DataFrame, channels: Sequence[str]) -> DataFrame:
     """One row per phase with mean/std columns per channel."""
     aggs = []
@@ -95,13 +81,25 @@ def _wide_baseline(baseline: DataFrame, channels: Sequence[str]) -> DataFrame:
         hit = F.col("channel") == F.lit(c)
         aggs.append(F.max(F.when(hit, F.col("mean"))).alias(f"_bm{i}"))
         aggs.append(F.max(F.when(hit, F.col("std"))).alias(f"_bs{i}"))
-    return checked_phases(baseline.groupBy(F.col("phase").alias("_bphase")).agg(*aggs), "_bphase")
+    return baseline.groupBy(F.col("phase").alias("_bphase")).agg(*aggs)
 
 
 def _with_z(rows: DataFrame, baseline: DataFrame, channels: Sequence[str], phase: str) -> DataFrame:
-    """Adds ``_z<i>`` = |x - mean| / std per channel from the (phase, channel) baseline; NULL when absent."""
+    """C4: adds ``_z<i>`` = |x - mean| / std per channel from the (phase, channel) baseline; NULL when absent.
+
+    The way is chosen by the baseline's size alone: at most the session's broadcast limit goes to every task as it is;
+    more is shuffled to the rows, whose phases are cut by their measured share.
+    """
     wide = _wide_baseline(baseline, channels)
-    j = rows.join(F.broadcast(wide), rows[phase] == wide["_bphase"], "left")
+    small = broadcast_if_small(wide)
+    if small is wide:  # its estimate is too large or none: settle it, and its size is known
+        wide = settled(wide, "baseline")
+        small = broadcast_if_small(wide)
+    if small is not wide:
+        j = rows.join(small, F.col(phase).eqNullSafe(F.col("_bphase")), "left")
+    else:
+        seen = rows.groupBy(phase).agg(F.count(F.lit(1)).alias("_seen"))
+        j = skew_join(rows, seen.join(wide, F.col(phase).eqNullSafe(F.col("_bphase")), "left").drop("_bphase"), [phase], "_seen")
     zs = [F.abs((F.col(c) - F.col(f"_bm{i}")) / F.col(f"_bs{i}")).alias(f"_z{i}")
           for i, c in enumerate(channels)]
     return j.select(*rows.columns, *zs)
@@ -210,7 +208,7 @@ def anomaly_timeline(rows: DataFrame, baseline: DataFrame, channels: Sequence[st
     thr = F.lit(float(z_threshold))
     any_flag = F.greatest(*[is_true(F.col(f"_z{i}") > thr).cast("int") for i in range(len(chans))]) \
         if len(chans) > 1 else is_true(F.col("_z0") > thr).cast("int")
-    j = salted_join(z, n, [key, phase])
+    j = skew_join(z, n, [key, phase], "_pn")
     return j.select(key, F.col(t).cast("int").alias("t"),
                     F.when(F.col("_pn") >= F.lit(min_rows), any_flag).otherwise(F.lit(0)).alias("flag"))
 

@@ -2,9 +2,8 @@
 
 Here a channel is z-scored against the flight's *own* mean and population
 std.  The per-flight statistics are a partial-aggregating group-by, joined
-back on the flight key and a salt: a flight that holds a large share of
-all rows is spread over several tasks (the statistics side has one row per
-flight, copied once per salt).
+back on the flight key; its row count tells which flights hold a large share
+of all rows, and those are spread over several tasks (``joins.skew_join``).
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.exprs import is_true
-from ..functions.joins import salted_join
+from ..functions.joins import skew_join
 from . import chunked
 
 
@@ -24,9 +23,9 @@ def local_flags(rows: DataFrame, channels: Sequence[str], key: str = "flight_id"
                 z_threshold: float = dims.LOCAL_Z_THRESHOLD, std_floor: float = dims.STD_FLOOR) -> DataFrame:
     """Adds ``<channel>_flag`` (0/1): |x - flight mean| / flight std > threshold."""
     chans = list(channels)
-    st = rows.groupBy(key).agg(*[F.avg(c).alias(f"_lm{i}") for i, c in enumerate(chans)],
+    st = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_lm{i}") for i, c in enumerate(chans)],
                                *[F.stddev_pop(c).alias(f"_ls{i}") for i, c in enumerate(chans)])
-    j = salted_join(rows, st, [key])
+    j = skew_join(rows, st, [key], "_n")
     out = []
     for i, c in enumerate(chans):
         s = F.when(F.col(f"_ls{i}") < F.lit(std_floor), F.lit(1.0)).otherwise(F.col(f"_ls{i}"))
@@ -47,25 +46,29 @@ def local_channel_share(flags: DataFrame, channels: Sequence[str], key: str = "f
                     (F.col("_x.nf") / F.col("_n")).alias("share")))
 
 
+def _picked(flags: DataFrame, channels: Sequence[str], key: str, min_share: float) -> DataFrame:
+    """Per flight its rows (``_n``) and, as ``_p<i>``, 1 for each channel whose flagged share is at least ``min_share``, else 0."""
+    share = [F.sum(f"{c}_flag") / F.count(F.lit(1)) for c in channels]
+    return flags.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[
+        is_true(s >= F.lit(float(min_share))).cast("int").alias(f"_p{i}") for i, s in enumerate(share)])
+
+
+def _any_picked(channels: Sequence[str]) -> F.Column:
+    parts = [F.col(f"_p{i}") * F.col(f"{c}_flag") for i, c in enumerate(channels)]
+    return F.greatest(*parts) if len(parts) > 1 else parts[0]
+
+
 def local_flight_score(flags: DataFrame, channels: Sequence[str], key: str = "flight_id",
                        min_share: float = dims.LOCAL_SHARE) -> DataFrame:
     """Over channels whose flagged share >= min_share, the share of steps with any flag;
     plus the number and sorted list of such channels.  Flights with none score 0."""
     chans = list(channels)
-    share = local_channel_share(flags, chans, key)
-    sel = share.where(F.col("share") >= F.lit(float(min_share)))
-    lists = sel.groupBy(key).agg(F.count(F.lit(1)).alias("n_sensors_flagged"),
-                                 F.concat_ws(",", F.array_sort(F.collect_list("channel"))).alias("sensors_flagged"))
-    # per channel "is selected" flags joined back as one row per flight (bounded by the channel count)
-    pick = sel.groupBy(key).agg(*[F.max(F.when(F.col("channel") == c, 1)).alias(f"_p{i}") for i, c in enumerate(chans)])
-    j = salted_join(flags, pick, [key], "left")
-    any_flag = F.greatest(*[F.coalesce(F.col(f"_p{i}"), F.lit(0)) * F.col(f"{c}_flag") for i, c in enumerate(chans)]) \
-        if len(chans) > 1 else F.coalesce(F.col("_p0"), F.lit(0)) * F.col(f"{chans[0]}_flag")
-    score = j.groupBy(key).agg(F.avg(any_flag.cast("double")).alias("local_score"))
-    return (score.join(lists, key, "left")
-            .select(key, "local_score",
-                    F.coalesce("n_sensors_flagged", F.lit(0)).cast("long").alias("n_sensors_flagged"),
-                    F.coalesce("sensors_flagged", F.lit("")).alias("sensors_flagged")))
+    j = skew_join(flags, _picked(flags, chans, key, min_share), [key], "_n")
+    marks = [f"_p{i}" for i in range(len(chans))]
+    score = j.groupBy(key).agg(F.avg(_any_picked(chans).cast("double")).alias("local_score"), *[F.max(m).alias(m) for m in marks])
+    names = F.array_sort(F.array_compact(F.array(*[F.when(F.col(m) == 1, F.lit(c)) for m, c in zip(marks, chans)])))
+    return score.select(key, "local_score", F.size(names).cast("long").alias("n_sensors_flagged"),
+                        F.concat_ws(",", names).alias("sensors_flagged"))
 
 
 def activity_label(score) -> F.Column:
@@ -80,11 +83,8 @@ def combined_any_flag(flags: DataFrame, channels: Sequence[str], key: str = "fli
                       min_share: float = dims.LOCAL_SHARE) -> DataFrame:
     """Per (flight, t): 1 when any channel with share >= min_share flags (the local OR series)."""
     chans = list(channels)
-    sel = local_channel_share(flags, chans, key).where(F.col("share") >= F.lit(float(min_share)))
-    pick = sel.groupBy(key).agg(*[F.max(F.when(F.col("channel") == c, 1)).alias(f"_p{i}") for i, c in enumerate(chans)])
-    j = salted_join(flags, pick, [key], "left")
-    parts = [F.coalesce(F.col(f"_p{i}"), F.lit(0)) * F.col(f"{c}_flag") for i, c in enumerate(chans)]
-    return j.select(key, t, (F.greatest(*parts) if len(parts) > 1 else parts[0]).alias("flag"))
+    j = skew_join(flags, _picked(flags, chans, key, min_share), [key], "_n")
+    return j.select(key, t, _any_picked(chans).alias("flag"))
 
 
 def anomaly_segments(series: DataFrame, key: str = "flight_id", t: str = "t", flag: str = "flag",
@@ -97,22 +97,22 @@ def anomaly_segments(series: DataFrame, key: str = "flight_id", t: str = "t", fl
     summary (first and last flagged step, number of starts) and the previous
     chunk's last step correct it and give each chunk its segment offset.
     """
-    unb = Window.unboundedPreceding
-    f = (series.where(F.col(flag) == 1).select(key, t)
-         .withColumn(chunked.CHUNK, chunked.step_chunk(t, chunk_steps)))
-    w = Window.partitionBy(key, chunked.CHUNK).orderBy(t)
+    unb, keys = Window.unboundedPreceding, chunked.KEYS
+    f = chunked.keyed(series.where(F.col(flag) == 1).select(key, t)
+                      .withColumn(chunked.CHUNK, chunked.step_chunk(t, chunk_steps)), key)
+    w = Window.partitionBy(*keys, chunked.CHUNK).orderBy(t)
     lag = F.lag(t).over(w)
     local = f.withColumn("_start", F.when(lag.isNull() | (F.col(t) - lag > F.lit(max_gap)), 1).otherwise(0))
     local = local.withColumn("_cs", F.sum("_start").over(w.rowsBetween(unb, 0)))
-    summ = local.groupBy(key, chunked.CHUNK).agg(F.min(t).alias("_first"), F.max(t).alias("_last"),
-                                                  F.sum("_start").alias("_ns"))
-    wk = Window.partitionBy(key).orderBy(chunked.CHUNK)
+    summ = local.groupBy(*keys, chunked.CHUNK).agg(F.min(t).alias("_first"), F.max(t).alias("_last"),
+                                                   F.sum("_start").alias("_ns"))
+    wk = Window.partitionBy(*keys).orderBy(chunked.CHUNK)
     prev_last = F.lag("_last").over(wk)
     fix = F.when(prev_last.isNull() | (F.col("_first") - prev_last > F.lit(max_gap)), 0).otherwise(-1)
-    carry = summ.select(key, chunked.CHUNK, "_ns", fix.alias("_fix"))
+    carry = summ.select(*keys, chunked.CHUNK, "_ns", fix.alias("_fix"))
     carry = carry.withColumn("_off", F.coalesce(
         F.sum(F.col("_ns") + F.col("_fix")).over(wk.rowsBetween(unb, -1)), F.lit(0)))
-    j = local.join(carry.select(key, chunked.CHUNK, "_off", "_fix"), [key, chunked.CHUNK])
+    j = local.join(carry.select(*keys, chunked.CHUNK, "_off", "_fix"), [*keys, chunked.CHUNK])
     num = j.withColumn("segment", F.col("_off") + F.col("_cs") + F.col("_fix"))
     seg = num.groupBy(key, "segment").agg(F.min(t).alias("seg_start"), F.max(t).alias("seg_end"))
     if max_segments is not None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.exprs import is_true, severity, severity_message, sigmoid
-from ..functions.joins import salted_join
+from ..functions.joins import skew_join
 
 
 def pooled_features(rows: DataFrame, channels: Sequence[str], key: str = "flight_id",
@@ -116,14 +116,14 @@ def temporal_importance(rows: DataFrame, scores: DataFrame, coef: DataFrame, cha
     """I4 + D30 + E8: per (flight, t) mean over channels of |grad * x|, scaled by the flight maximum."""
     chans = list(channels)
     per_flight = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_T")).join(scores.select(key, "probability"), key)
-    j = _with_coef(salted_join(rows, per_flight, [key]), coef, chans)
+    j = _with_coef(skew_join(rows, per_flight, [key], "_T"), coef, chans)
     p = F.col("probability")
     terms = [F.abs(p * (1 - p) * F.col(f"_w{i}") / (F.col(f"_sd{i}") * F.col("_T")) * F.col(c))
              for i, c in enumerate(chans)]
     raw = sum(terms[1:], terms[0]) / F.lit(float(len(chans)))
     v = j.select(key, t, raw.alias("raw"))
-    mx = v.groupBy(key).agg(F.max("raw").alias("_mx"))
-    return salted_join(v, mx, [key]).select(key, t, F.when(F.col("_mx") > 0, F.col("raw") / F.col("_mx"))
+    mx = v.groupBy(key).agg(F.max("raw").alias("_mx"), F.count(F.lit(1)).alias("_n"))
+    return skew_join(v, mx, [key], "_n").select(key, t, F.when(F.col("_mx") > 0, F.col("raw") / F.col("_mx"))
                                   .otherwise(F.col("raw")).alias("importance"))
 
 

@@ -76,10 +76,10 @@ def derive_channels(df: DataFrame, cht: Sequence[str], egt: Sequence[str], fqty:
     )
 
 
-def order_series(df: DataFrame, key: str, order: Sequence, chunk: Column, length_col: str | None = "n_rows",
-                 keep_chunk: bool = False) -> DataFrame:
+def order_series(df: DataFrame, key: str, order: Sequence, chunk: Column | None = None, length_col: str | None = "n_rows",
+                 keep_chunk: bool = False, max_rows: int = chunked.MAX_ROWS) -> DataFrame:
     """Dense 0-based step ``t`` per flight along ``order`` (skew-safe, see chunked.dense_index)."""
-    return chunked.dense_index(df, key, order, chunk, out="t", length_col=length_col, keep_chunk=keep_chunk)
+    return chunked.dense_index(df, key, order, chunk, "t", length_col, keep_chunk, max_rows)
 
 
 def fill_gaps(df: DataFrame, channels: Sequence[str], key: str = "flight_id", t: str = "t",
@@ -113,18 +113,20 @@ def cut_pad(df: DataFrame, channels: Sequence[str], n_steps: int, key: str = "fl
     return kept.unionByName(pad)
 
 
-def prepare_flights(sensor: DataFrame, raw_channels: Sequence[str], order: Sequence[str], chunk: Column,
+def prepare_flights(sensor: DataFrame, raw_channels: Sequence[str], order: Sequence[str], chunk: Column | None,
                     clip_bounds: Mapping[str, tuple], derive: Mapping | None, n_steps: int = dims.N_TIMESTEPS,
-                    key: str = "flight_id", min_rows: int = dims.MIN_FLIGHT_ROWS) -> DataFrame:
+                    key: str = "flight_id", min_rows: int = dims.MIN_FLIGHT_ROWS,
+                    max_rows: int = chunked.MAX_ROWS) -> DataFrame:
     """K3 as one plan: project -> order -> drop short flights -> clip -> fill -> derive -> cut/pad.
 
     Ordering, clipping and filling share one shuffle of the rows by
-    (flight, time chunk) (:func:`chunked.ordered_fill`); the flight lengths
-    and the padding come from the small chunk summary.
+    (flight, chunk) (:func:`chunked.ordered_fill`; ``chunk`` None cuts long
+    flights into chunks of about ``max_rows`` rows); the flight lengths and the
+    padding come from the small chunk summary.
     """
     p = project_channels(sensor, [key, *order], raw_channels)
     clips = {c: clip(c, lo, hi) for c, (lo, hi) in clip_bounds.items() if c in raw_channels}
-    rows, lengths = chunked.ordered_fill(p, key, order, chunk, raw_channels, clips, 0.0, "t", "n_rows")
+    rows, lengths = chunked.ordered_fill(p, key, order, chunk, raw_channels, clips, 0.0, "t", "n_rows", max_rows)
     rows = rows.where(F.col("n_rows") >= F.lit(int(min_rows)))
     lengths = lengths.where(F.col("n_rows") >= F.lit(int(min_rows)))
     chans = list(raw_channels)

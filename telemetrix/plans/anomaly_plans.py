@@ -9,23 +9,25 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_if_small
+from ..functions.joins import broadcast_if_small, settled
 from ..operators import anomaly as an
 from ..operators import chunked
 from ..sources import tables as tb
 from .common import PHASE_VALUES_SQL, rounded, sql_phase_case
 
 
-def _detect_inputs(spark: SparkSession, sf: str, with_t: bool = False):
+def _detect_inputs(spark: SparkSession, sf: str, with_t: bool = False, fit_only: bool = False):
     raw = an.assign_phase(tb.lineitem_sensor(spark, sf), tb.LINEITEM_PHASES)
     labels = tb.supplier_labels(spark, sf)
     # the fit needs no step order, so it reads the unordered rows
     healthy = raw.join(broadcast_if_small(labels.where("label = 0").select("flight_id")), "flight_id", "left_semi")
     base = an.fit_baseline(healthy, tb.LINEITEM_CHANNELS)
+    if not fit_only:
+        base = settled(base, "baseline")  # a fitted model: a few rows, computed once for all that detect with it
     rows = raw
     if with_t:
-        rows = an.assign_phase(chunked.dense_index(tb.lineitem_sensor(spark, sf), "flight_id", tb.LINEITEM_ORDER,
-                                                   tb.lineitem_chunk()), tb.LINEITEM_PHASES)
+        rows = an.assign_phase(chunked.dense_index(tb.lineitem_sensor(spark, sf), "flight_id", tb.LINEITEM_ORDER),
+                               tb.LINEITEM_PHASES)
     return rows, base
 
 
@@ -41,7 +43,7 @@ def q_flight_phase(spark, sf):
 
 
 def q_baseline_fit(spark, sf):
-    _, base = _detect_inputs(spark, sf)
+    _, base = _detect_inputs(spark, sf, fit_only=True)
     return rounded(base)
 
 

@@ -27,7 +27,7 @@ MIN_LINES = 3  # an order has one to seven lines; flights below the limit have n
 
 def _ordered(spark, sf):
     s = tb.lineitem_sensor(spark, sf, inject_gaps=True)
-    return ts.order_series(s, "flight_id", tb.LINEITEM_ORDER, tb.lineitem_chunk(), "n_rows")
+    return ts.order_series(s, "flight_id", tb.LINEITEM_ORDER, max_rows=tb.CHECK_CHUNK_ROWS)
 
 
 def _clipped(spark, sf):
@@ -58,7 +58,7 @@ def q_derived_channels(spark, sf):
 
 def prepared(spark, sf):
     s = tb.lineitem_sensor(spark, sf, inject_gaps=True)
-    return ts.prepare_flights(s, tb.LINEITEM_CHANNELS, tb.LINEITEM_ORDER, tb.lineitem_chunk(), tb.LINEITEM_CLIP,
+    return ts.prepare_flights(s, tb.LINEITEM_CHANNELS, tb.LINEITEM_ORDER, None, tb.LINEITEM_CLIP,
                               tb.LINEITEM_DERIVE, n_steps=tb.LINEITEM_N)
 
 
@@ -96,7 +96,7 @@ def _events_ordered(spark, sf):
     """Ordered event series, written once: every downstream helper reads it twice (row-level
     window + chunk summary), and stacked helpers would otherwise re-run the ordering each time."""
     e = tb.events_series(spark, sf)
-    return materialize(ts.order_series(e, "flight_id", tb.EVENTS_ORDER, tb.events_chunk(), "n_rows"), "events")
+    return materialize(ts.order_series(e, "flight_id", tb.EVENTS_ORDER), "events")
 
 
 def q_moving_average(spark, sf):

@@ -31,6 +31,8 @@ AT_RISK_ACCTBAL = 2500.0
 GAP_MODULUS = 7
 DUPLICATE_MODULUS = 5
 INGEST_SHIFT = 1_000_000_000_000
+#: Rows of a chunk in the registered ordered scan: small enough that every supplier spans several.
+CHECK_CHUNK_ROWS = 200
 EVENTS_ORDER = ["ts", "event_id"]
 EVENTS_CHANNELS = ["value", "k"]
 EVENTS_MIN_PHASE_ROWS = 10
@@ -86,11 +88,6 @@ def lineitem_sensor(spark: SparkSession, sf_dir: str, inject_gaps: bool = False)
     return li.select(*cols)
 
 
-def lineitem_chunk() -> F.Column:
-    """Time chunk for lineitem series: 64-day blocks of the ship date (monotone in the order)."""
-    return F.floor(F.unix_date(F.to_date("l_shipdate")) / F.lit(64)).cast("long")
-
-
 def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flight_id, label: supplier at risk when its account balance is below 2500."""
     s = _read(spark, sf_dir, "supplier")
@@ -138,11 +135,6 @@ def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events_chunk() -> F.Column:
-    """Time chunk for event series: one block per 7 days."""
-    return F.floor(F.unix_date(F.to_date("ts")) / F.lit(7)).cast("long")
-
-
 def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored-flight role: flight_id, label (toxic), logit and prob from n_chars."""
     lab = _read(spark, sf_dir, "labels")

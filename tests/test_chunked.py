@@ -42,13 +42,11 @@ def test_fill_matches_plain_window(spark):
         assert got == want
 
 
-def test_running_sum_and_previous_value(spark):
+def test_running_sum(spark):
     df = spark.createDataFrame([(1, t, t % 3) for t in range(50)], "k long, t int, v int")
     for width in (4, 1000):
         rs = {r.t: r.cs for r in chunked.running_sum(df, "k", ["t"], chunked.step_chunk("t", width), "v", "cs").collect()}
         assert rs[49] == sum(t % 3 for t in range(50)) and rs[0] == 0
-        pv = {r.t: r.p for r in chunked.previous_value(df, "k", ["t"], chunked.step_chunk("t", width), "t", "p").collect()}
-        assert pv[0] is None and all(pv[t] == t - 1 for t in range(1, 50))
 
 
 def test_dilated_filter_matches_numpy(spark):

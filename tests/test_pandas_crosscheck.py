@@ -43,9 +43,9 @@ def test_prepare_matches_per_flight_pandas(spark, sf_small):
     sensor = tb.lineitem_sensor(spark, sf_small, inject_gaps=True)
     schema = "flight_id long, t int, " + ", ".join(f"{c} double" for c in OUT)
     want = sensor.groupBy("flight_id").applyInPandas(_per_flight, schema).toPandas()
-    for chunk in (tb.lineitem_chunk(), F.floor(F.unix_date(F.to_date("l_shipdate")) / 8), F.lit(0)):
+    for chunk, rows in ((F.floor(F.unix_date(F.to_date("l_shipdate")) / 8), 1), (F.lit(0), 1), (None, 1 << 19), (None, 80)):
         got = ts.prepare_flights(sensor, CH, tb.LINEITEM_ORDER, chunk, tb.LINEITEM_CLIP,
-                                 tb.LINEITEM_DERIVE, n_steps=N).toPandas()
+                                 tb.LINEITEM_DERIVE, n_steps=N, max_rows=rows).toPandas()
         _compare(want, got)
 
 

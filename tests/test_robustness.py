@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from telemetrix.functions.joins import salted_join, threshold_bytes
+from telemetrix.functions.joins import threshold_bytes
 from telemetrix.operators import anomaly, chunked, metrics, score, split_norm
 from telemetrix.sources import io
 
@@ -88,22 +88,6 @@ def test_broadcast_threshold_of_the_session(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_salted_join_equals_join(spark):
-    rows = spark.range(500).selectExpr("case when id < 400 then 1 else id end as k", "id as v")
-    per_key = rows.groupBy("k").agg(F.sum("v").alias("s")).where("k <> 450")
-    for how in ("inner", "left"):
-        want = sorted(map(tuple, rows.join(per_key, "k", how).collect()), key=repr)
-        assert sorted(map(tuple, salted_join(rows, per_key, ["k"], how).collect()), key=repr) == want
-    off = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        j = salted_join(rows.repartition(4), per_key, ["k"])
-        hot = j.where("k = 1").select(F.spark_partition_id().alias("p"), "v")
-        assert hot.count() == 400
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", off)
-
-
 def test_fleet_rank_of_saturated_scores(spark):
     from telemetrix.operators import reports
     rows = [(i * 7 % 1000, 1.0 if i % 3 else (None if i % 30 == 0 else i / 1000)) for i in range(1000)]
