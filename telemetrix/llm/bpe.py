@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from telemetrix.llm.common import slices, unwrap, wrap
 
 KEPT = 200_000  # pairs of tokens
-KEPT_BYTES = 48 << 20  # a generation of pieces
+KEPT_BYTES = 80 << 20  # a generation of pieces
 PART_BYTES = 2 << 20
 
 
