@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from telemetrix.llm.common import slices, unwrap, wrap
 
 KEPT = 200_000  # pairs of tokens
-KEPT_BYTES = 80 << 20  # a generation of pieces
+KEPT_BYTES = 32 << 20  # a generation of pieces
 PART_BYTES = 2 << 20
 
 
@@ -56,6 +56,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.decimals = {rank: b"%d" % rank for rank in self.tokens}
         self.longest = max(map(len, ranks))
         self.parts: dict[int, tuple[int, int]] = {}  # of a token that a merge makes: the two tokens merged
         self.joined: dict[tuple[int, int], int] = {}
@@ -181,8 +182,8 @@ class Prefixes:
         return out[::-1]
 
 
-#: Ids of a piece, their decimal text, and the bytes they stand for.
-Piece = tuple[tuple[int, ...], str, bytes]
+#: Ids of a piece.
+Piece = tuple[int, ...]
 
 
 class Encoder:
@@ -196,7 +197,7 @@ class Encoder:
 
     def _keep(self, piece: str, value: Piece) -> None:
         self.kept[piece] = value
-        self.size += 400 + 4 * len(piece) + 8 * len(value[0])  # about what Python needs
+        self.size += 200 + 2 * len(piece) + 8 * len(value)  # about what Python needs
 
     def learn(self, found: set[str]) -> None:
         """Bring pieces into the younger generation. Those in neither are encoded in order: one prefix table is cut to what two
@@ -213,7 +214,7 @@ class Encoder:
         for data, piece in new:
             rank = ranks.get(data)
             if rank is not None:
-                ids: tuple[int, ...] = (rank,)
+                ids: Piece = (rank,)
             else:
                 shared = 0
                 for one, other in zip(before, data):
@@ -224,10 +225,10 @@ class Encoder:
                 table.append(data[shared:])
                 before = data
                 ids = tuple(table.encoding())
-            self._keep(piece, (ids, " ".join(map(str, ids)), self.decode(ids)))
+            self._keep(piece, ids)
 
     def pieces(self, texts: list[str | None]) -> list[list[Piece]]:
-        """The pieces of each text: their ids, the decimal text of the ids and the bytes the ids stand for."""
+        """The ids of the pieces of each text."""
         find = self.find
         found = [find(t or "") for t in texts]
         if self.size > self.kept_bytes:  # before learning, so that all pieces of these texts are at hand
@@ -237,11 +238,14 @@ class Encoder:
         return [[kept[p] for p in t] for t in found]
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable([p[0] for p in self.pieces([text])[0]]))
+        return list(chain.from_iterable(self.pieces([text])[0]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        tokens = self.vocabulary.tokens
-        return b"".join([tokens[i] for i in ids])
+        return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
+
+    def decimals(self, ids: Iterable[int]) -> bytes:
+        """The ids in decimal, joined by one space."""
+        return b" ".join(map(self.vocabulary.decimals.__getitem__, ids))
 
 
 @dataclass(frozen=True)
@@ -258,32 +262,28 @@ def encoder(ranks: Ranks, pattern: str) -> Encoder:
     return Encoder(ranks.value.value, pattern)
 
 
-#: How a document's pieces become result columns.
-Columns = Callable[[list[list[Piece]]], tuple[pa.Array, ...]]
+#: How documents' ids become result columns.
+Columns = Callable[[Encoder, list[list[int]]], tuple[pa.Array, ...]]
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _ids(texts: list[list[Piece]]) -> tuple[pa.Array, ...]:
-    return (pa.array([list(chain.from_iterable([p[0] for p in t])) for t in texts], pa.list_(pa.int32())),)
+def _ids(coder: Encoder, texts: list[list[int]]) -> tuple[pa.Array, ...]:
+    return (pa.array(texts, pa.list_(pa.int32())),)
 
 
-def _decoded(texts: list[list[Piece]]) -> tuple[pa.Array, ...]:
-    return (pa.array([b"".join([p[2] for p in t]) for t in texts], pa.binary()),)
+def _decoded(coder: Encoder, texts: list[list[int]]) -> tuple[pa.Array, ...]:
+    return (pa.array([coder.decode(t) for t in texts], pa.binary()),)
 
 
-def _digests(texts: list[list[Piece]]) -> tuple[pa.Array, ...]:
-    rows = []
-    for t in texts:
-        ids, decimals, data = zip(*t) if t else ((), (), ())
-        rows.append((sum(map(len, ids)), hashlib.sha256(" ".join(decimals).encode()).hexdigest(),
-                     hashlib.sha256(b"".join(data)).hexdigest()))
-    columns = list(zip(*rows)) or [()] * 3
-    return tuple(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string())))
+def _digests(coder: Encoder, texts: list[list[int]]) -> tuple[pa.Array, ...]:
+    return (pa.array([len(t) for t in texts], pa.int64()),
+            pa.array([hashlib.sha256(coder.decimals(t)).hexdigest() for t in texts], pa.string()),
+            pa.array([hashlib.sha256(coder.decode(t)).hexdigest() for t in texts], pa.string()))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Each document as ``row`` with ids (array<int>) and decoded (the bytes of the ids)."""
-    return _encode(docs, ranks_path, pattern, text, lambda t: _ids(t) + _decoded(t), "ids array<int>, decoded binary")
+    return _encode(docs, ranks_path, pattern, text, lambda c, t: _ids(c, t) + _decoded(c, t), "ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -293,7 +293,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Each document as ``row`` with its ids and the digests of ``digests``."""
-    return _encode(docs, ranks_path, pattern, text, lambda t: _ids(t) + _digests(t), "ids array<int>, " + DIGESTS)
+    return _encode(docs, ranks_path, pattern, text, lambda c, t: _ids(c, t) + _digests(c, t), "ids array<int>, " + DIGESTS)
 
 
 def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns: Columns, kinds: str) -> DataFrame:
@@ -310,7 +310,7 @@ def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns:
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 for first, last in slices(texts, PART_BYTES):
-                    made = columns(coder.pieces(texts[first:last]))
+                    made = columns(coder, [list(chain.from_iterable(t)) for t in coder.pieces(texts[first:last])])
                     yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), *made], ["row", *names])
         finally:
             gc.enable()

@@ -76,7 +76,7 @@ def test_small_tables_of_pieces(ranks, reference):
     words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
     for _ in range(40):
         texts = [" ".join(rnd.choice(words) for _ in range(20)) for _ in range(3)]
-        got = [[i for p in t for i in p[0]] for t in encoder.pieces(texts)]
+        got = [[i for p in t for i in p] for t in encoder.pieces(texts)]
         assert got == [reference.encode_ordinary(t) for t in texts]
         assert encoder.size < 5000 + 80 * 600 and len(encoder.old) < 200
 
