@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import stable_hash_key
+from ..functions.joins import broadcast_if_small, skew_join
 from . import chunked
 
 SPLIT_SEED = 42
@@ -33,26 +34,55 @@ def head_n(df: DataFrame, order: str, n: int = 50) -> DataFrame:
     return df.orderBy(order).limit(int(n))
 
 
+def _dealt(per_label: DataFrame, count: str, seats: Column, out: str) -> DataFrame:
+    """Adds ``out``: ``seats`` dealt to the labels in proportion to ``count`` by largest remainders, ties to the label that
+    sorts first.  Whole numbers throughout; ``per_label`` has one row per label, so the windows over all of it are small."""
+    everyone = Window.partitionBy(F.lit(0))
+    share = per_label.withColumns({"_share": F.col(count).cast("decimal(19,0)") * seats.cast("decimal(19,0)"),
+                                   "_all": F.sum(count).over(everyone), "_seats": seats})
+    floor = share.withColumns({"_floor": F.expr("_share div _all"), "_rest": F.expr("_share % _all")})
+    left = F.col("_seats") - F.sum("_floor").over(everyone)
+    place = F.row_number().over(everyone.orderBy(F.col("_rest").desc(), "_l"))
+    return floor.withColumn(out, F.col("_floor") + (place <= left).cast("long")).select(*per_label.columns, out)
+
+
+def split_quotas(per_label: DataFrame, first: float = FIRST_FRACTION, second: float = SECOND_FRACTION) -> DataFrame:
+    """_l, _n, _val, _test from _l (label as text) and _n (its flights): totals first, then their share per label.
+
+    ceil(first x flights) leave train, ceil(second x those) of them are test, the rest val.  Train is dealt to the labels by
+    largest remainders, then val to what is left of each.
+    """
+    everyone = Window.partitionBy(F.lit(0))
+
+    def kept(count: str, fraction: float) -> Column:
+        n = F.sum(count).over(everyone)
+        return n - F.ceil(F.lit(float(fraction)) * n.cast("double"))
+
+    train = _dealt(per_label, "_n", kept("_n", first), "_train")
+    rest = train.withColumn("_temp", F.col("_n") - F.col("_train"))
+    return _dealt(rest, "_temp", kept("_temp", second), "_val").select(
+        "_l", "_n", "_val", (F.col("_temp") - F.col("_val")).alias("_test"))
+
+
 def stratified_split(df: DataFrame, key: str, label: str, seed: int = SPLIT_SEED,
                      first: float = FIRST_FRACTION, second: float = SECOND_FRACTION,
                      hash_prefix: int = 3) -> DataFrame:
-    """exact per-label split 70/20/10.
+    """stratified split 70/20/10 with exact totals (:func:`split_quotas`).
 
-    Per label with n flights: n_temp = ceil(first * n) leave train,
-    n_test = ceil(second * n_temp) of those are test, the rest val.  Rank
-    by md5(seed:id) then id.  A NULL label is a label of its own.  Adds a ``split`` column.
+    Within a label flights are ranked by md5(seed:id) then id: the first are test, then val, then train.  A NULL label is a
+    label of its own.  Adds a ``split`` column.
     """
     h = stable_hash_key(seed, key)
     keyed = df.withColumn("_h", h).withColumn("_l", F.concat(
         F.when(F.col(label).isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(F.col(label).cast("string"), F.lit(""))))
     chunk = F.conv(F.substring("_h", 1, hash_prefix), 16, 10).cast("long")
-    ranked = chunked.dense_index(keyed, "_l", [F.col("_h"), F.col(key)], chunk, out="_r", length_col="_n")
-    n = F.col("_n").cast("double")
-    n_temp = F.ceil(F.lit(float(first)) * n)
-    n_test = F.ceil(F.lit(float(second)) * n_temp)
-    split = (F.when(F.col("_r") < n_test, F.lit("test"))
-             .when(F.col("_r") < n_temp, F.lit("val")).otherwise(F.lit("train")))
-    return ranked.withColumn("split", split).drop("_h", "_l", "_r", "_n")
+    ranked = chunked.dense_index(keyed, "_l", [F.col("_h"), F.col(key)], chunk, out="_r")
+    quotas = split_quotas(keyed.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")), first, second)
+    small = broadcast_if_small(quotas)
+    met = skew_join(ranked, quotas, ["_l"], "_n") if small is quotas else ranked.join(small, "_l")
+    split = (F.when(F.col("_r") < F.col("_test"), F.lit("test"))
+             .when(F.col("_r") < F.col("_test") + F.col("_val"), F.lit("val")).otherwise(F.lit("train")))
+    return met.withColumn("split", split).select(*df.columns, "split")
 
 
 def label_counts(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:

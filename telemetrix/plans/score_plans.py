@@ -19,6 +19,7 @@ from ..operators import reports as rp
 from ..operators import score as sc
 from ..operators import split_norm as sn
 from ..operators import timeseries as ts
+from ..operators import training as tr
 from ..session import materialize
 from ..sources import tables as tb
 from . import anomaly_plans as ap
@@ -192,6 +193,29 @@ def q_logistic_score(spark, sf):
     return rounded(sc.apply_logistic_scorer(model, feats))
 
 
+def _trained(spark, sf):
+    feats = materialize(sc.pooled_features(spl.normalised(spark, sf), CH), "features")
+    return feats, tr.fit(feats, _flights(spark, sf), CH)
+
+
+def q_training_epochs(spark, sf):
+    """Rate, train loss and validation F1 of each epoch until the early stop."""
+    return rounded(tr.epoch_table(spark, _trained(spark, sf)[1]))
+
+
+def q_trained_score(spark, sf):
+    """I1(b): all flights scored with the weights of the best epoch."""
+    feats, model = _trained(spark, sf)
+    return rounded(tr.score(feats, model))
+
+
+def q_trained_attribution(spark, sf):
+    """I4 on I1(b): channel importance of the trained model; its coefficients are a table like any scorer's."""
+    feats, model = _trained(spark, sf)
+    z = spl.normalised(spark, sf)
+    return rounded(sc.channel_importance(z, tr.score(feats, model), tr.coefficients(spark, model), CH).drop("idx"))
+
+
 def _test_scored(spark, sf):
     _, _, _, scores = _model(spark, sf)
     test = _flights(spark, sf).where("split = 'test'").select("flight_id", "label")
@@ -231,6 +255,9 @@ QUERIES = {
     "i_fleet_status": q_fleet_status,
     "b_fleet_label_subset": q_fleet_at_risk,
     "i_logistic_score": q_logistic_score,
+    "i_training_epochs": q_training_epochs,
+    "i_trained_score": q_trained_score,
+    "i_trained_attribution": q_trained_attribution,
     "i_model_evaluation": q_model_evaluation,
     "i_retraining_run": q_retraining_run,
 }
@@ -323,9 +350,59 @@ expl AS (SELECT flight_id,
 """
 
 
+def _training_cte() -> str:
+    """The rounds as a recursion over one row: row j holds the weights w after epoch j, and what the pass over the weights of
+    epoch j - 1 found (loss, F1).  Lists: bias first."""
+    s = tr.Settings()
+    d = len(CH)
+    logit = " + ".join(["w[1]", *(f"w[{i + 2}] * z{i}" for i in range(d))])
+    pull = ", ".join(["sum(case when train then wt * (p - y) end) / n", *(
+        f"sum(case when train then wt * (p - y) * z{i} end) / n" for i in range(d))])
+    b1, b2 = s.betas
+    rate = f"({s.least_rate!r} + ({s.rate!r} - {s.least_rate!r}) * (1 + cos(pi() * j / {s.epochs})) / 2)"
+    carried = ", ".join(f"any_value({c}) as {c}" for c in ("w", "m", "v", "best_f1", "best_j", "best_w"))
+    fits = "(j > 0 and f1_now > best_f1)"
+    return f"""
+trs AS (SELECT {', '.join(f"avg({c}) AS mu{i}, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS sd{i}" for i, c in _IDX)},
+               count(*) AS n, count(*) FILTER (WHERE label = 0) * 1.0 / count(*) FILTER (WHERE label = 1) AS pw FROM tf),
+trx AS (SELECT split = 'train' AS train, CAST(label AS DOUBLE) AS y, CASE WHEN label = 1 THEN pw ELSE 1.0 END AS wt, n,
+               {', '.join(f'({c} - mu{i}) / sd{i} AS z{i}' for i, c in _IDX)}
+        FROM feat JOIN ssplit USING (flight_id), trs WHERE split IN ('train', 'val')),
+steps AS (
+  SELECT 0 AS j, list_transform(range({d + 1}), lambda i: 0.0::double) AS w, list_transform(range({d + 1}), lambda i: 0.0::double) AS m,
+         list_transform(range({d + 1}), lambda i: 0.0::double) AS v, CAST(NULL AS DOUBLE) AS loss, CAST(NULL AS DOUBLE) AS f1,
+         CAST(-1.0 AS DOUBLE) AS best_f1, 0 AS best_j, list_transform(range({d + 1}), lambda i: 0.0::double) AS best_w
+  UNION ALL
+  SELECT j + 1, list_transform(range(1, {d + 2}), lambda i: w[i] * (1 - {rate} * {s.weight_decay!r})
+                  - {rate} * (m1[i] / (1 - power({b1}, j + 1))) / (sqrt(v1[i] / (1 - power({b2}, j + 1))) + {s.epsilon!r})),
+         m1, v1, loss_now, f1_now, CASE WHEN {fits} THEN f1_now ELSE best_f1 END, CASE WHEN {fits} THEN j ELSE best_j END,
+         CASE WHEN {fits} THEN w ELSE best_w END
+  FROM (SELECT *, list_transform(range(1, {d + 2}), lambda i: {b1} * m[i] + (1 - {b1}) * g1[i]) AS m1,
+               list_transform(range(1, {d + 2}), lambda i: {b2} * v[i] + (1 - {b2}) * g1[i] * g1[i]) AS v1
+        FROM (SELECT *, list_transform(g, lambda x: x * least(1.0, {s.clip!r} / (sqrt(list_sum(list_transform(g, lambda q: q * q))) + 1e-6))) AS g1
+              FROM (SELECT j, {carried}, [{pull.replace('/ n', '/ any_value(n)')}] AS g,
+                           sum(CASE WHEN train THEN wt * (greatest(CASE WHEN y = 1 THEN -z ELSE z END, 0.0) + ln(1 + exp(-abs(z)))) END) / any_value(n) AS loss_now,
+                           coalesce(2.0 * count(*) FILTER (WHERE NOT train AND p >= {s.threshold} AND y = 1)
+                             / nullif(2 * count(*) FILTER (WHERE NOT train AND p >= {s.threshold} AND y = 1)
+                                      + count(*) FILTER (WHERE NOT train AND p >= {s.threshold} AND y = 0)
+                                      + count(*) FILTER (WHERE NOT train AND p < {s.threshold} AND y = 1), 0), 0.0) AS f1_now
+                    FROM (SELECT *, 1.0 / (1.0 + exp(-z)) AS p FROM (SELECT steps.*, trx.*, {logit} AS z FROM steps, trx
+                          WHERE j <= {s.epochs} AND (j <= 1 OR j - 1 - best_j < {s.patience}))) GROUP BY j)))),
+trained AS (SELECT best_w AS w FROM steps ORDER BY j DESC LIMIT 1),
+tsc AS (SELECT flight_id, w[1] {''.join(f' + w[{i + 2}] * (({c} - mu{i}) / sd{i})' for i, c in _IDX)} AS logit FROM feat, trs, trained),
+tsp AS (SELECT flight_id, logit, 1.0 / (1.0 + exp(-logit)) AS probability FROM tsc),
+tss AS (SELECT *, CAST(probability >= 0.35 AS INTEGER) AS prediction,
+               CASE WHEN probability >= 0.8 THEN 'CRITICAL' WHEN probability >= 0.6 THEN 'HIGH'
+                    WHEN probability >= 0.4 THEN 'MEDIUM' ELSE 'NORMAL' END AS severity FROM tsp),
+tci AS ({' UNION ALL '.join(f"SELECT ga.flight_id, '{c}' AS channel, abs(probability * (1 - probability) * w[{i + 2}] / (sd{i} * tt)) * a{i} AS raw "
+                            f"FROM ga JOIN tsp USING (flight_id), trs, trained" for i, c in _IDX)})
+"""
+
+
 _BASE = f"WITH {sp.CUTPAD_CTE}, {spl.SUPPLIER_SPLIT_CTE}, {MODEL_CTE}"
 _FULL = f"WITH {sp.CUTPAD_CTE}, {spl.SUPPLIER_SPLIT_CTE}, {MODEL_CTE}, {ap.SENSOR_CTE}, {DET_CTE}, {_expl_cte()}"
 _DETONLY = f"WITH {ap.SENSOR_CTE}"
+_TRAINED = f"WITH RECURSIVE {sp.CUTPAD_CTE}, {spl.SUPPLIER_SPLIT_CTE}, {MODEL_CTE}, {_training_cte()}"
 
 
 def _r6(cols):
@@ -387,6 +464,13 @@ def _pooled_filters_sql() -> str:
 
 ORACLE = {
     "i_pooled_filters": _pooled_filters_sql(),
+    "i_training_epochs": f"""{_TRAINED} SELECT a.j AS epoch, round({tr.Settings().least_rate!r} + ({tr.Settings().rate!r} - {tr.Settings().least_rate!r})
+             * (1 + cos(pi() * (a.j - 1) / {tr.Settings().epochs})) / 2, 6) AS rate, round(a.loss, 6) AS train_loss, round(b.f1, 6) AS val_f1,
+             b.best_j = a.j AS best FROM steps a JOIN steps b ON b.j = a.j + 1 WHERE a.j >= 1""",
+    "i_trained_score": f"""{_TRAINED} SELECT flight_id, round(logit, 6) AS logit, round(probability, 6) AS probability, prediction, severity,
+             CASE severity {' '.join(f"WHEN '{s}' THEN '{m}'" for s, _, m in dims.SEVERITIES)} END AS message FROM tss""",
+    "i_trained_attribution": f"""{_TRAINED} SELECT flight_id, channel, round(CASE WHEN max(raw) OVER (PARTITION BY flight_id) > 0
+             THEN raw / max(raw) OVER (PARTITION BY flight_id) ELSE raw END, 6) AS importance FROM tci""",
     "i_pooled_features": f"{_BASE} SELECT flight_id, n_steps, {_r6(CH)} FROM feat",
     "i_scorer_coefficients": f"{_BASE} SELECT channel, idx, {_r6(['mu', 'sd', 'w', 'bias'])} FROM coef",
     "i_linear_score": f"{_BASE} SELECT flight_id, {_r6(['logit', 'probability'])}, prediction, severity, message, threshold FROM scm",

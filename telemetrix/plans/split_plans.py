@@ -93,16 +93,23 @@ WIDE_HEADER_CTE = HEADER_CTE.replace("date_diff < -30 OR date_diff > 30",
 
 
 def split_sql(src: str, key: str, label: str) -> str:
-    """CTE body: rank per label by md5(seed:id), id, then the exact cut-offs."""
+    """CTE body: totals first, dealt to the labels by largest remainders; within a label by md5(seed:id), id."""
+    def dealt(source: str, count: str, fraction: float, out: str) -> str:
+        return f"""SELECT * EXCLUDE (fl, rest, seats), fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, k) <= seats - sum(fl) OVER ()
+                     THEN 1 ELSE 0 END AS {out}
+          FROM (SELECT *, ({count} * seats) // sum({count}) OVER () AS fl, ({count} * seats) % sum({count}) OVER () AS rest
+                FROM (SELECT *, sum({count}) OVER () - CAST(ceil(CAST({fraction} AS DOUBLE) * sum({count}) OVER ()) AS HUGEINT) AS seats
+                      FROM ({source})))"""
+
+    counts = f"SELECT {label} AS l, coalesce('+' || CAST({label} AS VARCHAR), '-') AS k, CAST(count(*) AS HUGEINT) AS n FROM {src} GROUP BY {label}"
+    train = dealt(counts, "n", sn.FIRST_FRACTION, "n_train")
+    quotas = dealt(f"SELECT *, n - n_train AS temp FROM ({train})", "temp", sn.SECOND_FRACTION, "n_val")
     return f"""
-  SELECT {key}, {label}, CASE
-      WHEN r < ceil(CAST({sn.SECOND_FRACTION} AS DOUBLE) * ceil(CAST({sn.FIRST_FRACTION} AS DOUBLE) * n)) THEN 'test'
-      WHEN r < ceil(CAST({sn.FIRST_FRACTION} AS DOUBLE) * n) THEN 'val' ELSE 'train' END AS split
+  SELECT {key}, {label}, CASE WHEN r < temp - n_val THEN 'test' WHEN r < temp THEN 'val' ELSE 'train' END AS split
   FROM (SELECT {key}, {label},
                row_number() OVER (PARTITION BY {label}
-                   ORDER BY md5('{sn.SPLIT_SEED}:' || CAST({key} AS VARCHAR)), {key}) - 1 AS r,
-               CAST(count(*) OVER (PARTITION BY {label}) AS DOUBLE) AS n
-        FROM {src})"""
+                   ORDER BY md5('{sn.SPLIT_SEED}:' || CAST({key} AS VARCHAR)), {key}) - 1 AS r
+        FROM {src}) JOIN ({quotas}) q ON q.l IS NOT DISTINCT FROM {label}"""
 
 
 _CH = NORM_CHANNELS

@@ -186,10 +186,8 @@ def test_split_is_exact_disjoint_and_complete(spark):
     out = sn.stratified_split(df, "flight_id", "label").cache()
     assert out.count() == 1000 and out.select("flight_id").distinct().count() == 1000
     c = {(r.split, r.label): r["count"] for r in out.groupBy("split", "label").count().collect()}
-    # label 1: 250 -> temp ceil(75.0)=75 (0.3*250 = 75.00000000000001 -> 76 in binary), test ceil(0.333*76)
-    n1_temp = math.ceil(0.3 * 250)
-    assert c[("test", 1)] == math.ceil(0.333 * n1_temp) and c[("val", 1)] == n1_temp - c[("test", 1)]
-    assert c[("train", 0)] == 750 - math.ceil(0.3 * 750)
+    assert [sum(v for (k, _), v in c.items() if k == s) for s in ("test", "val", "train")] == [100, 200, 700]
+    assert c[("train", 1)] == 175 and c[("val", 1)] == 50 and c[("test", 1)] == 25
 
 
 def test_absent_channel_becomes_zero(spark):
