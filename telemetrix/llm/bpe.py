@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import slices, unwrap, wrap
+from telemetrix.llm.common import give_back, slices, unwrap, wrap
 
 KEPT = 200_000  # pairs of tokens
 KEPT_BYTES = 32 << 20  # a generation of pieces
@@ -304,6 +304,7 @@ def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns:
     frame = wrap(docs, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         coder = encoder(ranks, pattern)
         gc.disable()  # pieces make no cycles, and walking through all that are kept takes a third of the time
         try:
@@ -313,6 +314,7 @@ def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns:
                     made = columns(coder, [list(chain.from_iterable(t)) for t in coder.pieces(texts[first:last])])
                     yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), *made], ["row", *names])
         finally:
+            coder.old = {}  # a later stage on this worker has use for the memory
             gc.enable()
 
     new = spark.createDataFrame([], kinds)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -111,3 +112,13 @@ def slices(texts: list, limit: int = 4 << 20):
             first, size = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Worker processes are reused, so what one stage has freed would stand beside what the
+    next one needs; called where a task or a group begins. Where the C library cannot trim, only Arrow's pool does."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import checkpointed, parts, pick, sliding_min, slices, wrap
+from telemetrix.llm.common import checkpointed, give_back, parts, pick, slices, sliding_min, wrap
 
 WINDOW = 10
 GRAM = 5
@@ -162,6 +162,7 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int
 
 def _pass(sent, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         index = Index(sent.value, window, gram)
         for batch in parts(batches, 2048):
             before, items = batch.column("hit").to_pylist(), batch.column("items").to_pylist()

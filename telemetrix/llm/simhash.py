@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import checkpointed, parts, pick, unwrap, wrap
+from telemetrix.llm.common import checkpointed, give_back, parts, pick, unwrap, wrap
 from telemetrix.llm.components import components
 
 SHINGLE = 4
@@ -57,6 +57,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(frame: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """id and fp (the fingerprint as a signed long) of a frame of id and text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in parts(batches):
             fp = np.fromiter((fingerprint(t, shingle) for t in batch.column("text").to_pylist()),
                              np.uint64, batch.num_rows)
@@ -115,6 +116,7 @@ def _forests(distance: int):
                 rest = np.delete(rest, hit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held: list[pa.RecordBatch] = []
         names = ["a", "b"]
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import parts, ranges, sliding_min
+from telemetrix.llm.common import give_back, parts, ranges, sliding_min
 from telemetrix.llm.packing import blocked
 from telemetrix.llm.suffixes import repeated_classes
 
@@ -135,6 +135,7 @@ CHOSEN = "bucket long, block long, hashes binary, counts binary"
 def _report(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """The hashes that a block chose, with their counts, by bucket."""
+        give_back()
         block, found = Block(table), [np.empty(0, np.uint64)]
         for _, data, ends in block.slices():
             found.append(stretches(data, ends)[0])
@@ -158,6 +159,7 @@ SHARED = "block long, hashes binary, hot binary"
 def _shared(hot: int):
     def run(table: pa.Table) -> pa.Table:
         """For each block of a bucket, its hashes that were chosen at least twice; those chosen too often are hot."""
+        give_back()
         lists = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
         counts = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()])
         known, place = np.unique(np.concatenate(lists), return_inverse=True)
@@ -185,6 +187,7 @@ SENT = "bucket long, block long, stretches binary, bytes binary, cuts binary"
 def _send(buckets: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         """A block's stretches under shared grams, by bucket; later equal ones are cut at once."""
+        give_back()
         names = ["bucket", "block", "stretches", "bytes", "cuts"]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         if not docs.num_rows or not replies.num_rows:
@@ -320,6 +323,7 @@ CUTS = "block long, cuts binary"
 
 def _judge(table: pa.Table) -> pa.Table:
     """The cuts that a bucket's stretches lead to, by block; those already made are passed on."""
+    give_back()
     rows = [np.frombuffer(b, STRETCH) for b in table.column("stretches").to_pylist()]
     numbers = table.column("block").to_pylist()
     block = np.repeat(np.array(numbers, np.int64), [len(r) for r in rows])
@@ -340,6 +344,7 @@ def _judge(table: pa.Table) -> pa.Table:
 def _finish(kept: list[str]):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         """The documents of a block with their runs of removed bytes and the text that is left."""
+        give_back()
         block = Block(docs)
         cuts = _joined(np.frombuffer(b"".join(replies.column("cuts").to_pylist()), CUT)) if replies.num_rows else np.empty(0, CUT)
         edges = np.searchsorted(cuts["doc"], np.arange(len(block.ids) + 1))
