@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetrix.llm.common import give_back, slices, unwrap, wrap
+from telemetrix.llm.common import give_back, parts, slices, unwrap, wrap
 
 KEPT = 200_000  # pairs of tokens
 KEPT_BYTES = 32 << 20  # a generation of pieces
@@ -308,7 +308,7 @@ def _encode(docs: DataFrame, ranks_path: str, pattern: str, text: str, columns:
         coder = encoder(ranks, pattern)
         gc.disable()  # pieces make no cycles, and walking through all that are kept takes a third of the time
         try:
-            for batch in batches:
+            for batch in parts(batches):
                 texts = batch.column("text").to_pylist()
                 for first, last in slices(texts, PART_BYTES):
                     made = columns(coder, [list(chain.from_iterable(t)) for t in coder.pieces(texts[first:last])])
