@@ -193,14 +193,16 @@ def top_anomalies(stats: DataFrame, chanset: dims.ChannelSet, key: str = "flight
 
 
 def anomaly_timeline(rows: DataFrame, baseline: DataFrame, channels: Sequence[str],
-                     key: str = "flight_id", t: str = "t", phase: str = "phase",
+                     key: str = "flight_id", t: str | None = "t", phase: str = "phase",
                      z_threshold: float = dims.Z_THRESHOLD, min_rows: int = dims.MIN_PHASE_ROWS,
-                     unordered: DataFrame | None = None) -> DataFrame:
+                     unordered: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """D14 (flat): per (flight, t) 1 when any scored channel exceeds the threshold in a phase
     that has at least ``min_rows`` rows and a baseline; no persistence rule.
 
     ``unordered``: the same rows before the step index was added (with the phase column);
     the phase row counts are then aggregated from it, so the ordering is not re-run for them.
+    ``keep``: columns of ``rows`` that stay beside the flag, for operators that go on with the rows; such
+    rows need no step index (``t`` None).
     """
     chans = list(channels)
     z = _with_z(rows, baseline, chans, phase)
@@ -209,7 +211,7 @@ def anomaly_timeline(rows: DataFrame, baseline: DataFrame, channels: Sequence[st
     any_flag = F.greatest(*[is_true(F.col(f"_z{i}") > thr).cast("int") for i in range(len(chans))]) \
         if len(chans) > 1 else is_true(F.col("_z0") > thr).cast("int")
     j = skew_join(z, n, [key, phase], "_pn")
-    return j.select(key, F.col(t).cast("int").alias("t"),
+    return j.select(key, *([] if t is None else [F.col(t).cast("int").alias("t")]), *keep,
                     F.when(F.col("_pn") >= F.lit(min_rows), any_flag).otherwise(F.lit(0)).alias("flag"))
 
 

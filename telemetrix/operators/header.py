@@ -111,18 +111,34 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         "_x.column", F.col("_x.n_null").cast("long").alias("n_null"))
 
 
-def step_audit(steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """Rows in/out per step with dropped rows and retention (percent)."""
-    counts = None
-    for i, (name, d) in enumerate(steps):
-        c = d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("step_ord"), F.lit(name).alias("step"),
-                                                          "rows")
-        counts = c if counts is None else counts.unionByName(c)
-    w = Window.orderBy("step_ord")  # at most a handful of rows
-    prev = F.lag("rows").over(w)
-    return counts.select("step_ord", "step", prev.alias("rows_in"), F.col("rows").alias("rows_out"),
-                         (prev - F.col("rows")).alias("dropped"),
-                         (F.col("rows") * 100.0 / prev).alias("retention_pct"))
+def cleaning_audit(df: DataFrame, key: str = "master_index", order: str = "ingest_order",
+                   min_length: float = dims.MIN_FLIGHT_LENGTH, limit: int = dims.DATE_DIFF_LIMIT) -> DataFrame:
+    """Rows in and out of each cleaning step (dedup, length, 'same' rows, date range), dropped rows and retention.
+
+    One pass: duplicate groups carry their number of rows, and the filters, which follow one another, are counted as nested
+    conditions over the groups, so raw rows are read and shuffled once however many steps are audited.  (Observed metrics would
+    also take one pass, but count rows again that a lost executor's tasks had already counted.)
+    """
+    groups = df.groupBy(*_attrs(df, key, order)).agg(F.count(F.lit(1)).alias("_copies"))
+    dd = F.col("date_diff").cast("int")
+    conditions = [("length_filter", is_true(F.col("flight_length") >= F.lit(float(min_length)))),
+                  ("drop_same", ~F.col("before_after").eqNullSafe("same")),
+                  ("date_range", ~is_true((dd < F.lit(-limit)) | (dd > F.lit(limit))))]
+    counts, kept = [("raw", F.coalesce(F.sum("_copies"), F.lit(0))), ("dedup", F.count(F.lit(1)))], F.lit(True)
+    for name, condition in conditions:
+        kept = kept & condition
+        counts.append((name, F.count(F.when(kept, 1))))
+    return step_audit(groups.agg(*[c.alias(n) for n, c in counts]), [n for n, _ in counts])
+
+
+def step_audit(counts: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """step_ord, step, rows_in, rows_out, dropped, retention_pct from one row with the rows after each step."""
+    rows = [F.struct(F.lit(i).alias("step_ord"), F.lit(n).alias("step"),
+                     (F.col(steps[i - 1]) if i else F.lit(None)).cast("long").alias("rows_in"), F.col(n).cast("long").alias("rows_out"))
+            for i, n in enumerate(steps)]
+    out = counts.select(F.explode(F.array(*rows)).alias("_x")).select("_x.*")
+    return out.select("*", (F.col("rows_in") - F.col("rows_out")).alias("dropped"),
+                      F.try_divide(F.col("rows_out") * 100.0, F.col("rows_in")).alias("retention_pct"))
 
 
 def label_sweep(df: DataFrame, thresholds: Sequence[int] = (-2, -3, -5)) -> DataFrame:

@@ -120,11 +120,16 @@ def anomaly_segments(series: DataFrame, key: str = "flight_id", t: str = "t", fl
     return seg.select(key, F.col("segment").cast("int").alias("segment"), "seg_start", "seg_end")
 
 
-def combined_duration(flags: DataFrame, timeline: DataFrame, channels: Sequence[str], key: str = "flight_id",
-                      t: str = "t") -> DataFrame:
-    """Per (flight, channel), steps flagged locally or by the detector timeline, and their percent."""
+def combined_duration(flags: DataFrame, timeline: DataFrame | None, channels: Sequence[str], key: str = "flight_id",
+                      t: str = "t", detector: str = "flag") -> DataFrame:
+    """Per (flight, channel), steps flagged locally or by the detector, and their percent.
+
+    The detector's flag is a column of ``flags`` (``timeline`` None: see ``anomaly.anomaly_timeline(keep=...)``), so that no two
+    row-level tables are joined, or comes from a timeline table by (flight, step).
+    """
     chans = list(channels)
-    j = flags.join(timeline.select(key, t, F.col("flag").alias("_g")), [key, t], "left")
+    j = flags.withColumnRenamed(detector, "_g") if timeline is None else flags.join(
+        timeline.select(key, t, F.col(detector).alias("_g")), [key, t], "left")
     g = j.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(F.greatest(F.col(f"{c}_flag"), F.coalesce(F.col("_g"), F.lit(0)))).alias(f"_d{i}")

@@ -3,8 +3,8 @@
 Confusion counts, log-loss and class weight are one global aggregate.
 ROC-AUC is the rank-sum statistic computed from distinct scores: group by
 score (positives / negatives per value), a running sum of negatives over
-the score order (chunked by score range, so no single-task global window
-over all rows), then one more aggregate.  Ties count one half.
+the score order (chunked between quantiles of the distinct scores, so no
+single-task global window over all rows), then one more aggregate.  Ties count one half.
 """
 
 from __future__ import annotations
@@ -22,13 +22,19 @@ CURRENT_AUC = 0.6973
 CURRENT_RECALL = 0.871
 
 
-def roc_auc(scored: DataFrame, prob: str = "prob", label: str = "label", score_buckets: int = 1 << 16) -> DataFrame:
-    """One row ``auc``; 0.5 when only one class is present.  ``prob`` must lie in [0, 1]; a missing score ranks lowest."""
+def roc_auc(scored: DataFrame, prob: str = "prob", label: str = "label", chunks: int = 256) -> DataFrame:
+    """One row ``auc``; 0.5 when only one class is present.  A missing score ranks lowest.
+
+    Scores may have any range and crowd anywhere in it: the running sum is cut between quantiles of the distinct scores.
+    """
     y = F.col(label) == 1
-    per = scored.groupBy(F.coalesce(F.col(prob), F.lit(-1.0)).alias("_p")).agg(F.count(F.when(y, 1)).alias("_pos"),
-                                                      F.count(F.when(~y, 1)).alias("_neg"))
-    chunk = F.least(F.floor(F.col("_p") * score_buckets), F.lit(score_buckets - 1)).cast("long")
-    cum = chunked.running_sum(per.withColumn("_k", F.lit(0)), "_k", ["_p"], chunk, "_neg", "_cneg")
+    per = scored.groupBy(F.coalesce(F.col(prob).cast("double"), F.lit(float("-inf"))).alias("_p")).agg(
+        F.count(F.when(y, 1)).alias("_pos"), F.count(F.when(~y, 1)).alias("_neg"))
+    steps = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    cuts = per.agg(F.array_distinct(F.percentile_approx("_p", steps, 10 * chunks)).alias("_cuts"))  # one row
+    met = per.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k")
+    chunk = F.size(F.filter("_cuts", lambda x: x < F.col("_p"))).cast("long")
+    cum = chunked.running_sum(met, "_k", ["_p"], chunk, "_neg", "_cneg")
     g = cum.agg(F.sum(F.col("_pos") * (F.col("_cneg") - F.col("_neg") + 0.5 * F.col("_neg"))).alias("_u"),
                 F.sum("_pos").alias("_n1"), F.sum("_neg").alias("_n0"))
     return g.select(F.when((F.col("_n1") > 0) & (F.col("_n0") > 0),

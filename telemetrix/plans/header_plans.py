@@ -53,15 +53,7 @@ def q_null_counts(spark, sf):
 
 
 def q_step_audit(spark, sf):
-    raw = _raw(spark, sf)
-    dd = hd.dedup_keep_first(raw)
-    length = dd.where("flight_length >= 1800")
-    clean = hd.clean_header(raw)
-    no_same = clean.where("before_after <=> 'same' = false")
-    labelled = hd.construct_labels(clean)
-    steps = [("raw", raw), ("dedup", dd), ("length_filter", length), ("drop_same", no_same),
-             ("date_range", labelled)]
-    return rounded(hd.step_audit(steps))
+    return rounded(hd.cleaning_audit(_raw(spark, sf)))
 
 
 def q_label_sweep(spark, sf):

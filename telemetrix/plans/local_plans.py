@@ -41,9 +41,10 @@ def _lineitem_local(spark, sf):
 
 
 def q_combined_duration(spark, sf):
-    rows, base, flags = _lineitem_local(spark, sf)
-    tl = an.anomaly_timeline(rows, base, tb.LINEITEM_CHANNELS, z_threshold=tb.LINEITEM_Z)
-    return rounded(lc.combined_duration(flags, tl, LI_DISPLAY))
+    """Durations need no step order: the detector's flag stays beside the channels, and both views share the rows."""
+    rows, base = ap._detect_inputs(spark, sf)
+    seen = an.anomaly_timeline(rows, base, tb.LINEITEM_CHANNELS, t=None, z_threshold=tb.LINEITEM_Z, keep=LI_DISPLAY)
+    return rounded(lc.combined_duration(lc.local_flags(seen, LI_DISPLAY, z_threshold=LI_LOCAL_Z), None, LI_DISPLAY))
 
 
 def q_worst_anomaly_detail(spark, sf):

@@ -95,3 +95,32 @@ def test_fleet_rank_of_saturated_scores(spark):
     got = {r.flight_id: r.fleet_rank for r in reports.rank_by_probability(df, chunks=16).collect()}
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {f: n + 1 for n, (f, _) in enumerate(want)}
+
+
+def test_auc_of_crowded_scores(spark):
+    """Scores crowded into a sliver of the range, ties, negatives and a missing one, against all pairs."""
+    import random
+    rnd = random.Random(8)
+    rows = [(rnd.randint(0, 1), rnd.choice([None, -5.0, 0.5, *(0.5 + rnd.random() * 1e-9 for _ in range(6))])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "label int, prob double")
+    key = lambda p: float("-inf") if p is None else p
+    pos, neg = [key(p) for y, p in rows if y], [key(p) for y, p in rows if not y]
+    want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    for chunks in (4, 256):
+        assert abs(metrics.roc_auc(df, chunks=chunks).first().auc - want) < 1e-12
+
+
+def test_cleaning_audit_reads_the_rows_once(spark, sf_small):
+    from telemetrix.operators import header
+    from telemetrix.session import executed_plan
+    df = spark.createDataFrame(
+        [(i, a, d, f, "x", None, i) for i, (a, d, f) in enumerate([
+            ("before", -3, 2000.0), ("before", -3, 2000.0), ("same", 0, 2000.0), (None, None, 1800.0), ("after", 31, 5000.0),
+            ("after", 30, 1799.0), ("before", -3, None)])],
+        "master_index int, before_after string, date_diff int, flight_length double, label string, hierarchy string, ingest_order int")
+    got = [tuple(r) for r in header.cleaning_audit(df).orderBy("step_ord").select("step", "rows_in", "rows_out", "dropped").collect()]
+    assert got == [("raw", None, 7, None), ("dedup", 7, 6, 1), ("length_filter", 6, 4, 2), ("drop_same", 4, 3, 1), ("date_range", 3, 2, 1)]
+    assert [r.rows_out for r in header.cleaning_audit(df.limit(0)).collect()] == [0] * 5
+    table = spark.read.parquet(f"{sf_small}/orders.parquet").selectExpr(
+        "o_orderkey as master_index", "o_orderstatus as before_after", "1 as date_diff", "o_totalprice as flight_length", "o_orderkey as ingest_order")
+    assert executed_plan(header.cleaning_audit(table)).count("Scan parquet") == 1
