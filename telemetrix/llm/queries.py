@@ -148,11 +148,17 @@ from d left join out using (doc_id)
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs: the conversation of an even id 2m is taken as chosen, that of 2m + 1 as rejected."""
-    turns = table(spark, sf_dir, "conversations")
-    even = F.col("conv_id") % 2 == 0
-    pairs = turns.where("conv_id is not null").groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(
-        F.max(F.when(even, F.col("conv_id"))).alias("chosen"), F.max(F.when(~even, F.col("conv_id"))).alias("rejected"))
+    """Pairs: each conversation is chosen; rejected is the same with its last assistant turn's text replaced by that of its
+    neighbour's (ids 2m and 2m + 1; nothing, if there is none), so all turns before it are the prompt."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("said"))
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("said").alias("other"))
+    replaced = F.when((F.col("role") == "assistant") & (F.col("turn") == F.col("last")), F.coalesce("other", F.lit(""))).otherwise(F.col("text"))
+    spoilt = turns.join(last.drop("said"), "conv_id", "left").join(other, "conv_id", "left").select(
+        (-F.col("conv_id") - 1).alias("conv_id"), "turn", "role", replaced.alias("text"))
+    pairs = turns.select(F.col("conv_id").alias("pair_id")).distinct().select(
+        "pair_id", F.col("pair_id").alias("chosen"), (-F.col("pair_id") - 1).alias("rejected"))
+    turns = turns.unionByName(spoilt)
     text = {side: F.concat_ws(",", F.transform(f"{side}_spans", lambda s: F.concat_ws(":", s["start"], s["size"])))
             for side in ("chosen", "rejected")}
     return preferences(turns, pairs).select(
@@ -161,22 +167,28 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-with t as (
+with l as (
+  select conv_id, max(turn) as last, max_by(text, turn) as said from conversations where role = 'assistant' and conv_id is not null group by conv_id
+), u as (
+  select conv_id, turn, role, text from conversations where conv_id is not null
+  union all
+  select -1 - c.conv_id, c.turn, c.role, case when c.role = 'assistant' and c.turn = l.last then coalesce(n.said, '') else c.text end
+  from conversations c left join l on l.conv_id = c.conv_id left join l n on n.conv_id = xor(c.conv_id, 1) where c.conv_id is not null
+), t as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
-         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k
-  from conversations where conv_id is not null
-), p as (select distinct cast(floor(conv_id / 2) as bigint) as pair_id from t
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k from u
+), p as (select distinct conv_id as pair_id from conversations where conv_id is not null
 ), both_ as (
   select p.pair_id, a.k, a.role = b.role and a.text = b.text as same
-  from p join t a on a.conv_id = 2 * p.pair_id join t b on b.conv_id = 2 * p.pair_id + 1 and a.k = b.k
+  from p join t a on a.conv_id = p.pair_id join t b on b.conv_id = -1 - p.pair_id and a.k = b.k
 ), n as (
   select pair_id, coalesce(min(case when not same then k end) - 1, max(k)) as n_common from both_ group by pair_id
 ), c as (select pair_id, coalesce(n_common, 0) as n_common from p left join n using (pair_id)
 ), r as (
-  select c.pair_id, t.conv_id % 2 as side, t.k, t.role, t.text, c.n_common,
+  select c.pair_id, case when t.conv_id < 0 then 1 else 0 end as side, t.k, t.role, t.text, c.n_common,
          coalesce(sum(length(role) + length(text) + 13) over (
            partition by c.pair_id, t.conv_id, t.k > c.n_common order by t.k rows between unbounded preceding and 1 preceding), 0) as pos
-  from c join t on t.conv_id in (2 * c.pair_id, 2 * c.pair_id + 1)
+  from c join t on t.conv_id in (c.pair_id, -1 - c.pair_id)
 ), s as (
   select pair_id, side,
     string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' order by k) filter (where k <= n_common) as prompt,
@@ -295,9 +307,12 @@ with recursive named as (
 ), numbered as (
   select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as k from dealt
 ), judged as (
-  select *, not regexp_matches(text, '[^ 	-]') as blank,
+  select *, not regexp_matches(text, '[^ 	-
+]') as blank,
          row_number() over (partition by conv_id, role, text order by k) > 1 as again,
-         regexp_matches(text, '[^ 	-.!?][ 	-]*\z') as cut,
+         regexp_matches(text, '[^ 	-
+.!?][ 	-
+]*\z') as cut,
          substr(role, 1, 1) as i, lag(substr(role, 1, 1)) over (partition by conv_id order by k) as i0 from numbered
 ), rows_ as (
   select conv_id, k, turn, role, text, i, i0, blank, not blank and again as duplicate, not blank and not again and cut as truncated,
