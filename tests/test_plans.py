@@ -3,7 +3,9 @@
 import re
 
 import __spark_entry__ as entry
+from telemetrix.operators import timeseries as ts
 from telemetrix.session import executed_plan
+from telemetrix.sources import tables as tb
 
 
 def _plan(spark, name, sf):
@@ -11,7 +13,9 @@ def _plan(spark, name, sf):
 
 
 def test_preparation_windows_are_chunked_and_scan_is_pruned(spark, sf_small):
-    plan = _plan(spark, "e_cut_pad", sf_small)
+    # flights longer than the bound on a chunk's rows
+    plan = executed_plan(ts.prepare_flights(tb.lineitem_sensor(spark, sf_small, inject_gaps=True), tb.LINEITEM_CHANNELS, tb.LINEITEM_ORDER,
+                                            None, tb.LINEITEM_CLIP, tb.LINEITEM_DERIVE, n_steps=tb.LINEITEM_N, max_rows=100))
     windows = [ln for ln in plan.splitlines() if re.search(r"\bWindow \[", ln)]
     assert windows, plan
     # row-level windows partition by (flight, chunk); only the chunk-summary windows use the flight alone
