@@ -5,10 +5,10 @@ Both sides are cut into words; every span of ten words holds at least one select
 shares a selected fingerprint. Fingerprints of documents and benchmark are joined on their hash, and each
 hit is extended along its alignment, comparing the words themselves.
 
-Scale: the benchmark travels as broadcast blocks of at most ``block_bytes`` of text each (a block is cut
-by the running size of the items, so the bound holds for any benchmark; an item above it is a block of
-its own). One block needs one pass over the documents without any shuffle; more blocks are further
-passes that carry each document's hits along, with the lineage cut between them.
+Scale: the benchmark passes through the driver, block by block, and is broadcast. Items are dealt by hash to blocks that
+hold half of ``block_bytes`` of text on average; a very long item makes its block as much larger. One block needs one
+pass over the documents without any shuffle; more blocks are further passes that carry each document's hits along,
+with the lineage cut between them.
 
 Edge cases: null and empty texts have no words. Items without words or with a null id take no part.
 Repeated items and documents are each judged; ids that occur on several items count once. Extra columns

@@ -20,7 +20,9 @@ all of its occurrences; equal strings of a block are sent once in any case. Noth
 
 Edge cases: null texts are empty. Documents of one id are ordered by their text, equal rows one after the
 other (so all but one are removed as copies). Rows without an id come before all others, ordered by
-a hash of the text and the text. Texts below 100 bytes are kept whole. Extra columns are carried by ``remove_repeats``.
+a hash of the text and the text. Ids are whole numbers (others are cast, and fail if they are none). Texts below 100
+bytes are kept whole, texts of any length are taken whole; no rows give no rows. Extra columns are carried by
+``remove_repeats``.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Edge cases: vectors that are null or hold a null, NaN or infinite component, and
 no part. Vectors of different lengths meet on their common dimensions. Empty vectors score 0. Rows that
 repeat an id are candidates each; a query never meets rows of its own id; queries that repeat an id
 with the same vector count once, with different vectors each gets its own ranks. Weights of any size are exact: where
-sums could leave a long they are made of Python's integers, and a score among the k best that does not fit a long raises.
+sums could leave a long they are made of Python's integers, and a score among the k best that does not fit a long raises,
+as does a component above 7e305, of which 256 times is no double. No rows give no rows.
 """
 
 from __future__ import annotations
