@@ -1,4 +1,4 @@
-"""Bounded, documented samples of labelled documents for fitting the classifiers."""
+"""Labelled documents for fitting the classifiers, bounded, documented samples of them, and calibration."""
 
 from __future__ import annotations
 
@@ -25,21 +25,25 @@ def class_counts(known: DataFrame) -> tuple[int, int]:
     return found.get(0, 0), found.get(1, 0)
 
 
+def split_number(id_: Column) -> Column:
+    """A number of an id, independent of the choice of ``sample``, for splitting what a classifier learns from."""
+    return F.pmod(F.xxhash64(id_.cast("string"), F.lit("split")), F.lit(RANGE))
+
+
 def sample(known: DataFrame, counts: tuple[int, int], rows: tuple[int, int]) -> DataFrame:
     """About ``rows`` labelled ids of the classes 0 and 1 (at most four times that), chosen by a hash of the id.
 
-    Adds u, a number that is independent of the choice, for splitting the sample.
+    Adds u, the ``split_number``.
     """
     h = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fit")), F.lit(RANGE))
-    u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("split")), F.lit(RANGE))
     most = [int(RANGE * min(1.0, r / max(n, 1))) for r, n in zip(rows, counts)]
     return (known.where(h < F.when(F.col("y") == 1, F.lit(most[1])).otherwise(F.lit(most[0])))
-            .withColumn("u", u).limit(4 * sum(rows)))
+            .withColumn("u", split_number(F.col("id"))).limit(4 * sum(rows)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
-    """Slope and intercept of a one-variable logistic fit by Newton steps, on a standardised variable."""
-    mean, spread = float(np.average(x, weights=weight)), float(x.std()) or 1.0
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of a one-variable logistic fit by Newton steps, on a standardised variable (``n`` rows at each place)."""
+    mean, spread = float(np.average(x, weights=weight)), float(np.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n))) or 1.0
     design = np.column_stack([(x - mean) / spread, np.ones(len(x))])
     beta, penalty = np.zeros(2), np.diag([ridge * weight.sum(), 1e-9])
     for _ in range(50):
@@ -68,9 +72,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 class Calibration:
     """Raw scores to probabilities: the isotonic fit, with a little of the logistic one to keep the order strict."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, share: float = 0.05):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, share: float = 0.05, n: np.ndarray | None = None):
         self.share, self.places, self.values = share, *isotonic(x, y, weight)
-        self.slope, self.intercept = logistic(x, y, weight)
+        self.slope, self.intercept = logistic(x, y, weight, n=n)
 
     def __call__(self, raw: np.ndarray) -> np.ndarray:
         smooth = 1 / (1 + np.exp(-np.clip(self.slope * raw + self.intercept, -500, 500)))
@@ -87,9 +91,10 @@ class Constant:
         return np.full(len(raw), self.value)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, counts: tuple[int, int]):
-    """Calibration on a sample weighted back to the class frequencies ``counts``."""
+def calibrate(x: np.ndarray, y: np.ndarray, counts: tuple[int, int], n: np.ndarray | None = None):
+    """Calibration on rows weighted back to the class frequencies ``counts``; ``n`` rows of each place and class."""
+    n = np.ones(len(y), np.int64) if n is None else n
     if not len(y) or len(set(y.tolist())) < 2:
         return Constant(counts)
-    share = {c: counts[c] / (y == c).sum() for c in (0, 1)}
-    return Calibration(x, y, np.where(y == 1, share[1], share[0]) / sum(counts) * len(y))
+    share = {c: counts[c] / n[y == c].sum() for c in (0, 1)}
+    return Calibration(x, y, n * np.where(y == 1, share[1], share[0]) / sum(counts) * n.sum(), n=n)

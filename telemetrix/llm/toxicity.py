@@ -10,10 +10,11 @@ without such signs has a single path, itself. The restored words are then scored
 strongest evidence of its lexicon entries (the word and its beginnings of 4 to 9 letters), and the sum over the distinct
 words of a text, calibrated, is the probability of label 1.
 
-Fit: on a bounded sample of labelled documents, about ``SAMPLE_ROWS`` of either class; three quarters give the character
-model and the lexicon (entry weights from the lower confidence bound of the share of toxic documents), one quarter the
-calibration, weighted back to the class frequencies. All documents are scored as whole texts in one pass without a
-shuffle. Scores of distinct words are kept per task, at most ``KEPT`` of them.
+Fit: on all labelled documents; three quarters, by a hash of the id, give the character model and the lexicon (entry
+weights from the lower confidence bound of the share of toxic documents), one quarter the calibration. Tasks count the
+entries of their texts, at most about ``HELD`` at a time, and a shuffle adds them up; the driver gets the letters, the
+lexicon, and how often each distinct sum of evidence occurs. All documents are scored as whole texts in one pass without a
+shuffle. What is known of tokens and words is kept per task, for at most ``KEPT`` of each.
 
 Edge cases: null and empty texts have no words and the score of a text without evidence. Without labels of both classes
 every text gets (n1 + 1) / (n + 2). Repeated rows are scored each; extra columns are ignored.
@@ -33,11 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetrix.llm.common import give_back, parts, pick, unwrap, wrap
-from telemetrix.llm.labels import Constant, calibrate, class_counts, labelled, sample
+from telemetrix.llm.labels import Constant, calibrate, class_counts, labelled, split_number
 
-SAMPLE_ROWS = (8000, 3000)  # of label 0 and label 1
 THRESHOLD = 0.7
 KEPT = 100_000
+HELD = 400_000  # words and entries counted by a task before it sends them
 SETTLE = 64  # signs of a lattice after which the part that all paths share is written out
 CONFIDENCE = 2.0
 LEAST_SHARE = 0.3
@@ -55,6 +56,7 @@ ODD = re.compile(r"[\d@$!|+€£¡_]|[^\w]|(.)\1\1")
 LETTER = re.compile(r"[^\W\d_]")
 READABLE = re.compile(r"[^\W\d_]|[%s]" % re.escape("".join(LOOKALIKE)))  # a letter or what may stand for one
 DOUBLE = re.compile(r"(.)\1")
+SAME = re.compile(r"(.)\1+")
 
 
 @dataclass
@@ -76,13 +78,17 @@ class Letters:
 
 def letter_counts(words: Counter) -> Counter:
     """Counts of letters after contexts of up to two letters; ``\\0`` after a context counts the context."""
-    out: Counter = Counter()
+    windows: dict[str, int] = {}  # a letter after its longest context
+    get = windows.get
     for word, n in words.items():
         marked = "^" + word + "^"
-        for i in range(1, len(marked)):
-            for context in {"", marked[i - 1:i], marked[max(0, i - 2):i]}:
-                out[context + marked[i]] += n
-                out[context + "\0"] += n
+        for window in (marked[:2], *[marked[i:i + 3] for i in range(len(word))]):
+            windows[window] = get(window, 0) + n
+    out: Counter = Counter()
+    for window, n in windows.items():
+        for context in {"", window[-2:-1], window[:-1]}:
+            out[context + window[-1]] += n
+            out[context + "\0"] += n
     return out
 
 
@@ -182,26 +188,49 @@ def trimmed(token: str) -> str:
     return EDGE.sub("", token)
 
 
+def core(token: str) -> tuple[str, bool]:
+    """What a token of a lower-cased text is read from (nothing, if no sign of it can be a letter), and whether that is suspicious."""
+    if token.isalpha() and (not DOUBLE.search(token) or not ODD.search(token)):
+        return token, False
+    found = trimmed(token)
+    return (found, ODD.search(found) is not None) if READABLE.search(found) else ("", False)
+
+
+def spread(low: str, tokens: list[str]) -> set[str]:
+    """Distinct runs of single signs in a lower-cased text with these tokens; wide gaps part words or letters."""
+    if b"\1\1\1" not in bytes(map((1).__eq__, map(len, tokens))):  # either pattern takes three such tokens
+        return set()
+    odd = {" ".join(m.group().split()) for p in (SPACED, SPREAD) for m in p.finditer(low)}
+    return {p for p in odd if READABLE.search(p)}
+
+
 def pieces(text: str | None) -> tuple[set[str], set[str]]:
     """Distinct plain words and distinct suspicious pieces of a text."""
     if not text:
         return set(), set()
     low = text.lower()
-    odd = {" ".join(m.group().split()) for p in (SPACED, SPREAD) for m in p.finditer(low)}  # wide gaps part words or letters
-    plain = set()
-    for token in set(low.split()):
-        if token.isalpha() and not ODD.search(token):
-            plain.add(token)
-            continue
-        core = trimmed(token)
-        if READABLE.search(core):
-            (odd if ODD.search(core) else plain).add(core)
-    return plain, {p for p in odd if READABLE.search(p)}
+    tokens = low.split()
+    found = {core(token) for token in set(tokens)} - {("", False)}
+    return {p for p, odd in found if not odd}, {p for p, odd in found if odd} | spread(low, tokens)
+
+
+class Kept(dict):
+    """What a function gives for each key, kept for at most ``KEPT`` keys."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key: str):
+        found = self.make(key)
+        if len(self) >= KEPT:
+            self.clear()
+        self[key] = found
+        return found
 
 
 def entries(word: str) -> list[str]:
     """Lexicon entries of a word: itself and its beginnings."""
-    return [word, *(word[:k] + "-" for k in range(4, 10) if len(word) > k)]
+    return [word, *[word[:k] + "-" for k in range(4, min(10, len(word)))]]
 
 
 @dataclass
@@ -216,28 +245,48 @@ class Evidence:
 
     def __init__(self, model: Model):
         self.letters, self.lexicon = Letters(model.letters), model.lexicon
-        self.words: dict[str, float] = {}
+        self.starts = {e[:4] for e in self.lexicon if e[-1:] == "-"}  # of the beginnings of words
+        self.single = {SAME.sub(r"\1", e) for e in self.lexicon}
+        self.heads = {e.rstrip("-")[:2] for e in self.single}
+        self.evident = Kept(self.evident_words)
         self.decoded: dict[str, list[str]] = {}
 
     def word(self, word: str) -> float:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= KEPT:
-                self.words.clear()
-            get = self.lexicon.get
-            found = self.words[word] = max([get(e, 0.0) for e in entries(word)])
-        return found
+        if word[:4] in self.starts:
+            return max([self.lexicon.get(e, 0.0) for e in entries(word)])
+        return self.lexicon.get(word, 0.0)
+
+    def may_read(self, word: str) -> bool:
+        """Whether an entry equals a beginning of the plain word, or all of it, apart from repeats of letters."""
+        word = SAME.sub(r"\1", word)
+        if word[:2] not in self.heads and word[:1] not in self.heads:
+            return False
+        return word in self.single or any([word[:k] + "-" in self.single for k in range(1, 10)])
+
+    def evident_words(self, token: str) -> tuple[str, ...]:
+        """The words of a token that are evidence."""
+        if token.isalpha() and not DOUBLE.search(token):  # its only reading, as most are
+            return (token,) if self.word(token) else ()
+        return tuple(filter(self.word, self.spelled(*core(token))))
+
+    def spelled(self, piece: str, odd: bool) -> list[str]:
+        """The words of a plain word or a suspicious piece."""
+        if odd:
+            return self.reading(piece)
+        if piece and piece not in self.lexicon and DOUBLE.search(piece) and self.may_read(piece):
+            words = self.reading(piece)  # a repeat or the spelling of the word: whichever is evidence
+            if max(map(self.word, words), default=0.0) > self.word(piece):
+                return words
+        return [piece] if piece else []
 
     def restored(self, text: str | None) -> set[str]:
         """Distinct words of the restored text."""
         plain, odd = pieces(text)
-        doubled = {w for w in plain if w not in self.lexicon and DOUBLE.search(w)}
-        found = plain - doubled
+        found: set[str] = set()
+        for piece in plain:
+            found.update(self.spelled(piece, False))
         for piece in odd:
             found.update(self.reading(piece))
-        for word in doubled:  # a repeat or the spelling of the word: whichever is evidence
-            words = self.reading(word)
-            found.update(words if max(map(self.word, words), default=0.0) > self.word(word) else [word])
         return found
 
     def reading(self, piece: str) -> list[str]:
@@ -250,38 +299,43 @@ class Evidence:
         return words
 
     def raw(self, text: str | None) -> float:
-        return sum(sorted(filter(None, map(self.word, self.restored(text)))))
+        """Sum over the evident words of the restored text; what a token holds of them is looked up by token."""
+        if not text:
+            return 0.0
+        low = text.lower()
+        tokens = low.split()
+        found = set().union(*map(self.evident.__getitem__, set(tokens)))
+        for piece in spread(low, tokens):
+            found.update(filter(self.word, self.reading(piece)))
+        return sum(sorted(map(self.word, found)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text",
-        label: str = "toxic", sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Model:
+        label: str = "toxic") -> Model:
     known = labelled(labels, doc_id, label, learn)
     counts = class_counts(known)
     if not min(counts):
         return Model({}, {}, Constant(counts))
-    chosen = F.broadcast(sample(known, counts, sample_rows))  # bounded: short rows
-    rows = (pick(docs, id=doc_id, text=text).join(chosen, "id")
-            .select("y", (F.col("u") % 4).alias("part"), "text"))
-    learned = rows.where("part > 0")
+    rows = pick(docs, id=doc_id, text=text).where("id is not null").where(learn)  # before texts are moved to their labels
+    part = split_number(F.col("id")) % 4
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
+        plain = Kept(lambda token: tuple(piece for piece, odd in [core(token)] if piece and not odd))
+        spelled = Kept(entries)
         tokens: Counter = Counter()
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in parts(batches):
             for y, body in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
-                plain, _ = pieces(body)
-                tokens.update(plain)
-                seen[y].update({e for w in plain for e in entries(w)})
-        shaped = [("letters", k, n, 0) for k, n in letter_counts(tokens).items()]
-        shaped += [("entry", e, seen[0][e], seen[1][e]) for e in seen[1]]
-        shaped += [("entry", e, n, 0) for e, n in seen[0].items() if e not in seen[1]]
-        columns = list(zip(*shaped)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()),
-             pa.array(columns[3], pa.int64())], ["kind", "key", "clean", "toxic"])
-
-    tally = (learned.mapInArrow(count, "kind string, key string, clean long, toxic long")
+                words = set().union(*map(plain.__getitem__, set((body or "").lower().split())))
+                tokens.update(words)
+                seen[int(y)].update(set().union(*map(spelled.__getitem__, words)))
+                if len(tokens) + len(seen[0]) + len(seen[1]) >= HELD:
+                    yield _counted(tokens, seen)
+        yield _counted(tokens, seen)
+
+    tally = (rows.where(part > 0).join(known.hint("shuffle_hash"), "id").select("y", "text")  # as many labels as texts: never broadcast
+             .mapInArrow(count, "kind string, key string, clean long, toxic long")
              .groupBy("kind", "key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
              .where("kind = 'letters' or toxic >= 3 and toxic > clean").collect())
     letters = {r.key: r.clean for r in tally if r.kind == "letters"}
@@ -294,13 +348,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
         evidence = Evidence(model)
         for batch in parts(batches):
             raw = [evidence.raw(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(raw, pa.float64())], ["y", "x"])
-
-    measured = rows.where("part = 0").mapInArrow(measure, "y int, x double").collect()
-    model.probability = calibrate(np.array([r.x for r in measured]), np.array([r.y for r in measured]), counts)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.float64())], ["id", "x"])
+
+    found = rows.where(part == 0)
+    shape = found.select("id", F.lit(0.0).alias("x")).schema
+    measured = (found.mapInArrow(measure, shape).join(known, "id").groupBy("x", "y").agg(F.count("*").alias("n"))
+                .orderBy("x", "y").toArrow())
+    x, y, n = (measured.column(c).to_numpy() for c in ("x", "y", "n"))
+    model.probability = calibrate(x, y, counts, n)
     return model
 
 
+def _counted(tokens: Counter, seen: tuple[Counter, Counter]) -> pa.RecordBatch:
+    """Counts of letters and of entries as rows; empties the counters."""
+    letters, keys = letter_counts(tokens), [*(seen[0].keys() | seen[1].keys())]
+    first = len(letters)
+    out = pa.RecordBatch.from_arrays(
+        [pa.array(["letters"] * first + ["entry"] * len(keys), pa.string()), pa.array([*letters, *keys], pa.string()),
+         pa.array([*letters.values(), *[seen[0].get(k, 0) for k in keys]], pa.int64()),
+         pa.array([0] * first + [*[seen[1].get(k, 0) for k in keys]], pa.int64())], ["kind", "key", "clean", "toxic"])
+    for counter in (tokens, *seen):
+        counter.clear()
+    return out
+
+
 def lower_bound(toxic: int, clean: int) -> float:
     """Wilson lower bound of the share of toxic documents."""
     n, z2 = toxic + clean, CONFIDENCE ** 2

@@ -81,3 +81,22 @@ def test_doubles_lookalikes_only_and_any_white_space(small, hidden, word):
 def test_doubled_letters_of_plain_words_stay(small):
     small = toxicity.Model(small.letters, {**small.lexicon, "asses": 1.0})
     assert toxicity.Evidence(small).restored("Asses thiing onn ass 12 455") >= {"asses", "thiing", "onn", "ass"}
+
+
+def test_learns_from_all_labelled_documents(spark, monkeypatch):
+    """A word of few toxic documents among many counts, wherever they lie; tasks may send their counts in parts."""
+    n = 24_000
+    rare = (F.col("doc_id") % 2400 == 1)
+    docs = spark.range(n).toDF("doc_id").withColumn("text", F.concat(F.lit("the thing "), F.when(
+        rare, "zonkish").when(F.col("doc_id") % 2 == 1, "idiot").otherwise("garden")))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    learnt = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("split")), F.lit(4)) > 0)
+    seen = {r.text.split()[-1]: r["count"] for r in learnt.groupBy("text").count().collect()}
+    model = toxicity.fit(docs, labels, F.lit(True))
+    for word, times in seen.items():
+        expected = 0.0 if word == "garden" else -np.log(1 - toxicity.lower_bound(times, 0))
+        assert toxicity.Evidence(model).word(word) == pytest.approx(expected)
+    assert model.letters["\0"] == sum(seen.values()) * len("the^thing^") + sum((len(w) + 1) * k for w, k in seen.items())
+    monkeypatch.setattr(toxicity, "HELD", 20)
+    again = toxicity.fit(docs, labels, F.lit(True))
+    assert (again.letters, again.lexicon) == (model.letters, model.lexicon)
