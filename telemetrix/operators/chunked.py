@@ -104,16 +104,27 @@ def row_chunks(df: DataFrame, key: str, order: Sequence[str], max_rows: int = MA
     """Adds ``_chunk``: numbers along ``order`` within the key, each of about ``max_rows`` rows and, but for a chance of one in
     a billion, none of twice as many, however the rows are spread over keys, time and tied values.
 
-    Rows equal in all order columns share a chunk (``order`` should be a total order).  The edges are settled first (a job over the
-    key and order columns).  Without any, no key is long and the chunk is the constant 0; else each row looks up
+    Rows equal in all order columns share a chunk (``order`` should be a total order).  The edges are settled first (:func:`_edges`).
+    Without any, no key is long and the chunk is the constant 0; else each row looks up
     its place among its key's edges by a binary search.  The edges, one in ``max_rows`` rows, are broadcast while they
     are below the session's limit and meet the rows by a skew-cut join beyond.
     """
+    found = _edges(df, key, order, max_rows)
+    return df.withColumn(CHUNK, F.lit(0).cast("long")) if found is None else _placed(df, found, key, order)
+
+
+def _edges(df: DataFrame, key: str, order: Sequence[str], max_rows: int) -> DataFrame | None:
+    """The settled edges; None where no key has more than ``max_rows`` rows, which a count of the key column alone tells."""
+    longest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if (longest or 0) <= max_rows:
+        return None
     found = settled(chunk_edges(df, key, order, max_rows), "edges")
+    return None if found.isEmpty() else found
+
+
+def _placed(df: DataFrame, found: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     per_key = found.groupBy(key).agg(F.sort_array(F.collect_list("edge")).alias("_edges"),
                                      F.count(F.lit(1)).alias("_cuts"))
-    if found.isEmpty():
-        return df.withColumn(CHUNK, F.lit(0).cast("long"))
     small = broadcast_if_small(found, threshold_bytes(df.sparkSession))
     if small is not found:
         e = per_key.select(F.col(key).alias("_ekey"), "_edges")
@@ -127,10 +138,19 @@ def row_chunks(df: DataFrame, key: str, order: Sequence[str], max_rows: int = MA
     return met.withColumn(CHUNK, F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(place).cast("long")).drop("_edges", "_cuts")
 
 
+def _names(order: Sequence) -> list[str]:
+    return [o for o in order if isinstance(o, str)]
+
+
 def _chunked(df: DataFrame, key: str, order: Sequence, chunk: Column | None, max_rows: int) -> DataFrame:
     if chunk is not None:
         return df.withColumn(CHUNK, _or_last(chunk))
-    return row_chunks(df, key, [o for o in order if isinstance(o, str)], max_rows)
+    return row_chunks(df, key, _names(order), max_rows)
+
+
+def _all_rows(w) -> Column:
+    """Rows of the window's partition, over the sort that its other functions use."""
+    return F.count(F.lit(1)).over(w.rowsBetween(_UNB, _UNF)).cast("int")
 
 
 def dense_index(df: DataFrame, key: str, order: Sequence, chunk: Column | None = None,
@@ -143,11 +163,25 @@ def dense_index(df: DataFrame, key: str, order: Sequence, chunk: Column | None =
     about ``max_rows`` rows (:func:`row_chunks`; ``order`` then holds column
     names).  Optionally adds the key's total row count as ``length_col``.
     With ``keep_chunk`` the chunk column stays (as ``_chunk``).
+
+    Where no key is long, a key is one window: one shuffle and one sort, without a chunk table.  Else the chunk table counts
+    rows on the map side, so the rows are shuffled once as well.
     """
-    base = keyed(_chunked(df, key, order, chunk, max_rows), key)
+    last = ([length_col] if length_col else []) + [out]
+    names = [*([CHUNK] if keep_chunk else []), *[c for c in df.columns if c not in (CHUNK, *last)], *last]
+    if chunk is None:
+        edges = _edges(df, key, _names(order), max_rows)
+        if edges is None:
+            w = Window.partitionBy(key).orderBy(*_last(order))
+            return df.select(*[c for c in df.columns if c not in (CHUNK, *last)], F.lit(0).cast("long").alias(CHUNK),
+                             *([_all_rows(w).alias(length_col)] if length_col else []),
+                             (F.row_number().over(w) - 1).cast("int").alias(out)).select(*names)
+        base = keyed(_placed(df, edges, key, _names(order)), key)
+    else:
+        base = keyed(df.withColumn(CHUNK, _or_last(chunk)), key)
     local = base.withColumn("_rn", F.row_number().over(
         Window.partitionBy(*KEYS, CHUNK).orderBy(*_last(order))))
-    sizes = local.groupBy(*KEYS, CHUNK).agg(F.max("_rn").alias("_n"))
+    sizes = base.groupBy(*KEYS, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     wk = Window.partitionBy(*KEYS).orderBy(CHUNK)
     offs_cols = [*KEYS, CHUNK,
                  F.coalesce(F.sum("_n").over(wk.rowsBetween(_UNB, -1)), F.lit(0)).alias("_off")]
@@ -156,8 +190,7 @@ def dense_index(df: DataFrame, key: str, order: Sequence, chunk: Column | None =
     offs = sizes.select(*offs_cols)
     res = (local.join(offs, [*KEYS, CHUNK])
            .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("int")))
-    last = ([length_col] if length_col else []) + [out]
-    return res.select(*([CHUNK] if keep_chunk else []), *[c for c in df.columns if c not in (CHUNK, *last)], *last)
+    return res.select(*names)
 
 
 def fill_forward_backward(df: DataFrame, key: str, t: str, chunk: Column | None,
@@ -201,11 +234,11 @@ def _carried(rows: DataFrame, at: str, cols: Sequence[str], *more: Column) -> Da
         *[F.last(f"_f_{i}", True).over(wr.rowsBetween(_UNB, -1)).alias(f"_co_{i}") for i in n])
 
 
-def _filled(df: DataFrame, cols: Sequence[str], default: float | None) -> DataFrame:
+def _filled(df: DataFrame, cols: Sequence[str], default: float | None, parts: Sequence[str] = ("ff", "ci", "f", "co")) -> DataFrame:
     """A value at or before in the chunk, one of an earlier chunk, and else the next one: where nothing stands at or before a
     row, the next value in the chunk is the first one in it, so the backward fill needs no window of its own."""
     rest = [] if default is None else [F.lit(float(default))]
-    return df.withColumns({c: F.coalesce(*[F.col(f"_{p}_{i}") for p in ("ff", "ci", "f", "co")], *rest) for i, c in enumerate(cols)})
+    return df.withColumns({c: F.coalesce(*[F.col(f"_{p}_{i}") for p in parts], *rest) for i, c in enumerate(cols)})
 
 
 def running_sum(df: DataFrame, key: str, order: Sequence, chunk: Column | None, value: Column | str,
@@ -252,19 +285,41 @@ def ordered_fill(df: DataFrame, key: str, order: Sequence[str], chunk: Column |
 
     ``order``: ascending column names (a total order per key); ``chunk`` as for :func:`dense_index`;
     ``values``: optional row-wise expressions applied to the channels before the fill (for instance
-    clipping).  The rows are shuffled once by (key, chunk); the chunk summary (row count, last and
-    first non-null value per channel) reads the same exchange and only needs the row number, so the fill
-    itself runs once, over one sort.
+    clipping).  Where no key is long, a key is one window, and the rows are shuffled and sorted once.  Else they are cut into
+    chunks and shuffled once by (key, chunk); the chunk summary (row count, last and first non-null value per channel) reads the
+    same exchange, for which both sides use the same columns (the key is taken from ``KEYS`` again).
 
     Returns (rows with ``out`` and ``length_col``, one row per key with its length).
     """
     cols = list(cols)
-    base = keyed(_chunked(df, key, order, chunk, max_rows), key).withColumns(values or {})
     ordered = _last(order)
+    names = [c for c in df.columns if c not in (CHUNK, out, length_col)]
+    edges = None
+    if chunk is None:
+        edges = _edges(df, key, _names(order), max_rows)
+        if edges is None:
+            return _fill_whole(df.select(*names).withColumns(values or {}), key, ordered, cols, default, out, length_col)
+        placed = _placed(df, edges, key, _names(order))
+    else:
+        placed = df.withColumn(CHUNK, _or_last(chunk))
+    base = keyed(placed, key).withColumns(values or {})
+    base = base.select(*KEYS, CHUNK, *[c for c in names if c != key])
     number = F.row_number().over(Window.partitionBy(*KEYS, CHUNK).orderBy(*ordered)).alias("_rn")
     carry = _carried(base.select("*", number), "_rn", cols, F.max("_rn").alias("_n"))
     j = _forward(base, ordered, cols, number).join(carry, [*KEYS, CHUNK]).withColumns({
         out: (F.col("_off") + F.col("_rn") - 1).cast("int"), length_col: F.col("_len")})
-    rows = _filled(j, cols, default).select(*[c for c in df.columns if c not in (CHUNK, out, length_col)], out, length_col)
+    filled = _filled(j, cols, default)
+    rows = filled.select(*[key_again(filled, key) if c == key else c for c in names], out, length_col)
     lengths = carry.groupBy(*KEYS).agg(F.max("_len").alias(length_col))
     return rows, lengths.select(key_again(lengths, key), length_col)
+
+
+def _fill_whole(df: DataFrame, key: str, ordered: list[Column], cols: Sequence[str], default: float | None, out: str,
+                length_col: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`ordered_fill` where each key is one window; the lengths are a count of the key column."""
+    w = Window.partitionBy(key).orderBy(*ordered)
+    j = df.select("*", (F.row_number().over(w) - 1).cast("int").alias(out), _all_rows(w).alias(length_col),
+                  *[F.last(c, True).over(w.rowsBetween(_UNB, 0)).alias(f"_ff_{i}") for i, c in enumerate(cols)],
+                  *[F.first(c, True).over(w.rowsBetween(_UNB, _UNF)).alias(f"_f_{i}") for i, c in enumerate(cols)])
+    rows = _filled(j, cols, default, ("ff", "f")).select(*df.columns, out, length_col)
+    return rows, df.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias(length_col))

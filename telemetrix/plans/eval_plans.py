@@ -19,10 +19,10 @@ from .common import rounded
 CH = spl.NORM_CHANNELS
 
 
-def _psi(spark, sf):
+def _psi(spark, sf, p=None):
     # PSI is invariant under the per-channel affine z-score, so the prepared values are
     # compared directly; both engines then bin bit-identical inputs.
-    z = spl.prepared_with_split(spark, sf)
+    z = spl.prepared_with_split(spark, sf) if p is None else p
     sides = dr.tag_split_sides(z, CH)
     return dr.psi_by_channel(sides, CH)
 

@@ -37,14 +37,14 @@ def _flights(spark, sf):
     return sn.stratified_split(tb.supplier_labels(spark, sf), "flight_id", "label")
 
 
-def _model(spark, sf):
-    """Normalised rows, pooled features, fitted coefficients and scores.
+def _model(spark, sf, p=None):
+    """Normalised rows (of ``p``, or prepared here), pooled features, fitted coefficients and scores.
 
     The coefficient and score tables (one row per channel / flight) are
     written once, so the report branches that all read them do not re-run
     the feature -> fit -> score chain.
     """
-    z = spl.normalised(spark, sf)
+    z = spl.normalised(spark, sf, p)
     feats = sc.pooled_features(z, CH)
     train = _flights(spark, sf).where("split = 'train'")
     coef = materialize(sc.fit_centroid_scorer(feats, train, CH), "coef")
@@ -216,8 +216,8 @@ def q_trained_attribution(spark, sf):
     return rounded(sc.channel_importance(z, tr.score(feats, model), tr.coefficients(spark, model), CH).drop("idx"))
 
 
-def _test_scored(spark, sf):
-    _, _, _, scores = _model(spark, sf)
+def _test_scored(spark, sf, p=None):
+    _, _, _, scores = _model(spark, sf, p)
     test = _flights(spark, sf).where("split = 'test'").select("flight_id", "label")
     return scores.join(test, "flight_id").select("flight_id", "label", "logit", F.col("probability").alias("prob"))
 
@@ -228,11 +228,12 @@ def q_model_evaluation(spark, sf):
 
 def q_retraining_run(spark, sf):
     from . import eval_plans as ep
-    drift = dr.drift_report(ep._psi(spark, sf))
+    p = spl.prepared_with_split(spark, sf)  # drift and evaluation read the same prepared flights
+    drift = dr.drift_report(ep._psi(spark, sf, p))
     fl = _flights(spark, sf)
     n_train = fl.where("split = 'train'").agg(F.count(F.lit(1)).alias("n"))
     n_test = fl.where("split = 'test'").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(mt.retraining_run(drift, mt.evaluate(_test_scored(spark, sf)), n_train, n_test))
+    return rounded(mt.retraining_run(drift, mt.evaluate(_test_scored(spark, sf, p)), n_train, n_test))
 
 
 QUERIES = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..operators import header as hd
 from ..operators import split_norm as sn
-from ..functions.joins import broadcast_if_small
+from ..functions.joins import broadcast_if_small, settled
 from ..session import materialize
 from ..sources import tables as tb
 from . import series_plans as sp
@@ -47,8 +47,12 @@ def q_head_n(spark, sf):
 
 
 def prepared_with_split(spark, sf):
-    """Prepared flights with label and split, written once as a table (several branches read it)."""
-    flights = sn.stratified_split(tb.supplier_labels(spark, sf), "flight_id", "label")
+    """Prepared flights with label and split, written once as a table (several branches read it).
+
+    The split (one row per flight) is settled, so that its measured size, not the estimate of a plan of windows and joins,
+    tells whether it is broadcast; else the prepared rows would be shuffled once more to meet it.
+    """
+    flights = settled(sn.stratified_split(tb.supplier_labels(spark, sf), "flight_id", "label"), "split")
     return materialize(sp.prepared(spark, sf).join(broadcast_if_small(flights), "flight_id"), "prepared")
 
 
@@ -57,9 +61,11 @@ def train_stats(spark, sf):
     return sn.norm_stats(p.where(F.col("split") == "train"), NORM_CHANNELS)
 
 
-def normalised(spark, sf):
-    p = prepared_with_split(spark, sf)
-    stats = sn.norm_stats(p.where(F.col("split") == "train"), NORM_CHANNELS)
+def normalised(spark, sf, p=None):
+    """The prepared rows (``p``, or prepared here) by the train statistics; these (a row per channel) are computed once for all
+    that read the rows."""
+    p = prepared_with_split(spark, sf) if p is None else p
+    stats = settled(sn.norm_stats(p.where(F.col("split") == "train"), NORM_CHANNELS), "stats")
     return sn.apply_zscore(p, stats, NORM_CHANNELS)
 
 
