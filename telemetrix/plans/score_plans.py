@@ -40,12 +40,12 @@ def _flights(spark, sf):
 def _model(spark, sf, p=None):
     """Normalised rows (of ``p``, or prepared here), pooled features, fitted coefficients and scores.
 
-    The coefficient and score tables (one row per channel / flight) are
-    written once, so the report branches that all read them do not re-run
-    the feature -> fit -> score chain.
+    The feature, coefficient and score tables (one row per flight / channel) are
+    written once, so the fit, the scoring and the report branches that all read them do not
+    re-run the feature -> fit -> score chain over the rows.
     """
     z = spl.normalised(spark, sf, p)
-    feats = sc.pooled_features(z, CH)
+    feats = materialize(sc.pooled_features(z, CH), "features")
     train = _flights(spark, sf).where("split = 'train'")
     coef = materialize(sc.fit_centroid_scorer(feats, train, CH), "coef")
     scores = materialize(sc.score_flights(feats, coef, CH), "scores")
