@@ -31,8 +31,12 @@ def _detect_inputs(spark: SparkSession, sf: str, with_t: bool = False, fit_only:
     return rows, base
 
 
-def _stats(spark, sf):
-    rows, base = _detect_inputs(spark, sf)
+def _stats(spark, sf, base=None):
+    """Rows, the fitted baseline (``base``, or fitted here) and the detection's statistics."""
+    if base is None:
+        rows, base = _detect_inputs(spark, sf)
+    else:
+        rows = an.assign_phase(tb.lineitem_sensor(spark, sf), tb.LINEITEM_PHASES)
     st = an.phase_channel_stats(rows, base, tb.LINEITEM_CHANNELS, z_threshold=tb.LINEITEM_Z)
     return rows, base, st
 
@@ -72,10 +76,15 @@ def q_top_anomalies(spark, sf):
     return rounded(an.top_anomalies(st, tb.lineitem_channels()))
 
 
-def q_anomaly_timeline(spark, sf):
+def _timeline(spark, sf):
+    """The timeline and the baseline it was made with."""
     rows, base = _detect_inputs(spark, sf, with_t=True)
     raw = an.assign_phase(tb.lineitem_sensor(spark, sf), tb.LINEITEM_PHASES)
-    return an.anomaly_timeline(rows, base, tb.LINEITEM_CHANNELS, z_threshold=tb.LINEITEM_Z, unordered=raw)
+    return an.anomaly_timeline(rows, base, tb.LINEITEM_CHANNELS, z_threshold=tb.LINEITEM_Z, unordered=raw), base
+
+
+def q_anomaly_timeline(spark, sf):
+    return _timeline(spark, sf)[0]
 
 
 QUERIES = {

@@ -91,11 +91,13 @@ def q_top_channels(spark, sf):
     return rounded(_top(spark, sf))
 
 
-def _explanation(spark, sf, timeline=None):
-    """Scores, explanation, detection and top channels; the detection is planned once for all of them."""
+def _explanation(spark, sf, with_timeline=False):
+    """Scores, explanation, detection and top channels; the detection is planned once for all of them, and the timeline
+    is made with the same baseline."""
     z, _, coef, scores = _model(spark, sf)
     top = sc.top_channels(sc.channel_importance(z, scores, coef, CH), CHSET)
-    rows, _, st = ap._stats(spark, sf)
+    timeline, base = ap._timeline(spark, sf) if with_timeline else (None, None)
+    rows, _, st = ap._stats(spark, sf, base)
     det = materialize(an.detection_summary(st, rows, tb.lineitem_channels(), timeline=timeline), "detection")
     return scores, ex.plain_explanation(scores, top, CHSET, det), det, top
 
@@ -113,7 +115,7 @@ def q_flight_analysis(spark, sf):
 
 
 def q_alert_json(spark, sf):
-    scores, e, det, top = _explanation(spark, sf, ap.q_anomaly_timeline(spark, sf))
+    scores, e, det, top = _explanation(spark, sf, with_timeline=True)
     return rp.alert_records(rp.flight_analysis(scores, det, e), top=top).select("flight_id", "alert_json")
 
 
