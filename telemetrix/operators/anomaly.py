@@ -205,14 +205,16 @@ def anomaly_timeline(rows: DataFrame, baseline: DataFrame, channels: Sequence[st
     rows need no step index (``t`` None).
     """
     chans = list(channels)
-    z = _with_z(rows, baseline, chans, phase)
-    n = (unordered if unordered is not None else rows).groupBy(key, phase).agg(F.count(F.lit(1)).alias("_pn"))
     thr = F.lit(float(z_threshold))
     any_flag = F.greatest(*[is_true(F.col(f"_z{i}") > thr).cast("int") for i in range(len(chans))]) \
         if len(chans) > 1 else is_true(F.col("_z0") > thr).cast("int")
+    # the flag is one number before the rows are shuffled to their counts, and only what is shown goes with it
+    shown = dict.fromkeys([key, phase, *([] if t is None else [t]), *keep])
+    z = _with_z(rows, baseline, chans, phase).select(*shown, any_flag.alias("_any"))
+    n = (unordered if unordered is not None else rows).groupBy(key, phase).agg(F.count(F.lit(1)).alias("_pn"))
     j = skew_join(z, n, [key, phase], "_pn")
     return j.select(key, *([] if t is None else [F.col(t).cast("int").alias("t")]), *keep,
-                    F.when(F.col("_pn") >= F.lit(min_rows), any_flag).otherwise(F.lit(0)).alias("flag"))
+                    F.when(F.col("_pn") >= F.lit(min_rows), F.col("_any")).otherwise(F.lit(0)).alias("flag"))
 
 
 def timeline_arrays(timeline: DataFrame, key: str = "flight_id", t: str = "t") -> DataFrame:
