@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions.exprs import is_true
 from ..functions.joins import skew_join
+from ..session import materialize
 from . import chunked
 
 
@@ -25,7 +26,8 @@ def local_flags(rows: DataFrame, channels: Sequence[str], key: str = "flight_id"
     chans = list(channels)
     st = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_lm{i}") for i, c in enumerate(chans)],
                                *[F.stddev_pop(c).alias(f"_ls{i}") for i, c in enumerate(chans)])
-    j = skew_join(rows, st, [key], "_n")
+    # written once (a row per flight): the join reads the counts three times, and each would pass over all rows again
+    j = skew_join(rows, materialize(st, "local"), [key], "_n")
     out = []
     for i, c in enumerate(chans):
         s = F.when(F.col(f"_ls{i}") < F.lit(std_floor), F.lit(1.0)).otherwise(F.col(f"_ls{i}"))
@@ -61,11 +63,23 @@ def _any_picked(channels: Sequence[str]) -> F.Column:
 def local_flight_score(flags: DataFrame, channels: Sequence[str], key: str = "flight_id",
                        min_share: float = dims.LOCAL_SHARE) -> DataFrame:
     """Over channels whose flagged share >= min_share, the share of steps with any flag;
-    plus the number and sorted list of such channels.  Flights with none score 0."""
+    plus the number and sorted list of such channels.  Flights with none score 0.
+
+    Rows of a flight with the same flags count as one pattern with a weight, summed up before the shuffle, so that not the rows
+    but their patterns (at most 2^channels a flight) meet the flight's picked channels.
+    """
     chans = list(channels)
-    j = skew_join(flags, _picked(flags, chans, key, min_share), [key], "_n")
+    flag_cols = [f"{c}_flag" for c in chans]
+    weight = F.col("_w")
+    seen = flags.groupBy(key, *flag_cols).agg(F.count(F.lit(1)).alias("_w"))
+    share = [F.sum(F.col(f) * weight) / F.sum(weight) for f in flag_cols]
+    picked = seen.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[
+        is_true(s >= F.lit(float(min_share))).cast("int").alias(f"_p{i}") for i, s in enumerate(share)])
+    j = skew_join(seen, picked, [key], "_n")
     marks = [f"_p{i}" for i in range(len(chans))]
-    score = j.groupBy(key).agg(F.avg(_any_picked(chans).cast("double")).alias("local_score"), *[F.max(m).alias(m) for m in marks])
+    hit = _any_picked(chans)
+    mean = F.try_divide(F.sum(hit * weight), F.sum(F.when(hit.isNotNull(), weight)))
+    score = j.groupBy(key).agg(mean.alias("local_score"), *[F.max(m).alias(m) for m in marks])
     names = F.array_sort(F.array_compact(F.array(*[F.when(F.col(m) == 1, F.lit(c)) for m, c in zip(marks, chans)])))
     return score.select(key, "local_score", F.size(names).cast("long").alias("n_sensors_flagged"),
                         F.concat_ws(",", names).alias("sensors_flagged"))

@@ -173,7 +173,8 @@ def _fleet(spark, sf, which=None):
     labels = tb.supplier_labels(spark, sf)
     flights = rp.label_subset(labels, which)
     scores = scores.join(flights.select("flight_id"), "flight_id", "left_semi")
-    local = lc.local_flight_score(lc.local_flags(z, DISPLAY), DISPLAY)
+    shown = z.select("flight_id", "t", *DISPLAY)  # the join with the flights' own statistics shuffles no other channel
+    local = lc.local_flight_score(lc.local_flags(shown, DISPLAY), DISPLAY)
     top = sc.top_channels(sc.channel_importance(z, scores, coef, CH), CHSET)
     worst = rp.worst_phase(_phase_counts(spark, sf))
     return rp.fleet_status(scores, labels, local, top, worst, len(DISPLAY))
