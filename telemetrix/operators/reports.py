@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.exprs import is_true, pct1, phase_ord, stable_hash_key
+from ..session import materialize
 from . import chunked
 
 
@@ -114,7 +115,8 @@ def fleet_status(scores: DataFrame, labels: DataFrame, local_score: DataFrame, t
     j = (scores.join(ids, key).join(labels.select(key, "label"), key, "left")
          .join(local_score.select(key, "local_score", "n_sensors_flagged"), key, "left")
          .join(top1, key, "left").join(worst, key, "left"))
-    ranked = rank_by_probability(j, key)
+    # written once (a row per flight): the ranking reads its rows several times, each of which would join all the parts again
+    ranked = rank_by_probability(materialize(j, "fleet"), key)
     return ranked.select(
         "fleet_rank", "aircraft_id", key, true_label_text("label").alias("true_label"), "severity",
         F.concat(pct1("probability"), F.lit("%")).alias("maint_prob"),
