@@ -34,6 +34,19 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+#: Bytes of a table that a task takes on average where a shuffle gathers whole groups.
+PART_BYTES = 32 << 20
+
+
+def parts_for(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Shuffle partitions that grow with a table: one for ``part_bytes`` of its known size, the session's number at least.
+
+    A plan without statistics (its estimate is the largest long) gets the session's number.
+    """
+    size = estimated_bytes(df) or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes) if size < 1 << 50 else 1)
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``F.broadcast(df)`` when its estimated size is at most ``max_bytes``, else ``df`` unchanged."""
     if max_bytes is None:

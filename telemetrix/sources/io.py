@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import dims
 from ..functions.exprs import nan_to_null
+from ..functions.joins import parts_for
 
 # Source column names of the raw files (fixed values) -> library names.
 HEADER_SOURCE_COLUMNS = {
@@ -158,9 +159,10 @@ def explode_nested(df: DataFrame, key: str, col: str, channels: Sequence[str]) -
 def nest_flights(rows: DataFrame, key: str, channels: Sequence[str], t: str = "t") -> DataFrame:
     """Inverse of :func:`explode_nested`: one row per flight with ``flight_data`` (steps x channels).
 
-    Only for prepared flights, whose length is fixed (bounded group size).
+    Only for prepared flights, whose length is fixed (bounded group size).  Flights are gathered by as many tasks as the
+    table's size asks for, so that a task's share does not grow with the table.
     """
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"),
+    g = rows.repartition(parts_for(rows), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"),
                                                                     F.array(*[F.col(c) for c in channels]).alias("v"))))
                               .alias("_s"))
     return g.select(key, F.transform("_s", lambda x: x["v"]).alias("flight_data"))
