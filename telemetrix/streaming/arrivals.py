@@ -81,13 +81,10 @@ def analyse_arrivals(spark: SparkSession, source_dir: str, sink_dir: str, checkp
         scorer = replace(scorer, stats=materialize(scorer.stats, "stats"), coef=materialize(scorer.coef, "coef"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read for the analysis and for the rejects
-        try:
-            scores, rejects = score_batch(batch, baseline, chanset, channels, spec, n_steps, z_threshold, key, scorer)
-            scores.write.mode("overwrite").parquet(f"{sink_dir}/scores/batch_id={batch_id}")
-            rejects.write.mode("overwrite").parquet(f"{sink_dir}/rejects/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
+        # not persisted: unpacked flights take several times their files, which each pass reads in pieces of bounded size
+        scores, rejects = score_batch(batch, baseline, chanset, channels, spec, n_steps, z_threshold, key, scorer)
+        scores.write.mode("overwrite").parquet(f"{sink_dir}/scores/batch_id={batch_id}")
+        rejects.write.mode("overwrite").parquet(f"{sink_dir}/rejects/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     if processing_time:
